@@ -1,14 +1,16 @@
-"""European option prices and greeks as column expressions over a whole chain.
+"""European option prices and greeks over a whole chain.
 
-Every argument is a DOUBLE column except ``kind``, which is 'CALL' or 'PUT'.
-Zero time or zero volatility leaves the intrinsic value.
+``with_model`` prices table columns in stages, so that each intermediate is one
+generated column.  ``price`` is the same formula as one SQL expression, for use
+inside higher-order functions.  Arguments are SQL expressions of DOUBLE type,
+``kind`` gives 'CALL' or 'PUT'; zero time or zero volatility leaves intrinsic value.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # Error-function polynomial of Abramowitz and Stegun, formula 7.1.26.
 CDF_P = 0.3275911
@@ -21,61 +23,79 @@ VOLATILITY_DEFAULT = 0.20
 CALL, PUT = "CALL", "PUT"
 
 
-def normal_cdf(x: Column) -> Column:
-    z = F.abs(x) / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(CDF_P) * z)
-    series = F.lit(0.0)
-    for coefficient in reversed(CDF_COEFFICIENTS):
-        series = (series + F.lit(coefficient)) * t
-    tail = series * F.exp(-z * z)
-    return F.lit(0.5) * F.when(x < 0, tail).otherwise(F.lit(2.0) - tail)
-
-
-def _d1(spot: Column, strike: Column, t: Column, rate: Column, vol: Column) -> Column:
-    return (F.log(spot / strike) + (rate + vol * vol / 2) * t) / (vol * F.sqrt(t))
-
-
-def _alive(t: Column, vol: Column) -> Column:
-    return (t > 0) & (vol > 0)
-
-
-def intrinsic(kind: Column, spot: Column, strike: Column) -> Column:
-    paid = F.when(kind == CALL, spot - strike).otherwise(strike - spot)
-    return F.round(F.greatest(paid, F.lit(0.0)), 4)
+def _weight(x: str) -> str:
+    """Argument of the polynomial."""
+    return f"(1.0D / (1.0D + {CDF_P}D * abs({x}) / {math.sqrt(2.0)!r}D))"
 
 
-def price(kind: Column, spot: Column, strike: Column, t: Column, rate: Column, vol: Column) -> Column:
-    d1 = _d1(spot, strike, t, rate, vol)
-    d2 = d1 - vol * F.sqrt(t)
-    present = strike * F.exp(-rate * t)
-    call = spot * normal_cdf(d1) - present * normal_cdf(d2)
-    put = present * normal_cdf(-d2) - spot * normal_cdf(-d1)
-    fair = F.when(kind == CALL, call).otherwise(put)
-    return F.when(_alive(t, vol), F.round(F.greatest(fair, F.lit(0.0)), 4)).otherwise(
-        intrinsic(kind, spot, strike)
-    )
-
-
-def delta(kind: Column, spot: Column, strike: Column, t: Column, rate: Column, vol: Column) -> Column:
-    up = normal_cdf(_d1(spot, strike, t, rate, vol))
-    alive = F.round(F.when(kind == CALL, up).otherwise(up - 1), 6)
-    expired = F.when((kind == CALL) & (spot > strike), F.lit(1.0)).when(
-        (kind != CALL) & (spot < strike), F.lit(-1.0)
-    )
-    return F.when(_alive(t, vol), alive).otherwise(F.coalesce(expired, F.lit(0.0)))
-
-
-def theta(kind: Column, spot: Column, strike: Column, t: Column, rate: Column, vol: Column) -> Column:
-    """Decay per calendar day; zero once expired."""
-    d1 = _d1(spot, strike, t, rate, vol)
-    d2 = d1 - vol * F.sqrt(t)
-    density = F.exp(-d1 * d1 / 2) / F.lit(math.sqrt(2 * math.pi))
-    decay = -spot * density * vol / (F.lit(2.0) * F.sqrt(t))
-    carry = rate * strike * F.exp(-rate * t)
-    yearly = F.when(kind == CALL, decay - carry * normal_cdf(d2)).otherwise(decay + carry * normal_cdf(-d2))
-    return F.when(_alive(t, vol), F.round(yearly / 365, 6)).otherwise(F.lit(0.0))
-
-
-def years(days: Column) -> Column:
+def _cdf_from(x: str, weight: str) -> str:
+    series = "0.0D"
+    for coefficient in reversed(CDF_COEFFICIENTS):
+        series = f"(({series} + {coefficient}D) * {weight})"
+    return f"(0.5D * (1.0D + IF({x} < 0, -1.0D, 1.0D) * (1.0D - {series} * exp(-{x} * {x} / 2))))"
+
+
+def normal_cdf(x: str) -> str:
+    """Standard normal distribution; the one-element transforms name intermediates."""
+    inner = f"transform(array({_weight('q')}), w -> {_cdf_from('q', 'w')})[0]"
+    return f"transform(array({x}), q -> {inner})[0]"
+
+
+def _d1(spot: str, strike: str, t: str, rate: str, vol: str) -> str:
+    return f"((ln({spot} / {strike}) + ({rate} + {vol} * {vol} / 2) * {t}) / ({vol} * sqrt({t})))"
+
+
+def intrinsic(kind: str, spot: str, strike: str) -> str:
+    paid = f"IF({kind} = 'CALL', {spot} - {strike}, {strike} - {spot})"
+    return f"round(greatest({paid}, 0.0D), 4)"
+
+
+def _fair(kind: str, spot: str, present: str, n1: str, n2: str) -> str:
+    call = f"{spot} * {n1} - {present} * {n2}"
+    put = f"{present} * (1.0D - {n2}) - {spot} * (1.0D - {n1})"
+    return f"round(greatest(IF({kind} = 'CALL', {call}, {put}), 0.0D), 4)"
+
+
+def price(kind: str, spot: str, strike: str, t: str, rate: str, vol: str) -> str:
+    present = f"({strike} * exp(-({rate}) * {t}))"
+    fair = _fair(kind, spot, present, "n.a", "n.b")
+    both = f"named_struct('a', {normal_cdf('d')}, 'b', {normal_cdf(f'(d - {vol} * sqrt({t}))')})"
+    named = f"transform(transform(array({_d1(spot, strike, t, rate, vol)}), d -> {both}), n -> {fair})[0]"
+    return f"CASE WHEN {t} > 0 AND {vol} > 0 THEN {named} ELSE {intrinsic(kind, spot, strike)} END"
+
+
+def with_model(
+    df: DataFrame, kind: str, spot: str, strike: str, days: str, vol: str, rate: float = RISK_FREE_RATE,
+    names: dict[str, str] | None = None,
+) -> DataFrame:
+    """Add model values: ``names`` maps 'price', 'delta', 'theta', 'intrinsic' to column names."""
+    names = names or {"price": "model_price"}
+    r = f"{rate}D"
+    alive = "(_bt > 0 AND _bv > 0)"
+    stages = [
+        {"_bk": kind, "_bs": f"cast({spot} AS double)", "_bx": f"cast({strike} AS double)",
+         "_bt": years(days), "_bv": vol},
+        {"_d1": f"CASE WHEN {alive} THEN {_d1('_bs', '_bx', '_bt', r, '_bv')} END"},
+        {"_d2": "_d1 - _bv * sqrt(_bt)", "_present": f"_bx * exp(-{r} * _bt)", "_w1": _weight("_d1")},
+        {"_w2": _weight("_d2"), "_n1": _cdf_from("_d1", "_w1")},
+        {"_n2": _cdf_from("_d2", "_w2")},
+    ]
+    for stage in stages:
+        df = df.withColumns({name: F.expr(sql) for name, sql in stage.items()})
+    decay = f"-_bs * exp(-_d1 * _d1 / 2) / {math.sqrt(2 * math.pi)!r}D * _bv / (2 * sqrt(_bt))"
+    carry = f"IF(_bk = 'CALL', -_n2, 1.0D - _n2) * {r} * _present"
+    expired = "CASE WHEN _bk = 'CALL' AND _bs > _bx THEN 1.0D WHEN _bk = 'PUT' AND _bs < _bx THEN -1.0D ELSE 0.0D END"
+    formulas = {
+        "price": f"CASE WHEN {alive} THEN {_fair('_bk', '_bs', '_present', '_n1', '_n2')} "
+                 f"ELSE {intrinsic('_bk', '_bs', '_bx')} END",
+        "delta": f"CASE WHEN {alive} THEN round(_n1 - IF(_bk = 'CALL', 0.0D, 1.0D), 6) ELSE {expired} END",
+        "theta": f"CASE WHEN {alive} THEN round(({decay} + {carry}) / 365, 6) ELSE 0.0D END",
+        "intrinsic": intrinsic("_bk", "_bs", "_bx"),
+    }
+    temporary = [name for stage in stages for name in stage]
+    return df.withColumns({names[f]: F.expr(formulas[f]) for f in names}).drop(*temporary)
+
+
+def years(days: str) -> str:
     """Days to expiry as a fraction of a year, ten places."""
-    return F.round(days / F.lit(365.0), 10)
+    return f"round({days} / 365.0D, 10)"

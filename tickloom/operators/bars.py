@@ -73,8 +73,8 @@ def number_bars(bars: DataFrame, period: str = "month", staged: bool = True) ->
     )
 
 
-def slice_bars(numbered: DataFrame, halo: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Cut numbered bars into slices with ``halo`` bars of history in front.
+def slice_bars(numbered: DataFrame, halo: int, slice_rows: int = SLICE_ROWS, ahead: int = 0) -> DataFrame:
+    """Cut numbered bars into slices with ``halo`` bars of history in front and ``ahead`` bars behind.
 
     Columns: symbol, slice, own (false for the repeated bars), i, date, the
     prices o h l c as DOUBLE, u (close in units) and volume v.
@@ -82,6 +82,7 @@ def slice_bars(numbered: DataFrame, halo: int, slice_rows: int = SLICE_ROWS) ->
     rows = F.lit(slice_rows)
     home = F.call_function("div", F.col("i"), rows)
     last = F.call_function("div", F.col("i") + halo, rows)
+    first = F.call_function("div", F.greatest(F.col("i") - ahead, F.lit(0)), rows)
     prices = [F.col(name).cast("double").alias(name[0]) for name in ("open", "high", "low", "close")]
     sliced = (
         numbered.select(
@@ -92,7 +93,7 @@ def slice_bars(numbered: DataFrame, halo: int, slice_rows: int = SLICE_ROWS) ->
             to_units(F.col("close")).alias("u"),
             F.col("volume").alias("v"),
             home.alias("_home"),
-            F.explode(F.sequence(home, last)).alias("slice"),
+            F.explode(F.sequence(first, last)).alias("slice"),
         )
         .withColumn("own", F.col("slice") == F.col("_home"))
         .drop("_home")

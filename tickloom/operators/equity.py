@@ -8,6 +8,8 @@ last segment that started at or before it inside its slice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.operators.bars import SLICE_ROWS, slice_bars
@@ -32,39 +34,46 @@ def holdings(ledger: Ledger) -> DataFrame:
 
 
 def equity_curve(numbered: DataFrame, ledger: Ledger, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """KEYS, slice, own, i, date, equity_u and the daily return of every bar.
+    """KEYS, slice, own, i, date, equity_u and daily_return of every bar, with one bar of halo per slice."""
+    bars = slice_bars(numbered, 1, slice_rows).select("symbol", "slice", "own", "i", "date", "u")
+    # Whole units in a DOUBLE are exact up to nine hundred billion.
+    value = "cast(held.cash_u AS double) + cast(held.shares AS double) * u"
+    return value_curve(bars, ledger, holdings(ledger), ["cash_u", "shares"], value, slice_rows)
+
 
-    One row of halo per slice gives each own bar its predecessor.
+def value_curve(
+    bars: DataFrame, ledger: Ledger, segments: DataFrame, holding: list[str], value: str, slice_rows: int,
+    prepare: Callable[[DataFrame], DataFrame] = lambda held: held,
+) -> DataFrame:
+    """Value of what each lane holds coming into each bar.
+
+    ``segments`` give the ``holding`` columns from bar from_i through to_i;
+    ``value`` is SQL over the bar, the struct ``held`` and what ``prepare`` adds.  Bars and segment
+    starts are brought together by a union and one sort per lane and slice, so
+    no bar is ever compared with more than one segment.
     """
-    segments = holdings(ledger).withColumn(
+    pieces = segments.withColumn(
         "slice", F.explode(F.expr(f"sequence(from_i div {slice_rows}, (to_i + 1) div {slice_rows})"))
     )
-    starts = segments.select(
+    starts = pieces.select(
         *KEYS, "slice", F.expr(f"greatest(from_i, slice * {slice_rows} - 1)").alias("i"),
-        F.struct("cash_u", "shares").alias("held"),
+        F.struct(*holding).alias("held"),
     )
-    # Series without an account row (no strategy at all) would have no curve, so accounts drive the bars.
+    # One short list of strategies and accounts per symbol; its length is set by the caller, not the data.
     lanes = ledger.accounts.groupBy("symbol").agg(F.collect_list(F.struct(*KEYS[1:])).alias("_lanes"))
-    bars = (
-        slice_bars(numbered, 1, slice_rows).select("symbol", "slice", "own", "i", "date", "u")
-        .join(lanes, "symbol")
-        .withColumn("_lane", F.explode("_lanes"))
-        .select("symbol", "_lane.*", "slice", "i", "own", "date", "u")
-    )
-    both = bars.unionByName(starts, allowMissingColumns=True)
+    laned = bars.join(lanes, "symbol").withColumn("_lane", F.explode("_lanes")).select("*", "_lane.*")
+    both = laned.drop("_lanes", "_lane").unionByName(starts, allowMissingColumns=True)
     # At equal bar numbers the segment start (no close) sorts before the bar.
     inside = Window.partitionBy(*KEYS, "slice").orderBy("i", F.col("u").asc_nulls_first())
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("held", F.last("held", ignorenulls=True).over(upto)).filter(F.col("u").isNotNull())
     valued = (
-        both.withColumn("held", F.last("held", ignorenulls=True).over(upto))
-        .filter(F.col("u").isNotNull())
-        .withColumn("equity_u", F.col("held.cash_u").cast("double") + F.col("held.shares").cast("double") * F.col("u"))
-        .drop("held", "u")
+        prepare(held)
+        .withColumn("equity_u", F.expr(value))
+        .select(*KEYS, "slice", "own", "i", "date", "equity_u")
     )
-    # Whole units in a DOUBLE are exact up to nine hundred billion.
     before = F.lag("equity_u").over(Window.partitionBy(*KEYS, "slice").orderBy("i"))
-    daily = F.round(F.try_divide(F.col("equity_u") - before, before), 10)
-    return valued.withColumn("daily_return", daily)
+    return valued.withColumn("daily_return", F.round(F.try_divide(F.col("equity_u") - before, before), 10))
 
 
 def own_bars(curve: DataFrame) -> DataFrame:

@@ -89,9 +89,8 @@ def _close(s: str, bar: str) -> str:
     )
 
 
-def _rounds(numbered: DataFrame, round_bars: int) -> int:
-    last = numbered.agg(F.max("i")).first()[0]
-    return 0 if last is None else last // round_bars + 1
+def _last_bar(numbered: DataFrame) -> int:
+    return numbered.agg(F.max("i")).first()[0] or 0
 
 
 @dataclass(frozen=True)
@@ -112,44 +111,66 @@ def run_ledger(
     for at least one share after commission; otherwise the signal is ignored.
     """
     dates = dict(numbered.dtypes)["date"]
-    names = F.array(*[F.struct(F.lit(n).alias("strategy_no"), F.lit(s.name).alias("strategy")) for n, s in enumerate(strategies)])
+    events = signals.select(
+        "symbol", "strategy_no", "i",
+        F.struct("i", "date", "u", (F.col("signal") == BUY).alias("buy")).alias("event"),
+    )
+    closing = f"CASE WHEN state.shares > 0 THEN {_close('state', 'last')} ELSE state END"
+    return fold_rounds(
+        lanes(numbered, strategies, accounts), events, _start(dates), _fold("state"), closing,
+        TRADE.format(d=dates, m=MONEY), _last_bar(numbered), round_bars,
+    )
+
+
+def lanes(numbered: DataFrame, strategies: list, accounts: list[Account]) -> DataFrame:
+    """One row per series, strategy and account, with the series' first and last bar."""
+    names = F.array(*[
+        F.struct(F.lit(n).alias("strategy_no"), F.lit(s.name).alias("strategy")) for n, s in enumerate(strategies)
+    ])
     money = F.array(*[
         F.struct(F.lit(c).cast("bigint").alias("capital_u"), F.lit(m).cast("bigint").alias("commission_u"))
         for c, m in (a.units() for a in accounts)
     ])
-    base = (
+    return (
         series_bounds(numbered)
-        .withColumn("_s", F.explode(names)).withColumn("_a", F.explode(money))
-        .select("symbol", "bars", "start_date", "end_date", "first_u", "last_u", "_s.*", "_a.*")
+        .withColumn("_s", F.explode(names))
+        .withColumn("_a", F.explode(money))
+        .select("symbol", "_s.*", "_a.*", "bars", "start_date", "end_date", "first_u", "last_u")
     )
-    events = signals.select(
-        "symbol", "strategy_no",
-        F.call_function("div", F.col("i"), F.lit(round_bars)).alias("_round"),
-        F.struct("i", "date", "u", (F.col("signal") == BUY).alias("buy")).alias("_event"),
-    )
-    rounds = _rounds(numbered, round_bars)
+
+
+def fold_rounds(
+    base: DataFrame, events: DataFrame, start: str, fold: str, closing: str, trade_type: str,
+    last_i: int, round_bars: int,
+) -> Ledger:
+    """Fold each lane's ``event`` structs in bar order, a bounded number of bars per round.
+
+    ``fold`` is SQL over ``events`` (this round's, ordered) and ``state``;
+    ``closing`` settles what is open on the last bar.
+    """
+    rounds = last_i // round_bars + 1
+    events = events.withColumn("_round", F.call_function("div", F.col("i"), F.lit(round_bars)))
     if rounds > 1:
-        events, base = stage(events), stage(base)
-    states, past = base.withColumn("state", F.expr(_start(dates))), []
-    for n in range(max(rounds, 1)):
+        events = stage(events)
+    states, past = base.withColumn("state", F.expr(start)), []
+    for n in range(rounds):
         lists = (
             events.filter(F.col("_round") == n)
             .groupBy("symbol", "strategy_no")
-            .agg(F.array_sort(F.collect_list("_event")).alias("events"))
+            .agg(F.array_sort(F.collect_list("event")).alias("events"))
         )
         states = states.join(lists, ["symbol", "strategy_no"], "left")
-        folded = F.expr(f"CASE WHEN events IS NULL THEN state ELSE {_fold('state')} END")
+        folded = F.expr(f"CASE WHEN events IS NULL THEN state ELSE {fold} END")
         states = states.withColumn("state", folded).drop("events")
         if n + 1 < rounds:
             states = stage(states)
             past.append(states.select(*KEYS, F.explode("state.trades").alias("t")))
-            none = F.array().cast(f"array<{TRADE.format(d=dates, m=MONEY)}>")
+            none = F.array().cast(f"array<{trade_type}>")
             states = states.withColumn("state", F.col("state").withField("trades", none))
-    states = states.withColumn("_last", F.expr("named_struct('i', bars - 1, 'date', end_date, 'u', last_u)"))
-    closing = f"CASE WHEN state.shares > 0 THEN {_close('state', '_last')} ELSE state END"
+    last = F.expr("named_struct('i', bars - 1, 'date', end_date, 'u', last_u)")
     # Trades, accounts and curves are all read from the final states: a few rows per
     # series, behind the whole indicator and signal work, so they are stored once.
-    states = stage(states.withColumn("state", F.expr(closing)).drop("_last"))
+    states = stage(states.withColumn("last", last).withColumn("state", F.expr(closing)).drop("last"))
     trades = states.select(*KEYS, F.explode("state.trades").alias("t"))
     for earlier in past:
         trades = earlier.unionByName(trades)

@@ -22,7 +22,7 @@ HALO = 256
 
 STATE = ["rising", "stop", "extreme", "factor"]
 _SCHEMA = (
-    "symbol string, slice bigint, i bigint, sar double, first boolean, last boolean, "
+    "symbol string, slice bigint, i bigint, sar double, p_sar double, first boolean, last boolean, "
     "in_rising boolean, in_stop double, in_extreme double, in_factor double, "
     "out_rising boolean, out_stop double, out_extreme double, out_factor double"
 )
@@ -74,6 +74,8 @@ def _runner():
                 sar.append(stop)
         out = bars.loc[own, ["symbol", "slice", "i"]].copy()
         out["sar"] = sar
+        # The stop a slice enters with is the one its predecessor's last bar showed.
+        out["p_sar"] = [entry[1] if number[begin] > 2 else None] + sar[:-1]
         out["first"] = [True] + [False] * (len(out) - 1)
         out["last"] = [False] * (len(out) - 1) + [True]
         for name, before, behind in zip(("rising", "stop", "extreme", "factor"), entry, (rising, stop, extreme, factor)):
@@ -96,7 +98,9 @@ def _broken(runs: DataFrame) -> DataFrame:
 
 
 def parabolic_sar(sliced: DataFrame) -> DataFrame:
-    """symbol, slice, i and ``sar`` (four places) of every own bar; ``sliced`` needs ``HALO`` bars of halo.
+    """symbol, slice, i, ``sar`` (four places) and the bar before's ``p_sar`` of every own bar.
+
+    ``sliced`` needs ``HALO`` bars of halo for speed, three for correctness.
 
     Each round is checkpointed: the check reads it twice, and lineage stays short.
     """
@@ -112,4 +116,4 @@ def parabolic_sar(sliced: DataFrame) -> DataFrame:
         again = bars.join(broken, ["symbol", "slice"]).groupBy("symbol", "slice").applyInPandas(_runner(), _SCHEMA)
         kept = runs.join(broken, ["symbol", "slice"], "left_anti")
         runs = stage(kept.unionByName(again))
-    return runs.select("symbol", "slice", "i", F.round("sar", 4).alias("sar"))
+    return runs.select("symbol", "slice", "i", F.round("sar", 4).alias("sar"), F.round("p_sar", 4).alias("p_sar"))
