@@ -23,7 +23,7 @@ TTM = 5
 def ratio(a: Column, b: Column, places: int = 2) -> Column:
     """a / b rounded half up to ``places`` (after ten, as the division keeps that many); zero for b = 0."""
     exact = F.try_divide(a.cast("decimal(24,6)"), b.cast("decimal(24,6)"))
-    return F.coalesce(F.round(F.round(exact, 10), places), F.lit(0)).cast("decimal(24,6)")
+    return F.coalesce(F.round(F.round(exact, 10), places), F.lit(0)).cast("decimal(28,10)")
 
 
 def two(x: Column) -> Column:
@@ -86,7 +86,7 @@ def valuation(quotes: DataFrame, financials: DataFrame, ranges: DataFrame, input
             "max_ps_last_qtr": ratio(c("high_last"), c("rev_ttm_last_qtr")),
             "min_ps_last_qtr": ratio(c("low_last"), c("rev_ttm_last_qtr")),
             "growth_multiple": ratio(c("eps_year_five"), c("eps_year_one")),
-            "year_low_difference": two(1 - ratio(c("year_low"), c("last"), 6)),
+            "year_low_difference": two(1 - ratio(c("year_low"), c("last"), 10)),
             "year_range_difference": two(c("year_high") - c("year_low")),
             "eps_growth_next": ratio(c("eps_next_year") - c("diluted_eps"), c("diluted_eps")),
             "intrinsic_value": two(
@@ -116,8 +116,8 @@ def valuation(quotes: DataFrame, financials: DataFrame, ranges: DataFrame, input
             "eps_year_3": two(c("eps_year_2") * growth),
         },
         {
-            "difference_from_min": two(1 - ratio(c("price_at_min_ps_this_qtr"), c("last"), 6)),
-            "difference_from_max": two(1 - ratio(c("last"), c("price_at_max_ps_this_qtr"), 6)),
+            "difference_from_min": two(1 - ratio(c("price_at_min_ps_this_qtr"), c("last"), 10)),
+            "difference_from_max": two(1 - ratio(c("last"), c("price_at_max_ps_this_qtr"), 10)),
             "eps_total": two(c("eps_year_1") + c("eps_year_2") + c("eps_year_3")),
             "expected_price": two(c("eps_year_3") * c("assumed_pe")),
             "payout_ratio": ratio(c("dividend_yield"), c("eps_year_3")),

@@ -24,7 +24,7 @@ def rank_list(lines: DataFrame, preamble: str) -> DataFrame:
 
 def line_set(lines: DataFrame) -> DataFrame:
     """Distinct trimmed lines that are not blank."""
-    return lines.select(F.trim("value").alias("value")).filter("value <> ''").distinct()
+    return lines.select(F.trim("value", F.lit(" \t\r\n")).alias("value")).filter("value <> ''").distinct()
 
 
 def token_set(lines: DataFrame) -> DataFrame:

@@ -21,16 +21,21 @@ CHART = (
 )
 
 
+def _first(array: Column) -> Column:
+    """First element, null if there is none."""
+    return F.get(array, F.lit(0))
+
+
 def _zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0))
 
 
 def chart_bars(payloads: DataFrame) -> DataFrame:
     """Bars zipped from the parallel arrays of a chart; bars without a close are left out."""
-    result = F.from_json("json", CHART)["chart"]["result"][0]
+    result = _first(F.from_json("json", CHART)["chart"]["result"])
     base = payloads.select("symbol", result.alias("r")).select(
-        "symbol", F.col("r.timestamp").alias("ts"), F.col("r.indicators.quote")[0].alias("q"),
-        F.col("r.indicators.adjclose")[0]["adjclose"].alias("adj"),
+        "symbol", F.col("r.timestamp").alias("ts"), _first(F.col("r.indicators.quote")).alias("q"),
+        _first(F.col("r.indicators.adjclose"))["adjclose"].alias("adj"),
     )
     at = base.select("symbol", "q", "adj", F.posexplode("ts").alias("n", "epoch")).filter(F.col("epoch").isNotNull())
 
@@ -49,8 +54,8 @@ def chart_bars(payloads: DataFrame) -> DataFrame:
 
 def chart_closes(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Close series of charts (symbol, seq, close; null closes kept) and the symbols with fewer than two."""
-    result = F.from_json("json", CHART)["chart"]["result"][0]
-    arrays = payloads.select("symbol", result["indicators"]["quote"][0]["close"].alias("closes"))
+    result = _first(F.from_json("json", CHART)["chart"]["result"])
+    arrays = payloads.select("symbol", _first(result["indicators"]["quote"])["close"].alias("closes"))
     incomplete = arrays.filter(F.coalesce(F.size("closes"), F.lit(0)) < 2).select("symbol")
     series = arrays.filter(F.size("closes") >= 2).select("symbol", F.posexplode("closes").alias("seq", "close"))
     return series, incomplete
@@ -69,7 +74,7 @@ QUOTE_FIELDS = {
 def quotes(payloads: DataFrame) -> DataFrame:
     """One quote row per payload; an empty response is flagged incomplete."""
     fields = ",".join(f"{f}:string" for f in [*QUOTE_FIELDS, "fiftyTwoWeekRange", "marketCap"])
-    quote = F.from_json("json", f"quoteResponse struct<result:array<struct<{fields}>>>")["quoteResponse"]["result"][0]
+    quote = _first(F.from_json("json", f"quoteResponse struct<result:array<struct<{fields}>>>")["quoteResponse"]["result"])
     parsed = payloads.select("symbol", quote.alias("q"))
     cap = _zero(F.col("q.marketCap").try_cast("bigint"))
     out = parsed.select(
@@ -106,7 +111,7 @@ def financials(payloads: DataFrame) -> DataFrame:
         f"incomeStatementHistory:struct<incomeStatementHistory:{statement}>,"
         "defaultKeyStatistics:struct<sharesOutstanding:string,floatShares:string>>>>"
     )
-    result = F.from_json("json", schema)["quoteSummary"]["result"][0]
+    result = _first(F.from_json("json", schema)["quoteSummary"]["result"])
     base = payloads.select("symbol", result.alias("r")).filter(F.col("r").isNotNull()).select(
         "symbol",
         F.slice("r.incomeStatementHistoryQuarterly.incomeStatementHistory", 1, 5).alias("quarters"),
@@ -136,13 +141,13 @@ def _chain_result(payloads: DataFrame) -> DataFrame:
         "optionChain struct<result:array<struct<quote:struct<regularMarketPrice:double>,expirationDates:array<bigint>,"
         f"options:array<struct<expirationDate:bigint,calls:array<{CONTRACT}>,puts:array<{CONTRACT}>>>>>>"
     )
-    return payloads.select("symbol", F.from_json("json", schema)["optionChain"]["result"][0].alias("r"))
+    return payloads.select("symbol", _first(F.from_json("json", schema)["optionChain"]["result"]).alias("r"))
 
 
 def option_chain(payloads: DataFrame) -> DataFrame:
     """Contracts of the first listed expiration of each payload, calls and puts as rows."""
     first = _chain_result(payloads).select("symbol", F.col("r.quote.regularMarketPrice").alias("underlying"),
-                                           F.col("r.options")[0].alias("o"))
+                                           _first(F.col("r.options")).alias("o"))
     sides = F.array(
         F.struct(F.lit("CALL").alias("type"), F.col("o.calls").alias("contracts")),
         F.struct(F.lit("PUT").alias("type"), F.col("o.puts").alias("contracts")),

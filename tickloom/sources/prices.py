@@ -65,7 +65,8 @@ def split_fields(lines: DataFrame, separator: str = ",", column: str = "value")
     def clean(field: Column) -> Column:
         # A doubled quote is a quote, any other quote only delimits.
         marked = F.replace(F.trim(field), F.lit('""'), F.lit("\x00"))
-        return F.trim(F.replace(F.replace(marked, F.lit('"'), F.lit("")), F.lit("\x00"), F.lit('"')))
+        plain = F.replace(F.replace(marked, F.lit('"'), F.lit("")), F.lit("\x00"), F.lit('"'))
+        return F.when(F.trim(field) == '""', F.lit("")).otherwise(F.trim(plain))
 
     return lines.withColumn("fields", F.transform(found, clean))
 
