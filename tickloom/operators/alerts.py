@@ -21,7 +21,7 @@ BUSY = "avg_volume_20 > 0 AND round(v / avg_volume_20, 4) > 1.5D"
 
 
 def _number(column: str) -> str:
-    return f"format_string('%.1f', round({column}, 1))"
+    return f"format_string('%.1f', {column})"
 
 
 # Each rule: name, then (condition, message) pairs for bullish and for bearish;

@@ -149,7 +149,8 @@ def extremes(period: int) -> Levels:
 
 def _place_in_range(distance: str, period: int, scale: float) -> str:
     span = f"(_hh_{period} - _ll_{period})"
-    place = snap(f"({distance}) / {span} * {scale}D")
+    # Adding zero turns a negative zero positive.
+    place = f"({snap(f'({distance}) / {span} * {scale}D')} + 0.0D)"
     return gate(period - 1, f"CASE WHEN {span} > 0 THEN {place} ELSE 0.0D END")
 
 

@@ -237,7 +237,7 @@ r AS (
                      CASE WHEN r.up THEN least(r.stop + r.af * (r.ep - r.stop), m.l1, m.l2)
                           ELSE greatest(r.stop + r.af * (r.ep - r.stop), m.h1, m.h2) END AS s2
               FROM r JOIN m ON m.symbol = r.symbol AND m.i = r.i + 1))),
-sar AS (SELECT n.symbol, n.i, n.date, n.c, round(CASE WHEN n.i < 2 THEN m.l0 ELSE r.stop END, 4) AS sar
+sar AS MATERIALIZED (SELECT n.symbol, n.i, n.date, n.c, round(CASE WHEN n.i < 2 THEN m.l0 ELSE r.stop END, 4) AS sar
         FROM n JOIN m ON m.symbol = n.symbol AND m.i = n.i LEFT JOIN r ON r.symbol = n.symbol AND r.i = n.i)"""
 ORACLES["parabolic_sar"] = f"WITH RECURSIVE {bars()}{_PSAR} SELECT symbol, date, sar, c > sar AS bullish FROM sar"
 
@@ -263,7 +263,7 @@ _HOURLY = """hb AS (
   SELECT event_type AS symbol, date_trunc('hour', ts) AS date, first(px ORDER BY ts, event_id) AS po, max(px) AS ph, min(px) AS pl,
          last(px ORDER BY ts, event_id) AS pc, count(*) * 100 AS v
   FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS px FROM events) GROUP BY ALL),
-n AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, CAST(po AS DOUBLE) / 100 AS o,
+n AS MATERIALIZED (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, CAST(po AS DOUBLE) / 100 AS o,
       CAST(ph AS DOUBLE) / 100 AS h, CAST(pl AS DOUBLE) / 100 AS l, CAST(pc AS DOUBLE) / 100 AS c, pc * 100 AS u, v FROM hb)"""
 _r = LEVELS["rsi"]
 ORACLES["hourly_vwap_rsi"] = f"""WITH {_HOURLY}, s0 AS (SELECT *, {LEVELS['vwap'][0]} FROM n), s1 AS (SELECT *, {_r[0]} FROM s0),
@@ -287,7 +287,7 @@ WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY symbol"""
 ORACLES["buy_and_hold"] = f"""WITH {bars('l_suppkey')}, e AS (SELECT symbol, arg_min(u, date) AS a, arg_max(u, date) AS b FROM n GROUP BY symbol)
 SELECT symbol, {pct('b - a', 'a')} AS buy_and_hold FROM e"""
 ORACLES["average_daily_volume"] = f"""WITH {bars('l_suppkey')},
-t AS (SELECT symbol, v FROM n QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 30)
+t AS MATERIALIZED (SELECT symbol, v FROM n QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 30)
 SELECT symbol, CAST((2 * sum(v) + count(*)) // (2 * count(*)) AS DOUBLE) AS average_volume FROM t GROUP BY symbol"""
 
 # --- signals --------------------------------------------------------------------
@@ -418,10 +418,10 @@ def ledger(decisions: str, capital: str = "10000000000", commission: str = "6500
   min(date) AS start_date, count(*) AS bars FROM {decisions} GROUP BY {keys}),
 ev AS (SELECT {keys}, i, 0 AS k, date, u, signal AS act FROM {decisions} WHERE signal <> 'HOLD'
   UNION ALL SELECT {keys}, last_i, 1, last_date, last_u, 'SELL' FROM ends),
-evl AS (SELECT {keys}, list({{'i': CAST(i AS BIGINT), 'k': k, 'date': date, 'u': CAST(u AS BIGINT), 'act': act, {zero}}} ORDER BY i, k) AS evs FROM ev GROUP BY {keys}),
+evl AS MATERIALIZED (SELECT {keys}, list({{'i': CAST(i AS BIGINT), 'k': k, 'date': date, 'u': CAST(u AS BIGINT), 'act': act, {zero}}} ORDER BY i, k) AS evs FROM ev GROUP BY {keys}),
 grid AS (SELECT * FROM (VALUES {grid or f'({capital}, {commission})'}) g(cap, com)),
-l AS (SELECT {keys}, cap, com, list_reduce(evs, {step}, {{'i': CAST(0 AS BIGINT), 'k': 0, 'date': CAST(NULL AS DATE), 'u': CAST(0 AS BIGINT), 'act': '', {start}}}) AS st FROM evl, grid),
-t AS (SELECT {keys}, cap, com, unnest(st.tr, recursive := true) FROM l)"""
+l AS MATERIALIZED (SELECT {keys}, cap, com, list_reduce(evs, {step}, {{'i': CAST(0 AS BIGINT), 'k': 0, 'date': CAST(NULL AS DATE), 'u': CAST(0 AS BIGINT), 'act': '', {start}}}) AS st FROM evl, grid),
+t AS MATERIALIZED (SELECT {keys}, cap, com, unnest(st.tr, recursive := true) FROM l)"""
 
 
 def stats(trades: str, keys: str, profit: str) -> str:
@@ -443,7 +443,7 @@ def curve(decisions: str, keys: str = "symbol, strategy") -> str:
     return f"""chg AS (SELECT {keys}, cap, com, ei AS i, c1 AS cash, sh FROM t UNION ALL SELECT {keys}, cap, com, xi, c2, 0 FROM t
   UNION ALL SELECT {keys}, cap, com, -1, cap, 0 FROM l),
 chg1 AS (SELECT {keys}, cap, com, i, arg_max(cash, sh = 0) AS cash, arg_max(sh, sh = 0) AS sh FROM chg GROUP BY {keys}, cap, com, i),
-q AS (SELECT d.*, x.cap, x.com, x.cash + CAST(x.sh AS HUGEINT) * d.u AS eq FROM {decisions} d ASOF JOIN chg1 x ON {on.replace('X.', 'x.')} AND d.i > x.i),
+q AS MATERIALIZED (SELECT d.*, x.cap, x.com, x.cash + CAST(x.sh AS HUGEINT) * d.u AS eq FROM {decisions} d ASOF JOIN chg1 x ON {on.replace('X.', 'x.')} AND d.i > x.i),
 q1 AS (SELECT *, max(eq) OVER w AS peak, lag(eq) OVER w AS e0 FROM q WINDOW w AS (PARTITION BY {keys} ORDER BY i)),
 risk AS (SELECT {keys}, max(CAST({hu('peak - eq', 'peak', 6)} AS DOUBLE)) / 10000 AS max_drawdown,
   avg(round(CAST(eq - e0 AS DOUBLE) / CAST(e0 AS DOUBLE), 10)) AS mu, stddev_pop(round(CAST(eq - e0 AS DOUBLE) / CAST(e0 AS DOUBLE), 10)) AS sd FROM q1 GROUP BY {keys})"""
@@ -487,7 +487,7 @@ _GRID = ", ".join(f"({c * 10000}, {m * 10000})" for c in (10_000, 100_000, 1_000
 ORACLES["account_sweep"] = f"""WITH {crossed('p_brand', [(20, 50)])}, {ledger('d', grid=_GRID)}
 SELECT symbol, CAST(cap AS DOUBLE) / 10000 AS capital, CAST(com AS DOUBLE) / 10000 AS commission, CAST(st.cash AS DOUBLE) / 10000 AS final_capital FROM l"""
 _TR = "((CASE WHEN direction = 'LONG' THEN xu - eu ELSE eu - xu END) * q)"
-ORACLES["trade_results"] = f"""WITH t AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'SHORT' ELSE 'LONG' END AS direction, l_returnflag AS flag,
+ORACLES["trade_results"] = f"""WITH t AS MATERIALIZED (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'SHORT' ELSE 'LONG' END AS direction, l_returnflag AS flag,
   CAST(round(l_extendedprice * 100) AS BIGINT) AS eu, CAST(round(l_extendedprice * 100) AS BIGINT) + l_orderkey % 2001 - 1000 AS xu,
   CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_linestatus <> 'O')
 {stats('t', 'flag, direction', _TR)}"""
@@ -496,26 +496,33 @@ ORACLES["trade_results"] = f"""WITH t AS (SELECT CASE WHEN l_linenumber % 2 = 0
 # --- options --------------------------------------------------------------------
 
 
+def _named(x: str, name: str, body: str) -> str:
+    """Evaluate ``x`` once and use it in ``body`` under a name."""
+    return f"list_transform([{x}], lambda {name}: {body})[1]"
+
+
 def _cdf(x: str) -> str:
-    t = f"(1 / (1 + 0.3275911::DOUBLE * abs({x}) / sqrt(2)))"
-    poly = f"((((1.061405429::DOUBLE * {t} - 1.453152027::DOUBLE) * {t} + 1.421413741::DOUBLE) * {t} - 0.284496736::DOUBLE) * {t} + 0.254829592::DOUBLE) * {t}"
-    return f"(0.5::DOUBLE * (1 + CASE WHEN {x} < 0 THEN -1 ELSE 1 END * (1 - {poly} * exp(-{x} * {x} / 2))))"
+    poly = "((((1.061405429::DOUBLE * w - 1.453152027::DOUBLE) * w + 1.421413741::DOUBLE) * w - 0.284496736::DOUBLE) * w + 0.254829592::DOUBLE) * w"
+    weight = "1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2))"
+    curve = _named(weight, "w", f"0.5::DOUBLE * (1 + CASE WHEN z < 0 THEN -1 ELSE 1 END * (1 - {poly} * exp(-z * z / 2)))")
+    return _named(x, "z", curve)
 
 
 def bs(kind: str, s: str, k: str, t: str, vol: str) -> dict[str, str]:
     """Price, delta, theta and intrinsic value at a rate of 5 %."""
     d1 = f"((ln({s} / {k}) + (0.05::DOUBLE + {vol} * {vol} / 2) * {t}) / ({vol} * sqrt({t})))"
-    d2 = f"({d1} - {vol} * sqrt({t}))"
+    d2 = f"(d1 - {vol} * sqrt({t}))"
     pv = f"({k} * exp(-0.05::DOUBLE * {t}))"
-    call, put = f"{s} * {_cdf(d1)} - {pv} * {_cdf(d2)}", f"{pv} * {_cdf(f'(-{d2})')} - {s} * {_cdf(f'(-{d1})')}"
+    call, put = f"{s} * {_cdf('d1')} - {pv} * {_cdf(d2)}", f"{pv} * {_cdf(f'(-{d2})')} - {s} * {_cdf('(-d1)')}"
     paid = f"round(greatest(CASE WHEN {kind} = 'CALL' THEN {s} - {k} ELSE {k} - {s} END, 0), 4)"
-    live = f"{t} > 0 AND {vol} > 0"
-    decay = f"-{s} * exp(-{d1} * {d1} / 2) / sqrt(2 * pi()) * {vol} / (2 * sqrt({t}))"
+    decay = f"-{s} * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * {vol} / (2 * sqrt({t}))"
     carry = f"0.05::DOUBLE * {pv}"
+    fair = _named(d1, "d1", f"CASE WHEN {kind} = 'CALL' THEN {call} ELSE {put} END")
+    lost = _named(d1, "d1", f"CASE WHEN {kind} = 'CALL' THEN {decay} - {carry} * {_cdf(d2)} ELSE {decay} + {carry} * {_cdf(f'(-{d2})')} END")
     return {
-        "price": f"CASE WHEN {live} THEN round(greatest(CASE WHEN {kind} = 'CALL' THEN {call} ELSE {put} END, 0), 4) ELSE {paid} END",
+        "price": f"CASE WHEN {t} > 0 AND {vol} > 0 THEN round(greatest({fair}, 0), 4) ELSE {paid} END",
         "delta": f"round({_cdf(d1)} - CASE WHEN {kind} = 'CALL' THEN 0 ELSE 1 END, 6)",
-        "theta": f"round((CASE WHEN {kind} = 'CALL' THEN {decay} - {carry} * {_cdf(d2)} ELSE {decay} + {carry} * {_cdf(f'(-{d2})')} END) / 365, 6)",
+        "theta": f"round({lost} / 365, 6)",
         "intrinsic": paid,
     }
 
@@ -546,7 +553,7 @@ ORACLES["option_greeks"] = f"""WITH {chain()}, c AS (SELECT *, round(days / 365.
 SELECT contract, type, {_b['price']} AS model_price, {_b['delta']} AS model_delta, {_b['theta']} AS model_theta, {_b['intrinsic']} AS intrinsic FROM c"""
 ORACLES["contracts_at_strike"] = f"WITH {chain()} SELECT symbol, type, strike, volume FROM ch WHERE days = 30 AND ord = 4"
 ORACLES["puts_by_expiration"] = f"WITH {chain()} SELECT symbol, expiration, count(*) AS contracts, CAST(sum(volume) AS BIGINT) AS volume FROM ch WHERE type = 'PUT' GROUP BY ALL"
-ORACLES["nearest_strike"] = f"""WITH {chain()}, t AS (SELECT *, CAST({hu('u * 102', '10000', 0)} AS DOUBLE) / 100 AS target FROM ch)
+ORACLES["nearest_strike"] = f"""WITH {chain()}, t AS MATERIALIZED (SELECT *, CAST({hu('u * 102', '10000', 0)} AS DOUBLE) / 100 AS target FROM ch)
 SELECT symbol, expiration, type, target, contract, strike FROM t QUALIFY row_number() OVER (PARTITION BY symbol, expiration, type ORDER BY abs(strike - target), ord) = 1"""
 ORACLES["missing_expirations"] = f"WITH {chain()} SELECT symbol, expiration FROM ch GROUP BY ALL HAVING max(volume) < 970"
 
@@ -627,9 +634,9 @@ def option_ledger(symbol: str, compat: bool = False) -> str:
     return f"""{option_decisions(symbol, compat)},
 oe AS (SELECT symbol, strategy, i, 0 AS k, date, u, v, vol, kind, days, signal AS act, strike, prem FROM od
   UNION ALL SELECT symbol, strategy, i, 1, date, u, v, vol, kind, days, 'END', strike, prem FROM od QUALIFY row_number() OVER (PARTITION BY symbol, strategy ORDER BY i DESC) = 1),
-oel AS (SELECT symbol, strategy, list({element} ORDER BY i, k) AS es FROM oe GROUP BY ALL),
-l AS (SELECT symbol, strategy, 100000000000 AS cap, 6500 AS com, list_reduce(es, {step}, {initial}) AS st FROM oel),
-ot AS (SELECT symbol, strategy, unnest(st.tr, recursive := true) FROM l),
+oel AS MATERIALIZED (SELECT symbol, strategy, list({element} ORDER BY i, k) AS es FROM oe GROUP BY ALL),
+l AS MATERIALIZED (SELECT symbol, strategy, 100000000000 AS cap, 6500 AS com, list_reduce(es, {step}, {initial}) AS st FROM oel),
+ot AS MATERIALIZED (SELECT symbol, strategy, unnest(st.tr, recursive := true) FROM l),
 info AS (SELECT DISTINCT symbol, strategy, kind, days FROM od)"""
 
 
@@ -656,7 +663,7 @@ def option_curve(compat: bool) -> str:
     return f"""ochg AS (SELECT symbol, strategy, ei AS i, c1 AS cash, n, ei, strike, eu FROM ot UNION ALL SELECT symbol, strategy, xi, c2, 0, 0, 1, 0 FROM ot
   UNION ALL SELECT symbol, strategy, -1, cap, 0, 0, 1, 0 FROM l),
 ochg1 AS (SELECT * FROM ochg QUALIFY row_number() OVER (PARTITION BY symbol, strategy, i ORDER BY n) = 1),
-q AS (SELECT d.*, 100000000000 AS cap, 6500 AS com, x.cash + CASE WHEN x.n = 0 THEN 0 WHEN d.kind = 'CALL' THEN -({value}) + {twice} ELSE {value} END AS eq
+q AS MATERIALIZED (SELECT d.*, 100000000000 AS cap, 6500 AS com, x.cash + CASE WHEN x.n = 0 THEN 0 WHEN d.kind = 'CALL' THEN -({value}) + {twice} ELSE {value} END AS eq
   FROM od d ASOF JOIN ochg1 x ON d.symbol = x.symbol AND d.strategy = x.strategy AND d.i > x.i),
 q1 AS (SELECT *, max(eq) OVER w AS peak, lag(eq) OVER w AS e0 FROM q WINDOW w AS (PARTITION BY symbol, strategy ORDER BY i)),
 risk AS (SELECT symbol, strategy, max(CAST({hu('peak - eq', 'peak', 6)} AS DOUBLE)) / 10000 AS max_drawdown,
@@ -667,7 +674,7 @@ def _option_performance(compat: bool) -> str:
     return f"""WITH {option_ledger('p_type', compat)}, {option_curve(compat)}, otk AS (SELECT * FROM ot JOIN info USING (symbol, strategy)),
 stats AS ({stats('otk', 'symbol, strategy', _OPL)}),
 more AS (SELECT symbol, strategy, CAST({hu('sum(eu * n * 100)', 'count(*) * 100', 0)} AS DOUBLE) / 100 AS average_premium, CAST(sum(ev) AS BIGINT) AS entry_bar_volume FROM ot GROUP BY ALL),
-ends AS (SELECT symbol, strategy, arg_max(u, i) AS last_u, arg_min(u, i) AS first_u FROM od GROUP BY ALL)
+ends AS MATERIALIZED (SELECT symbol, strategy, arg_max(u, i) AS last_u, arg_min(u, i) AS first_u FROM od GROUP BY ALL)
 {metrics_select(extra="round(CAST(st.cash AS DOUBLE) / 10000, 4) AS final_capital, coalesce(average_premium, 0) AS average_premium, coalesce(entry_bar_volume, 0) AS entry_bar_volume,", join_extra="LEFT JOIN more USING (symbol, strategy)")}"""
 
 
@@ -679,7 +686,8 @@ ORACLES["option_performance_compat"] = _option_performance(True)
 
 
 def _num(x: str) -> str:
-    return f"printf('%.1f', round({x}, 1))"
+    # The nudge rounds ties away from zero, as the messages do.
+    return f"printf('%.1f', {x} + sign({x}) * 1e-10)"
 
 
 _RATIO = "round(v / average_volume20, 4)"
@@ -725,7 +733,7 @@ x3 AS (SELECT *, CASE WHEN i < 200 THEN [] ELSE list_filter(bull0, lambda m: m I
   CASE WHEN i < 200 THEN [] ELSE list_filter(bear0, lambda m: m IS NOT NULL) END AS bear FROM x2),
 x4 AS (SELECT *, CASE WHEN i < 200 THEN 0 ELSE greatest(len(bull) + len(bear), 1) END AS total FROM x3),
 x5 AS (SELECT *, len(bull) / greatest(total, 1) AS bp, len(bear) / greatest(total, 1) AS rp FROM x4),
-a AS (SELECT *, CASE WHEN i < 200 THEN 'NEUTRAL' WHEN bp >= 0.75 THEN 'STRONG_BUY' WHEN bp >= 0.55 THEN 'BUY' WHEN rp >= 0.75 THEN 'STRONG_SELL'
+a AS MATERIALIZED (SELECT *, CASE WHEN i < 200 THEN 'NEUTRAL' WHEN bp >= 0.75 THEN 'STRONG_BUY' WHEN bp >= 0.55 THEN 'BUY' WHEN rp >= 0.75 THEN 'STRONG_SELL'
   WHEN rp >= 0.55 THEN 'SELL' ELSE 'NEUTRAL' END AS direction, CASE WHEN i < 200 THEN 0 WHEN bp >= 0.55 THEN bp WHEN rp >= 0.55 THEN rp ELSE greatest(bp, rp) END AS score FROM x5)"""
 
 
@@ -774,20 +782,20 @@ def _pat(where: str = "cnt >= 2", name: str = "p") -> str:
 
 _KEY = "'[' || array_to_string({0}, ', ') || ']'"
 _FREQ = f"""{_CLOSES}, {_pat()},
-k AS (SELECT DISTINCT symbol, {_KEY.format('signs')} AS pattern, {_KEY.format('list_concat([-signs[1]], signs[2:])')} AS similar, {_KEY.format('signs[2:]')} AS "offset" FROM p),
-f AS (SELECT pattern, similar, "offset", count(DISTINCT symbol) AS pattern_freq FROM k GROUP BY ALL),
+k AS (SELECT DISTINCT symbol, {_KEY.format('signs')} AS pattern, {_KEY.format('list_concat([-signs[1]], signs[2:])')} AS "similar", {_KEY.format('signs[2:]')} AS "offset" FROM p),
+f AS (SELECT pattern, "similar", "offset", count(DISTINCT symbol) AS pattern_freq FROM k GROUP BY ALL),
 fr AS (SELECT f.*, coalesce(s.pattern_freq, 0) AS similar_freq, coalesce(o.pattern_freq, 0) AS offset_freq,
   CAST({hu('f.pattern_freq * 100', 'f.pattern_freq + coalesce(s.pattern_freq, 0)', 2)} AS DOUBLE) / 100 AS accuracy
-  FROM f LEFT JOIN f s ON f.similar = s.pattern LEFT JOIN f o ON f."offset" = o.pattern)"""
+  FROM f LEFT JOIN f s ON f."similar" = s.pattern LEFT JOIN f o ON f."offset" = o.pattern)"""
 ORACLES["patterns"] = f"WITH {_FREQ} SELECT pattern, symbol FROM k"
 ORACLES["pattern_frequencies"] = f"WITH {_FREQ} SELECT * FROM fr"
 ORACLES["top_patterns"] = f"WITH {_FREQ} SELECT pattern, pattern_freq, accuracy FROM fr ORDER BY pattern_freq DESC, pattern LIMIT 10"
 ORACLES["top_offset_patterns"] = f'WITH {_FREQ} SELECT pattern, "offset", offset_freq, accuracy FROM fr ORDER BY pattern_freq DESC, pattern LIMIT 10'
 ORACLES["top_patterns_compat"] = f"""WITH {_FREQ} SELECT pattern, pattern_freq, accuracy FROM fr
 QUALIFY row_number() OVER (PARTITION BY pattern_freq ORDER BY pattern) = 1 ORDER BY pattern_freq DESC, pattern LIMIT 10"""
-ORACLES["similar_members"] = f"WITH {_FREQ} SELECT fr.pattern, k.symbol FROM fr JOIN k ON k.pattern = fr.similar"
-ORACLES["merged_patterns"] = f"""WITH {_CLOSES}, {_pat('o_custkey % 3 <= 1', 'a')}, {_pat('o_custkey % 3 >= 1', 'b')},
-u AS (SELECT symbol, {_KEY.format('signs')} AS pattern FROM a UNION SELECT symbol, {_KEY.format('signs')} FROM b)
+ORACLES["similar_members"] = f'WITH {_FREQ} SELECT fr.pattern, k.symbol FROM fr JOIN k ON k.pattern = fr."similar"'
+ORACLES["merged_patterns"] = f"""WITH {_CLOSES}, {_pat('o_custkey % 3 <= 1', 'pa')}, {_pat('o_custkey % 3 >= 1', 'pb')},
+u AS (SELECT symbol, {_KEY.format('signs')} AS pattern FROM pa UNION SELECT symbol, {_KEY.format('signs')} FROM pb)
 SELECT pattern, count(*) AS symbols FROM u GROUP BY pattern"""
 ORACLES["incomplete_symbols"] = "SELECT 'C' || o_custkey AS symbol FROM orders GROUP BY o_custkey HAVING count(*) < 2"
 ORACLES["universe"] = """SELECT DISTINCT 'C' || c_custkey AS symbol FROM customer WHERE (c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_acctbal < 0)
@@ -860,7 +868,7 @@ SELECT symbol, {', '.join(f'CAST({sql} AS DOUBLE) / 100 AS {name}' for name, sql
 
 _BACK = "CASE isodow({0}) WHEN 6 THEN {0} - 1 WHEN 7 THEN {0} - 2 ELSE {0} END"
 _ON = "CASE isodow({0}) WHEN 6 THEN {0} + 2 WHEN 7 THEN {0} + 1 ELSE {0} END"
-ORACLES["market_days"] = f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders),
+ORACLES["market_days"] = f"""WITH d AS MATERIALIZED (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders),
 m AS (SELECT d, {_BACK.format('d')} AS today_market, {_BACK.format('(d - 1)')} AS yesterday_market, {_ON.format('(d + 1)')} AS tomorrow_market,
   CAST(d - INTERVAL 6 MONTH AS DATE) AS six_months_ago FROM d)
 SELECT *, strftime(today_market, '%m/%d/%Y') AS today_text, strftime(yesterday_market, '%m/%d/%Y') AS yesterday_text, strftime(tomorrow_market, '%m/%d/%Y') AS tomorrow_text,
@@ -883,7 +891,7 @@ SELECT c_custkey, CAST(unnest(range(len(f))) AS INTEGER) AS position, unnest(f)
 ORACLES["chart_json"] = f"WITH {bars()} SELECT symbol, date, o AS open, h AS high, l AS low, c AS close, c AS adj_close, v AS volume FROM n WHERE v % 11 <> 0"
 ORACLES["chart_closes"] = f"""WITH {bars()}, m AS (SELECT symbol || '/' || CAST(CAST(date_trunc('month', date) AS DATE) AS VARCHAR) AS symbol, count(*) AS closes, count(*) FILTER (WHERE v % 11 <> 0) AS known
 FROM n GROUP BY ALL) SELECT symbol, CASE WHEN closes < 2 THEN 0 ELSE closes END AS closes, CASE WHEN closes < 2 THEN 0 ELSE known END AS known FROM m"""
-ORACLES["quote_json"] = f"""WITH {_SUP}, q AS (SELECT *, id % 10 = 0 AS incomplete FROM quo)
+ORACLES["quote_json"] = f"""WITH {_SUP}, q AS MATERIALIZED (SELECT *, id % 10 = 0 AS incomplete FROM quo)
 SELECT symbol, CASE WHEN incomplete THEN 0 ELSE last / 100.0::DOUBLE END AS last, CASE WHEN incomplete THEN 0 ELSE least(yl, last) / 100.0::DOUBLE END AS year_low,
 CASE WHEN incomplete THEN 0 ELSE yh / 100.0::DOUBLE END AS year_high, CASE WHEN incomplete OR eps <= 100 THEN 0 ELSE eps / 100.0::DOUBLE END AS diluted_eps,
 CASE WHEN incomplete THEN 0 ELSE CAST(qv AS DOUBLE) END AS volume, CASE WHEN incomplete THEN 0 ELSE cap END AS market_cap,
@@ -895,6 +903,6 @@ ORACLES["screener_json"] = "SELECT DISTINCT c_mktsegment AS list, 'C' || c_custk
 ORACLES["pipe_directory"] = "SELECT DISTINCT c_name AS symbol FROM customer"
 ORACLES["rank_list"] = "SELECT DISTINCT s_name AS symbol FROM supplier"
 ORACLES["earnings_calendar"] = "SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS time, count(*) AS symbols FROM orders GROUP BY ALL"
-ORACLES["line_set"] = r"""WITH l AS (SELECT DISTINCT trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(10)) AS v FROM documents)
+ORACLES["line_set"] = r"""WITH l AS MATERIALIZED (SELECT DISTINCT trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(10)) AS v FROM documents)
 SELECT CAST(length(v) AS INTEGER) AS length, count(*) AS lines FROM l WHERE v <> '' GROUP BY ALL"""
 ORACLES["token_set"] = r"SELECT DISTINCT unnest(string_split_regex(text, '\s*,\s*')) AS value FROM benchmark"
