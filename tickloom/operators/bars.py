@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.numeric import to_units
-from tickloom.session import stage
+from tickloom.session import spread, stage
 
 # A slice with its halo stays below Spark's in-memory window buffer of 4096 rows.
 SLICE_ROWS = 3072
@@ -98,10 +98,7 @@ def slice_bars(numbered: DataFrame, halo: int, slice_rows: int = SLICE_ROWS, ahe
         .withColumn("own", F.col("slice") == F.col("_home"))
         .drop("_home")
     )
-    # Indicator work is heavy per byte, so the partition count is pinned here:
-    # adaptive coalescing by size would fold small inputs into a few tasks.
-    partitions = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sliced.repartition(partitions, "symbol", "slice")
+    return spread(sliced, "symbol", "slice")
 
 
 def series_bounds(numbered: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.operators.bars import SLICE_ROWS, slice_bars
 from tickloom.operators.ledger import KEYS, Ledger
+from tickloom.session import spread
 
 
 def holdings(ledger: Ledger) -> DataFrame:
@@ -62,7 +63,7 @@ def value_curve(
     # One short list of strategies and accounts per symbol; its length is set by the caller, not the data.
     lanes = ledger.accounts.groupBy("symbol").agg(F.collect_list(F.struct(*KEYS[1:])).alias("_lanes"))
     laned = bars.join(lanes, "symbol").withColumn("_lane", F.explode("_lanes")).select("*", "_lane.*")
-    both = laned.drop("_lanes", "_lane").unionByName(starts, allowMissingColumns=True)
+    both = spread(laned.drop("_lanes", "_lane").unionByName(starts, allowMissingColumns=True), *KEYS, "slice")
     # At equal bar numbers the segment start (no close) sorts before the bar.
     inside = Window.partitionBy(*KEYS, "slice").orderBy("i", F.col("u").asc_nulls_first())
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.functions.numeric import UNIT
 from tickloom.operators.bars import series_bounds
 from tickloom.operators.signals import BUY
-from tickloom.session import stage
+from tickloom.session import spread, stage
 
 ROUND_BARS = 16_384
+CHUNK = 64
 MONEY = "decimal(38,0)"
 KEYS = ["symbol", "strategy_no", "strategy", "capital_u", "commission_u"]
 
@@ -30,6 +31,7 @@ STATE = (
     "struct<cash:{m},shares:bigint,entry_i:bigint,entry_date:{d},entry_u:bigint,"
     "flat_from:bigint,cash_before:{m},trades:array<" + TRADE + ">>"
 )
+FIELDS = ["cash", "shares", "entry_i", "entry_date", "entry_u", "flat_from", "cash_before"]
 
 
 @dataclass(frozen=True)
@@ -51,8 +53,8 @@ def _start(dates: str) -> str:
     )
 
 
-def _fold(start: str) -> str:
-    """SQL fold of the ordered ``events`` over a state; buys open when flat and affordable, sells close."""
+def _step() -> str:
+    """State after event ``e`` in state ``s``: buys open when flat and affordable, sells close."""
     shares = _affordable("s", "e")
     cash = f"cast(s.cash - cast({shares} AS decimal(20,0)) * e.u - commission_u AS {MONEY})"
     opened = (
@@ -61,8 +63,23 @@ def _fold(start: str) -> str:
     )
     buys = f"e.buy AND s.shares = 0 AND e.u > 0 AND {shares} > 0"
     sells = "NOT e.buy AND s.shares > 0"
-    step = f"CASE WHEN {buys} THEN {opened} WHEN {sells} THEN {_close('s', 'e')} ELSE s END"
-    return f"aggregate(events, {start}, (s, e) -> {step})"
+    return f"CASE WHEN {buys} THEN {opened} WHEN {sells} THEN {_close('s', 'e')} ELSE s END"
+
+
+def chunked_fold(step: str, fields: list[str], trades: str) -> str:
+    """SQL fold of the ordered ``events`` over ``state`` with ``step``, in chunks.
+
+    Each step copies the state, finished trades included.  A chunk therefore
+    starts with no trades and hands its own to the state over all chunks, which
+    is copied once per chunk only.
+    """
+    fresh = ", ".join(f"'{f}', t.{f}" for f in fields)
+    taken = ", ".join(f"'{f}', x.{f}" for f in fields)
+    start = f"named_struct({fresh}, 'trades', cast(array() AS {trades}))"
+    inner = f"aggregate(slice(events, k * {CHUNK} + 1, {CHUNK}), {start}, (s, e) -> {step})"
+    joined = f"named_struct({taken}, 'trades', concat(t.trades, x.trades))"
+    chunks = f"sequence(0, (size(events) - 1) div {CHUNK})"
+    return f"aggregate({chunks}, state, (t, k) -> aggregate(array(0), {inner}, (x, once) -> {joined}))"
 
 
 def _affordable(s: str, bar: str) -> str:
@@ -117,7 +134,7 @@ def run_ledger(
     )
     closing = f"CASE WHEN state.shares > 0 THEN {_close('state', 'last')} ELSE state END"
     return fold_rounds(
-        lanes(numbered, strategies, accounts), events, _start(dates), _fold("state"), closing,
+        lanes(numbered, strategies, accounts), events, _start(dates), _step(), FIELDS, closing,
         TRADE.format(d=dates, m=MONEY), _last_bar(numbered), round_bars,
     )
 
@@ -140,14 +157,16 @@ def lanes(numbered: DataFrame, strategies: list, accounts: list[Account]) -> Dat
 
 
 def fold_rounds(
-    base: DataFrame, events: DataFrame, start: str, fold: str, closing: str, trade_type: str,
+    base: DataFrame, events: DataFrame, start: str, step: str, fields: list[str], closing: str, trade_type: str,
     last_i: int, round_bars: int,
 ) -> Ledger:
     """Fold each lane's ``event`` structs in bar order, a bounded number of bars per round.
 
-    ``fold`` is SQL over ``events`` (this round's, ordered) and ``state``;
-    ``closing`` settles what is open on the last bar.
+    ``step`` is SQL for the state after event ``e`` in state ``s``, ``fields``
+    the state's fields besides ``trades``; ``closing`` settles what is open on
+    the last bar.
     """
+    fold = chunked_fold(step, fields, f"array<{trade_type}>")
     rounds = last_i // round_bars + 1
     events = events.withColumn("_round", F.call_function("div", F.col("i"), F.lit(round_bars)))
     if rounds > 1:
@@ -155,7 +174,7 @@ def fold_rounds(
     states, past = base.withColumn("state", F.expr(start)), []
     for n in range(rounds):
         lists = (
-            events.filter(F.col("_round") == n)
+            spread(events.filter(F.col("_round") == n), "symbol", "strategy_no")
             .groupBy("symbol", "strategy_no")
             .agg(F.array_sort(F.collect_list("event")).alias("events"))
         )

@@ -306,19 +306,16 @@ def _closed(s: str, e: str, rate: float) -> str:
     return _settle(s, f"cast(round({model} * {UNIT}) AS bigint)", f"{e}.i", f"{e}.date", "CLOSED")
 
 
-def _fold(rate: float) -> str:
+def _step(rate: float) -> str:
     due = "s.contracts > 0 AND e.i >= s.entry_i + s.days"
     act = (
-        f"CASE WHEN e.open AND x.contracts = 0 THEN {_opened('x', 'e')} "
+        f"CASE WHEN {due} AND e.i = s.entry_i + s.days THEN x "
+        f"WHEN e.open AND x.contracts = 0 THEN {_opened('x', 'e')} "
         f"WHEN NOT e.open AND x.contracts > 0 THEN {_closed('x', 'e', rate)} ELSE x END"
     )
-    # The one-element transform names the state after settling, so that it is computed once.
-    settled_first = f"transform(array({_expired('s')}), x -> {act})[0]"
-    plain = act.replace("x.", "s.").replace("ELSE x END", "ELSE s END")
-    return (
-        f"aggregate(events, state, (s, e) -> CASE WHEN {due} AND e.i = s.entry_i + s.days THEN {_expired('s')} "
-        f"WHEN {due} THEN {settled_first} ELSE {plain} END)"
-    )
+    # The one-step fold names the state after settling, so that it is computed once.
+    settled = f"IF({due}, {_expired('s')}, s)"
+    return f"aggregate(array(0), {settled}, (x, once) -> {act})"
 
 
 def run_option_ledger(
@@ -340,7 +337,7 @@ def run_option_ledger(
         f"ELSE state END"
     )
     return fold_rounds(
-        lanes(numbered, strategies, accounts), events, _start(dates), _fold(rate), closing,
+        lanes(numbered, strategies, accounts), events, _start(dates), _step(rate), ["cash", "flat_from", *FIELDS], closing,
         TRADE.format(d=dates), _last_bar(numbered), round_bars,
     )
 

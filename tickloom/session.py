@@ -26,6 +26,16 @@ def local_session(app: str, cpus: str = "8") -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's shuffle partitions.
+
+    For steps that are heavy per byte: adaptive coalescing goes by size and
+    would fold their small inputs into a few tasks.  The step itself then
+    needs no exchange of its own.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` to the shared folder the session names.
 

@@ -31,7 +31,7 @@ def order_bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> Dat
     lines = table(spark, sf_dir, "lineitem")
     if symbol.startswith("p_"):
         lines = lines.join(table(spark, sf_dir, "part"), lines.l_partkey == F.col("p_partkey"))
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
     quantity = F.col("l_quantity").cast("bigint")
     priced = lines.select(
         F.col(symbol).cast("string").alias("symbol"),
@@ -40,17 +40,16 @@ def order_bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> Dat
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
         quantity.alias("q"),
     )
-    packed = F.col("k").cast("decimal(20,0)") * F.lit(PRICE_ROOM).cast("decimal(11,0)") + F.col("px").cast(
-        "decimal(11,0)"
-    )
     room = F.lit(PRICE_ROOM).cast("decimal(11,0)")
+    packed = F.col("k").cast("decimal(20,0)") * room + F.col("px").cast("decimal(11,0)")
     return (
-        priced.groupBy("symbol", "date")
+        priced.withColumn("packed", packed)
+        .groupBy("symbol", "date")
         .agg(
-            F.min(packed).alias("_first"),
+            F.min("packed").alias("_first"),
             F.max("px").alias("_high"),
             F.min("px").alias("_low"),
-            F.max(packed).alias("_last"),
+            F.max("packed").alias("_last"),
             F.sum("q").alias("volume"),
         )
         .select(
@@ -74,7 +73,7 @@ def _half_up(numerator: Column, denominator: Column) -> Column:
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars per event type; ``date`` is the hour's timestamp."""
     events = table(spark, sf_dir, "events")
-    cents = F.round(F.col("value") * 100).cast("bigint")
+    cents = F.rint(F.col("value") * 100).cast("bigint")
     # Microseconds fit 17 digits; the event id breaks ties between equal instants.
     key = (
         F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(18,0)") * F.lit(10**12).cast("decimal(13,0)")
