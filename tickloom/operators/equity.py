@@ -60,9 +60,14 @@ def value_curve(
         *KEYS, "slice", F.expr(f"greatest(from_i, slice * {slice_rows} - 1)").alias("i"),
         F.struct(*holding).alias("held"),
     )
-    # One short list of strategies and accounts per symbol; its length is set by the caller, not the data.
-    lanes = ledger.accounts.groupBy("symbol").agg(F.collect_list(F.struct(*KEYS[1:])).alias("_lanes"))
-    laned = bars.join(lanes, "symbol").withColumn("_lane", F.explode("_lanes")).select("*", "_lane.*")
+    # One short list of strategies and accounts per symbol and slice; its length is set by
+    # the caller, not the data, and the join stays on the partitioning of the bars.
+    slices = F.explode(F.expr(f"sequence(0L, (bars - 1) div {slice_rows})")).alias("slice")
+    lanes = (
+        ledger.accounts.groupBy("symbol", "bars").agg(F.collect_list(F.struct(*KEYS[1:])).alias("_lanes"))
+        .select("symbol", "_lanes", slices)
+    )
+    laned = bars.join(lanes, ["symbol", "slice"]).withColumn("_lane", F.explode("_lanes")).select("*", "_lane.*")
     both = spread(laned.drop("_lanes", "_lane").unionByName(starts, allowMissingColumns=True), *KEYS, "slice")
     # At equal bar numbers the segment start (no close) sorts before the bar.
     inside = Window.partitionBy(*KEYS, "slice").orderBy("i", F.col("u").asc_nulls_first())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def current_price(last: Column, close: Column) -> Column:
@@ -17,11 +17,11 @@ def year_low(low: Column, last: Column) -> Column:
 def average_volume(numbered: DataFrame, days: int) -> DataFrame:
     """Mean volume of the last ``days`` bars (fewer if there are fewer), to a whole number.
 
-    The tail is found by distance from the last bar number, an aggregate; no
-    series is sorted as a whole.
+    The rank filter also limits each input task to ``days`` rows per symbol
+    before the shuffle, so no series is sorted as a whole.
     """
-    ends = numbered.groupBy("symbol").agg(F.max("i").alias("_end"))
-    tail = numbered.join(ends, "symbol").filter(F.col("_end") - F.col("i") < days)
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("i")))
+    tail = numbered.select("symbol", "volume", rank.alias("_rank")).filter(F.col("_rank") <= days)
     return tail.groupBy("symbol").agg(F.round(F.sum("volume") / F.count("*"), 0).alias("average_volume"))
 
 

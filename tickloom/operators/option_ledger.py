@@ -159,15 +159,14 @@ def standard_option_strategies() -> list:
 def tail_volatility(numbered: DataFrame, lookback: int = VOLATILITY_LOOKBACK) -> DataFrame:
     """Volatility of the last k closes of each whole series, k = 1..lookback: (symbol, k, tail_vol).
 
-    Only ``lookback`` bars per symbol are ever ordered: they are picked by
-    their distance from the last bar, which is an aggregate.
+    The rank filter also limits each input task to ``lookback`` rows per symbol
+    before the shuffle, so no series is sorted as a whole.
     """
-    ends = numbered.groupBy("symbol").agg(F.max("i").alias("_end"))
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("i")))
     tail = (
-        numbered.join(ends, "symbol")
-        .withColumn("back", F.col("_end") - F.col("i"))
-        .filter(F.col("back") < lookback)
-        .select("symbol", "back", F.col("close").cast("double").alias("c"))
+        numbered.select("symbol", F.col("close").cast("double").alias("c"), rank.alias("_rank"))
+        .filter(F.col("_rank") <= lookback)
+        .select("symbol", "c", (F.col("_rank") - 1).cast("bigint").alias("back"))
     )
     backwards = Window.partitionBy("symbol").orderBy("back")
     returns = tail.withColumn("_before", F.lead("c").over(backwards)).withColumn(
@@ -186,12 +185,20 @@ def with_volatility(bars: DataFrame, numbered: DataFrame, vol_mode: str) -> Data
         return bars
     if vol_mode != "compat":
         raise ValueError("vol_mode is 'asof' or 'compat'")
-    k = F.least(F.col("i") + 1, F.lit(VOLATILITY_LOOKBACK))
+    # Nearly all bars of a series share one k, so the few values are repeated per slice
+    # and joined on (symbol, slice, k): no task gets more than a slice of a series.
+    ends = numbered.groupBy("symbol").agg(F.max("i").alias("_end"))
+    per_slice = tail_volatility(numbered).join(ends, "symbol").select(
+        "symbol", "k", "tail_vol", F.explode(F.expr(f"sequence(0L, _end div {SLICE_ROWS})")).alias("_slice")
+    )
     return (
-        bars.withColumn("k", k)
-        .join(tail_volatility(numbered), ["symbol", "k"])
+        bars.withColumns({
+            "k": F.least(F.col("i") + 1, F.lit(VOLATILITY_LOOKBACK)),
+            "_slice": F.call_function("div", F.col("i"), F.lit(SLICE_ROWS)),
+        })
+        .join(per_slice, ["symbol", "_slice", "k"])
         .withColumn("vol", F.col("tail_vol"))
-        .drop("k", "tail_vol")
+        .drop("k", "_slice", "tail_vol")
     )
 
 

@@ -51,7 +51,7 @@ def _runner():
             stop = low[0] if rising else high[0]
             extreme = (high[1] if rising else low[1]) if len(bars) > 1 else low[0]
             factor = start
-            if number[0] == 0:
+            if begin == 0:
                 sar = [low[0]] * at
                 entry = (rising, stop, extreme, factor)
         for k in range(at, len(bars)):
@@ -100,7 +100,7 @@ def _broken(runs: DataFrame) -> DataFrame:
 def parabolic_sar(sliced: DataFrame) -> DataFrame:
     """symbol, slice, i, ``sar`` (four places) and the bar before's ``p_sar`` of every own bar.
 
-    ``sliced`` needs ``HALO`` bars of halo for speed, three for correctness.
+    ``sliced`` needs ``HALO`` bars of halo for speed, three (and slices of three) for correctness.
 
     Each round is checkpointed: the check reads it twice, and lineage stays short.
     """
