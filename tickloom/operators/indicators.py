@@ -88,9 +88,18 @@ def _smooth(window: str, period: int, weight: float) -> str:
 # --- moving averages -------------------------------------------------------
 
 
+# Running sum of closes in units within the slice.  Whole numbers, so differences of it are exact.
+RUNNING = {"_run": "sum(u) OVER (PARTITION BY symbol, slice ORDER BY i ROWS UNBOUNDED PRECEDING)"}
+
+
+def total(period: int) -> str:
+    """Sum of the last ``period`` closes (fewer at the start), at the cost of one row whatever the period."""
+    return f"(_run - coalesce({prev('_run', period)}, 0L))"
+
+
 def sma(period: int) -> Levels:
-    """Simple moving average from bar period-1 on; the sum in units is exact."""
-    return [{f"sma_{period}": gate(period - 1, f"sum(u) {rows(period - 1)} / {float(period * UNIT)}D")}]
+    """Simple moving average from bar period-1 on."""
+    return [RUNNING, {f"sma_{period}": gate(period - 1, f"{total(period)} / {float(period * UNIT)}D")}]
 
 
 def ema(period: int) -> Levels:

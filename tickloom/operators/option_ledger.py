@@ -82,7 +82,7 @@ class CoveredCall:
         return self.period + 1
 
     def indicators(self) -> ind.Levels:
-        return [{f"sum_{self.period}": f"sum(u) {ind.rows(self.period - 1)}"}]
+        return [ind.RUNNING, {f"sum_{self.period}": ind.total(self.period)}]
 
     def open(self) -> str:
         total = f"sum_{self.period}"
@@ -126,8 +126,8 @@ class ProtectivePut:
 
     def indicators(self) -> ind.Levels:
         past = ind.prev("u", self.lookback)
-        return [{
-            f"sum_{self.period}": f"sum(u) {ind.rows(self.period - 1)}",
+        return [ind.RUNNING, {
+            f"sum_{self.period}": ind.total(self.period),
             f"change_{self.lookback}": f"CASE WHEN {past} > 0 THEN round((u - {past}) / {past}, 6) ELSE 0.0D END",
         }]
 

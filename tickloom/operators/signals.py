@@ -63,8 +63,8 @@ class SmaCrossover:
 
     def indicators(self) -> ind.Levels:
         # Sums in units, cross-multiplied: the comparison of the two means is exact.
-        short, long = (f"sum(u) {ind.rows(n - 1)}" for n in (self.short, self.long))
-        return [{f"above_{self.short}_{self.long}": f"{short} * {self.long} > {long} * {self.short}"}]
+        short, long = ind.total(self.short), ind.total(self.long)
+        return [ind.RUNNING, {f"above_{self.short}_{self.long}": f"{short} * {self.long} > {long} * {self.short}"}]
 
     def buy(self) -> str:
         above = f"above_{self.short}_{self.long}"
