@@ -5,9 +5,8 @@ state is kept by digest in RocksDB and never expires: the largest doc_id seen
 (the stable identifier), that row's locator, and how many rows came.  Spark
 aggregates each micro-batch before the shuffle, so a text that a third of all
 rows share sends one row per task.  A hit on a digest proves nothing yet: the
-full bytes of every document of a digest that came more than once are checked
-against the row the state names, and digests with differing texts are grouped
-anew by the texts themselves.
+full bytes of all documents that share a digest are compared, and digests with
+differing texts are grouped anew by the texts themselves.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": STORE,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    "spark.sql.streaming.metricsEnabled": "false",
+    # Else every store's files take up megabytes before they hold a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -111,7 +111,7 @@ def dedup(docs: DataFrame, digest=sha256, files_per_batch: int = FILES_PER_BATCH
     stored = spark.read.parquet(landed)
     state = run_stream(spark, landed, stored.schema, files_per_batch)
 
-    differing = cut(_differing(contents(docs, digest), state))
+    differing = cut(_differing(contents(docs, digest)))
     answer = state.withColumnsRenamed({"locator": "keep_locator"})
     if not differing.isEmpty():
         answer = answer.join(differing, "digest", "left_anti")
@@ -122,12 +122,13 @@ def dedup(docs: DataFrame, digest=sha256, files_per_batch: int = FILES_PER_BATCH
     return rows.withColumn("kept", kept).drop("keep_locator")
 
 
-def _differing(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Digests whose documents are not all equal, byte by byte, to the document the state names."""
-    named = state.filter("group_size > 1").select("digest", "keep_id", F.col("locator").alias("keep_locator"))
-    hits = rows.join(named, "digest")
-    kept = hits.filter("doc_id <=> keep_id AND locator <=> keep_locator").groupBy("digest").agg(F.min("text").alias("kept_text"))
-    return hits.join(kept, "digest").filter("text <> kept_text").select("digest").distinct()
+def _differing(rows: DataFrame) -> DataFrame:
+    """Digests whose documents are not all equal byte by byte: whose least and greatest text differ.
+
+    Each task first compares its own copies, so that a large group of copies
+    shuffles a text per task.
+    """
+    return rows.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).filter("least <> most").select("digest")
 
 
 def _regrouped(rows: DataFrame, differing: DataFrame) -> DataFrame:
