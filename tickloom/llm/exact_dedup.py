@@ -109,7 +109,8 @@ def dedup(docs: DataFrame, digest=sha256, files_per_batch: int = FILES_PER_BATCH
     landed = shared_folder(spark, "arrivals")
     contents(docs, digest).drop("text").write.parquet(landed)
     stored = spark.read.parquet(landed)
-    state = run_stream(spark, landed, stored.schema, files_per_batch)
+    # Stored, so that the join below can split a digest that many documents share.
+    state = cut(run_stream(spark, landed, stored.schema, files_per_batch))
 
     differing = cut(_differing(contents(docs, digest)))
     answer = state.withColumnsRenamed({"locator": "keep_locator"})
