@@ -187,5 +187,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
         .groupBy("root").agg(F.min("least").alias("component_id"))
     )
     linked = roots.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Stored, so that the last join can split a fingerprint that many documents share.
+    by_fp = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
