@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import exact_dedup, kd_shards, mixing, simhash
-from tickloom.llm.common import table
+from tickloom.llm import chunk_prints, exact_dedup, kd_shards, mixing, piece_agenda, simhash, token_files
+from tickloom.llm.common import shared_folder, table
+
+
+def op1_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return chunk_prints.against_next(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +20,13 @@ def op2_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's tokens, from the written files."""
+    folder = shared_folder(spark, "token-codes")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, folder)
+
+
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row of equal texts stays, for every document."""
     found = exact_dedup.dedup(table(spark, sf_dir, "documents"))
@@ -26,13 +39,28 @@ def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "doc.source", F.col("tokens").alias("n_tokens"), "weight", "passes", "copies")
 
 
+def op9_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's SentencePiece ids and of the text they decode to."""
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    found = piece_agenda.decode(piece_agenda.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, by shards of near-equal bytes."""
     placed = kd_shards.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_balls, op6_stream_dedup, op8_temperature_mix, op10_kd_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chunk_prints, op2_simhash_balls, op5_token_codes, op6_stream_dedup, op8_temperature_mix, op9_piece_agenda, op10_kd_shards,
+    )
+}
 
 ORACLES = {
     "op6_stream_dedup": """
