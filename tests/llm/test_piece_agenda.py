@@ -60,6 +60,7 @@ def test_query_equals_the_library(spark, small, documents, library):
 def test_odd_rows_and_empty_table(odd, empty, library):
     rows = piece_agenda.decode(piece_agenda.encode(odd, VOCABULARY), VOCABULARY).collect()
     assert len(rows) == 11
+    assert sorted(map(str, rows)) == sorted(map(str, piece_agenda.encode(odd, VOCABULARY, with_text=True).collect()))
     want = sorted(library.encode(t or "", add_eos=True) for t in [r.text for r in odd.select("text").collect()])
     assert sorted(r.ids for r in rows) == want
     assert {r.text for r in rows if r.doc_id in (3, 4)} == {""}

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.llm.common import text_of
 
 BLANK = "▁"
-STORED_WORDS, STORED_LENGTH = 400_000, 64
+STORED_WORDS, STORED_LENGTH, JOINED_WORDS = 300_000, 64, 1000
+ROWS_AT_ONCE = 1000
 # What the fast path leaves alone: blanks at the ends or side by side, and the blank's own character.
 _ODD = re.compile(f"^ |  | $|{BLANK}")
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
@@ -63,61 +64,70 @@ class Pieces:
                 self.ids[piece] = i
                 self.cost[piece] = -library.get_score(i)
                 shown.append(piece.replace(BLANK, " "))
-                if BLANK in piece.lstrip(BLANK):
-                    raise ValueError("a piece joins words; they can't be encoded apart")
+                if BLANK in piece.lstrip(BLANK) or "\n" in piece:
+                    raise ValueError("a piece joins words or lines; they can't be encoded apart")
         self.shown = np.array(shown, object)
         self.control = np.array([library.is_control(i) for i in range(size)])
         self.end = library.eos_id()
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fresh: list[tuple[str, bytes]] = []
 
     def join(self, word: str) -> list[int]:
         """The ids of a word that begins with its blanks, by the agenda."""
-        cost, symbols = self.cost, list(word)
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            piece = symbols[i] + symbols[i + 1]
-            if piece in cost:
-                agenda.append((cost[piece], i, i + 1, piece))
+        cost, n = self.cost.get, len(word)
+        # A symbol is a run of characters: where the one that begins here ends (0 once it was joined to the left),
+        # and where the one that ends here begins.
+        stop, begin = list(range(1, n + 1)), list(range(-1, n))
+        agenda = [(c, i, i + 2) for i in range(n - 1) if (c := cost(word[i : i + 2])) is not None]
         heapify(agenda)
         while agenda:
-            _, i, j, piece = heappop(agenda)
-            # Joined since, on either side?
-            if symbols[i] is None or after[i] != j or len(symbols[i]) + len(symbols[j]) != len(piece):
-                continue
-            symbols[i], symbols[j] = piece, None
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                longer = piece + symbols[k]
-                if longer in cost:
-                    heappush(agenda, (cost[longer], i, k, longer))
-            h = before[i]
-            if h >= 0:
-                longer = symbols[h] + piece
-                if longer in cost:
-                    heappush(agenda, (cost[longer], h, i, longer))
+            _, i, end = heappop(agenda)
+            middle = stop[i]
+            if not middle or middle >= end or stop[middle] != end:
+                continue  # a side was joined otherwise since
+            stop[i], stop[middle], begin[end] = end, 0, i
+            if end < n and (c := cost(word[i : stop[end]])) is not None:
+                heappush(agenda, (c, i, stop[end]))
+            if i and (c := cost(word[begin[i] : end])) is not None:
+                heappush(agenda, (c, begin[i], end))
         out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                found = self.ids.get(s)
-                out += [found] if found is not None else [self.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
+        i = 0
+        while i < n:
+            found = self.ids.get(word[i : stop[i]])
+            out += [found] if found is not None else [self.bytes[b] for b in word[i : stop[i]].encode("utf-8", "surrogatepass")]
+            i = stop[i]
         return out
 
     def word(self, word: str) -> bytes:
         """The ids of a word, given without its first blank, as bytes of 32-bit integers."""
         found = self.words.get(word)
         if found is None:
-            found = np.array(self.join(BLANK + word), "<i4").tobytes()
-            self.fresh.append((word, found))
-            if len(word) <= STORED_LENGTH:
-                if len(self.words) >= STORED_WORDS:
-                    self.words.clear()
-                self.words[word] = found
+            found = self.older.get(word)
+            if found is None:
+                found = self._new(word)
+                self.fresh.append((word, found))
+            self._store(word, found)
         return found
 
+    def _new(self, word: str) -> bytes:
+        first, *lines = word.split("\n")
+        found = np.array(self.join(BLANK + first), "<i4").tobytes()
+        # No piece holds a line end, so what stands on either side is apart.
+        for line in lines:
+            key = "\n" + line
+            rest = self.words.get(key) or self.older.get(key) or np.array(self.join(key), "<i4").tobytes()
+            self._store(key, rest)
+            found += rest
+        return found
+
+    def _store(self, word: str, ids: bytes) -> None:
+        if len(word) <= STORED_LENGTH:
+            if len(self.words) >= STORED_WORDS:
+                # Words met since the last turn stay for another one.
+                self.older, self.words = self.words, {}
+            self.words[word] = ids
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, without an end id; an empty text has none."""
         if not text:
@@ -148,12 +158,14 @@ class Pieces:
     def check(self, text: str | None = None) -> None:
         """Hold the words encoded since the last check, and a whole text, against the library."""
         fresh, self.fresh = self.fresh, []
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            for (word, mine), theirs in zip(part, self.library.encode([w.replace(BLANK, " ") for w, _ in part], num_threads=1)):
-                # The library gives an empty text no ids; here it is a blank.
-                if word and np.frombuffer(mine, "<i4").tolist() != theirs:
-                    raise RuntimeError(f"the library encodes {word!r} otherwise")
+        # Words with blanks of their own go alone, the others thousands to a text.
+        alone = [(w, ids) for w, ids in fresh if not w or _ODD.search(w)]
+        plain = [(w, ids) for w, ids in fresh if w and not _ODD.search(w)]
+        groups = [[x] for x in alone if x[0]] + [plain[at : at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS)]
+        texts = [" ".join([w for w, _ in group]).replace(BLANK, " ") for group in groups]
+        for group, theirs in zip(groups, self.library.encode(texts, num_threads=1)):
+            if np.frombuffer(b"".join([ids for _, ids in group]), "<i4").tolist() != theirs:
+                raise RuntimeError(f"the library encodes otherwise one of the words from {group[0][0]!r} on")
         if text is not None:
             ids = self.library.encode(text)
             if self.encode(text).tolist() != ids or self.decode(np.array(ids, np.int32)) != self.library.decode(ids):
@@ -170,8 +182,22 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id and ids (with the end id) of every document.
+def _batch(model: Pieces, keys: pa.Array, texts: list[str], with_text: bool):
+    """Encode a batch, check it, and yield its rows in runs whose ids 32-bit offsets can number."""
+    end = np.array([model.end], np.int32)
+    found = [np.concatenate((model.encode(t), end)) for t in texts]
+    model.check(texts[0] if texts else None)
+    sizes = np.array([len(x) for x in found], np.int64)
+    for a, b in _runs(sizes):
+        offsets = np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int32)
+        columns = [keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found[a:b])))]
+        if with_text:
+            columns.append(pa.array([model.decode(x) for x in found[a:b]], pa.string()))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
+
+
+def encode(docs: DataFrame, vocabulary: str, with_text: bool = False) -> DataFrame:
+    """doc_id and ids (with the end id) of every document; ``with_text`` adds the text these ids decode to.
 
     Null texts count as empty: the end id alone.  Texts of any length go
     through whole; an empty table gives no rows; other columns are ignored.
@@ -180,19 +206,12 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         model = pieces(vocabulary)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            end = np.array([model.end], np.int32)
-            found = [x for t in texts for x in (model.encode(t), end)]
-            sizes = np.array([len(found[i]) + 1 for i in range(0, len(found), 2)], np.int64)
-            model.check(texts[0] if texts else None)
-            # Offsets of 32 bits: rows go out in runs whose ids they can number.
-            for a, b in _runs(sizes):
-                offsets = np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found[2 * a : 2 * b])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=["doc_id", "ids"])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield from _batch(model, part.column(0), part.column(1).to_pylist(), with_text)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return rows.mapInArrow(run, "doc_id bigint, ids array<int>" + ", text string" * with_text)
 
 
 def _runs(sizes: np.ndarray, most: int = 1 << 22):

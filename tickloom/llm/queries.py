@@ -41,8 +41,7 @@ def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's SentencePiece ids and of the text they decode to."""
-    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
-    found = piece_agenda.decode(piece_agenda.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    found = piece_agenda.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_text=True)
     return found.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
