@@ -40,7 +40,6 @@ def test_pieces_encode_as_the_library(tokenizer, documents):
     texts += ["".join(rng.choice(["a", "Be", " ", "  ", "\n", "\t", "'s", "é", "　", " ", "12", "!", "🙂", "\x1c", "\x00"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
     texts += ["", " ", "  ", "a ", " a", "<|endoftext|> x", "x" * 5000]
     texts += ["a.\nB c", "a\n\nb", "\na b\n", "x y\nz\nw v", "x\r\ny z", "a \nb", "q a\n b"]
-    assert len({len(model.learn([t]) or "") for t in texts}) == 1
     for text in texts:
         assert np.frombuffer(model.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 

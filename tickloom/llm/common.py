@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -34,6 +35,41 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+class Recent(dict):
+    """What ``make`` gives for a key, kept for keys met lately: at most two generations of ``size`` keys, none longer than ``longest``."""
+
+    def __init__(self, make, size: int = 300_000, longest: int = 64):
+        self.make, self.size, self.longest, self.older = make, size, longest, {}
+
+    def __missing__(self, key: str):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with the content locator of each row.
+
+    File and row number where ``docs`` comes straight from files, else null:
+    the content is then found by doc_id alone.  A column of that name is
+    renamed.
+    """
+    if "locator" in docs.columns:
+        docs = docs.withColumnRenamed("locator", "_other_locator")
+    try:
+        return docs.withColumn("locator", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException as error:
+        if "UNRESOLVED_COLUMN" not in str(error):
+            raise
+        return docs.withColumn("locator", F.lit(None).cast("string"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) per node, root the smallest node reachable.
 

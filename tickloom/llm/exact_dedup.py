@@ -11,11 +11,10 @@ differing texts are grouped anew by the texts themselves.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tickloom.llm.common import cut, shared_folder, text_of
+from tickloom.llm.common import cut, located, shared_folder, text_of
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILES_PER_BATCH = 1024
@@ -34,23 +33,9 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with the content locator of each row.
-
-    File and row number where ``docs`` comes straight from files, else null:
-    the content is then found by doc_id alone.
-    """
-    try:
-        return docs.withColumn("locator", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
-    except AnalysisException as error:
-        if "UNRESOLVED_COLUMN" not in str(error):
-            raise
-        return docs.withColumn("locator", F.lit(None).cast("string"))
-
-
 def contents(docs: DataFrame, digest=sha256) -> DataFrame:
     """doc_id, locator, text (null as empty) and digest of every row."""
-    return located(docs.withColumnRenamed("locator", "_other") if "locator" in docs.columns else docs).select(
+    return located(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "locator", text_of().alias("text")
     ).withColumn("digest", digest(F.col("text")))
 

@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.common import text_of
+from tickloom.llm.common import Recent, text_of
 
 BLANK = "▁"
-STORED_WORDS, STORED_LENGTH, JOINED_WORDS = 300_000, 64, 1000
+STORED_WORDS, JOINED_WORDS = 400_000, 1000
 ROWS_AT_ONCE = 1000
 # What the fast path leaves alone: blanks at the ends or side by side, and the blank's own character.
 _ODD = re.compile(f"^ |  | $|{BLANK}")
@@ -69,8 +69,8 @@ class Pieces:
         self.shown = np.array(shown, object)
         self.control = np.array([library.is_control(i) for i in range(size)])
         self.end = library.eos_id()
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = Recent(self.word, STORED_WORDS)
+        self.lines = Recent(lambda line: np.array(self.join(line), "<i4").tobytes())
         self.fresh: list[tuple[str, bytes]] = []
 
     def join(self, word: str) -> list[int]:
@@ -101,33 +101,12 @@ class Pieces:
 
     def word(self, word: str) -> bytes:
         """The ids of a word, given without its first blank, as bytes of 32-bit integers."""
-        found = self.words.get(word)
-        if found is None:
-            found = self.older.get(word)
-            if found is None:
-                found = self._new(word)
-                self.fresh.append((word, found))
-            self._store(word, found)
-        return found
-
-    def _new(self, word: str) -> bytes:
         first, *lines = word.split("\n")
-        found = np.array(self.join(BLANK + first), "<i4").tobytes()
         # No piece holds a line end, so what stands on either side is apart.
-        for line in lines:
-            key = "\n" + line
-            rest = self.words.get(key) or self.older.get(key) or np.array(self.join(key), "<i4").tobytes()
-            self._store(key, rest)
-            found += rest
+        found = np.array(self.join(BLANK + first), "<i4").tobytes() + b"".join([self.lines["\n" + line] for line in lines])
+        self.fresh.append((word, found))
         return found
 
-    def _store(self, word: str, ids: bytes) -> None:
-        if len(word) <= STORED_LENGTH:
-            if len(self.words) >= STORED_WORDS:
-                # Words met since the last turn stay for another one.
-                self.older, self.words = self.words, {}
-            self.words[word] = ids
-
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, without an end id; an empty text has none."""
         if not text:
@@ -136,7 +115,7 @@ class Pieces:
             words = [w[1:] for w in _WORD.findall(BLANK + text.replace(" ", BLANK))]
         else:
             words = text.split(" ")
-        return np.frombuffer(b"".join(map(self.word, words)), "<i4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces put together, blanks restored, the first one dropped, control ids left out."""

@@ -21,15 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tickloom.llm.common import text_of
+from tickloom.llm.common import Recent, text_of
 from tickloom.llm.dac import Codes, pack
 from tickloom.llm.ordered import bucket_of, edges, in_buckets, order_key
 
 END = 2
 BLOCK_TOKENS = 1 << 20
-# Bounds of a worker's store of encoded pieces; longer pieces are encoded anew each time.
-STORED_PIECES, STORED_LENGTH = 500_000, 64
-JOINED_PIECES, TEXTS_PER_CALL = 2000, 500
+STORED_PIECES = 500_000
 
 # A blank after white space may belong to the token before it, any other blank begins a token.
 _JOINED = re.compile(r"\s ")
@@ -49,76 +47,37 @@ _LETTER = _byte_letters()
 _LATIN = "\u0250"
 
 
-class Pieces(dict):
-    """The ids of pieces, as bytes of unsigned 32-bit integers, by piece without its blank."""
+class Pieces:
+    """The ids of a text as bytes of unsigned 32-bit integers; pieces met lately are not encoded anew."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.merge = tokenizer.model.tokenize
         self.line_end = self.encoded("\n")
         self.stops = {c: self.encoded(c) for c in ".,"}
-        self.merge = tokenizer.model.tokenize
-        self.heads: dict[str, bytes] = {}  # of pieces at the start of a line, which have no blank
+        self.heads = Recent(self.encoded)  # pieces at the start of a line, which have no blank
+        self.after_blank = Recent(self.piece, STORED_PIECES)
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        """Encode a piece that learn() leaves: one with white space in it, a long one, or one that was forgotten."""
-        first, *lines = piece.split("\n")
-        # A line end between other characters is a token of its own.
-        if lines and first and all(lines) and not _SPACE.search(piece.replace("\n", "")):
-            return self[first] + b"".join([self.line_end + self.head(line) for line in lines])
-        return self.encoded(" " + piece)
-
-    def head(self, piece: str) -> bytes:
-        found = self.heads.get(piece)
-        if found is None:
-            found = self.encoded(piece)
-            if len(piece) <= STORED_LENGTH:
-                if len(self.heads) >= STORED_PIECES:
-                    self.heads.clear()
-                self.heads[piece] = found
-        return found
-
     def letters(self, piece: str) -> bytes:
         """The ids of a blank and Latin letters, which are one word to the vocabulary: its merges alone."""
         shown = (" " + piece).encode().decode("latin-1").translate(_LETTER)
         return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the pieces of ``texts`` that are not stored.
-
-        Letters, also before a full stop or comma, which begins a word of its
-        own, go straight to the merges; others thousands in one call, with
-        line ends between them.
-        """
-        new = set()
-        for text in texts:
-            new.update(text.split(" "))
-        new.difference_update(self.keys())
-        if len(self) + len(new) > STORED_PIECES:
-            self.clear()
-        others = []
-        for p in new:
-            if not p or len(p) > STORED_LENGTH:
-                continue
-            if p.isalpha() and max(p) < _LATIN:
-                self[p] = self.letters(p)
-            elif p[-1] in ".," and p[:-1].isalpha() and max(p) < _LATIN:
-                self[p] = (self.get(p[:-1]) or self.letters(p[:-1])) + self.stops[p[-1]]
-            elif not _SPACE.search(p):
-                others.append(p)
-        for at in range(0, len(others), JOINED_PIECES):
-            part = others[at : at + JOINED_PIECES]
-            ids = self.encoded(" " + "\n ".join(part) + "\n")
-            values = np.frombuffer(ids, "<u4")
-            ends = np.flatnonzero(values == np.frombuffer(self.line_end, "<u4")[0]).tolist()
-            if len(ends) != len(part):
-                raise RuntimeError("pieces were not told apart by line ends")
-            start = 0
-            for piece, end in zip(part, ends):
-                self[piece] = ids[4 * start : 4 * end]
-                start = end + 1
+    def piece(self, piece: str) -> bytes:
+        """The ids of a blank and a piece."""
+        if piece.isalpha() and max(piece) < _LATIN:
+            return self.letters(piece)
+        if piece[-1:] in self.stops and piece[:-1].isalpha() and max(piece) < _LATIN:
+            # A full stop or comma behind a letter is a word of its own.
+            return self.letters(piece[:-1]) + self.stops[piece[-1]]
+        first, *lines = piece.split("\n")
+        if lines and first and all(lines) and not _SPACE.search(piece.replace("\n", "")):
+            # So is a line end between other characters.
+            return self.after_blank[first] + b"".join([self.line_end + self.heads[line] for line in lines])
+        return self.encoded(" " + piece)
 
     def ids(self, text: str) -> bytes:
         if _JOINED.search(text):
@@ -126,8 +85,8 @@ class Pieces(dict):
             rest = [piece[1:] for piece in rest]
         else:
             first, *rest = text.split(" ")
-        head = self.encoded(first) if first else b""
-        return head + b"".join(map(self.__getitem__, rest))
+        head = self.heads[first] if first else b""
+        return head + b"".join(map(self.after_blank.__getitem__, rest))
 
 
 _loaded: dict[str, Pieces] = {}
@@ -175,10 +134,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END) -> None
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, KINDS)], names=NAMES)
 
         for batch in batches:
-            rows = list(zip(*[c.to_pylist() for c in batch.columns]))
-            for at, (its, doc_id, text) in enumerate(rows):
-                if at % TEXTS_PER_CALL == 0:
-                    coder.learn([r[2] for r in rows[at : at + TEXTS_PER_CALL]])
+            for its, doc_id, text in zip(*[c.to_pylist() for c in batch.columns]):
                 if bucket is not None and (its != bucket or held >= BLOCK_TOKENS):
                     yield row()
                     start, block = (start + held, block + 1) if its == bucket else (0, 0)
