@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import chunk_prints, exact_dedup, kd_shards, mixing, piece_agenda, simhash, token_files
+from tickloom.llm import chunk_prints, exact_dedup, kd_shards, mixing, piece_agenda, simhash, token_files, toxicity
 from tickloom.llm.common import shared_folder, table
 
 
@@ -33,6 +33,13 @@ def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out part."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (toxicity.part_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mixture uses each document when no source is repeated over 1.5 times as often as another."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), max_repeats=mixing.MAX_REPEATS)
@@ -57,7 +64,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_chunk_prints, op2_simhash_balls, op5_token_codes, op6_stream_dedup, op8_temperature_mix, op9_piece_agenda, op10_kd_shards,
+        op1_chunk_prints, op2_simhash_balls, op5_token_codes, op6_stream_dedup, op7_noisy_channel, op8_temperature_mix, op9_piece_agenda, op10_kd_shards,
     )
 }
 
