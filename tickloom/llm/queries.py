@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import chunk_prints, exact_dedup, kd_shards, mixing, piece_agenda, simhash, token_files, toxicity
-from tickloom.llm.common import shared_folder, table
+from tickloom.llm import chunk_prints, exact_dedup, kd_shards, mixing, page_text, piece_agenda, simhash, token_files, toxicity, warc_fixity
+from tickloom.llm.common import cut, shared_folder, table
 
 
 def op1_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,21 @@ def op2_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record in the archive, and what a decayed replica has done to it, found from the roots down."""
+    records = warc_fixity.archive(table(spark, sf_dir, "pages"))
+    whole = cut(records.select("page_id", "file", "offset", "length", F.sha2("record", 256).alias("digest")))
+    found = warc_fixity.audit(whole.drop("page_id"), warc_fixity.hashed(warc_fixity.damaged(records)))
+    return whole.join(found, ["file", "offset"], "left").select(
+        "page_id", "file", "offset", "length", "digest", F.coalesce("damage", F.lit("intact")).alias("state")
+    )
+
+
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, number and checksum of every document's tokens, from the written files."""
     folder = shared_folder(spark, "token-codes")
@@ -64,7 +79,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_chunk_prints, op2_simhash_balls, op5_token_codes, op6_stream_dedup, op7_noisy_channel, op8_temperature_mix, op9_piece_agenda, op10_kd_shards,
+        op1_chunk_prints, op2_simhash_balls, op3_warc_fixity, op4_page_text, op5_token_codes, op6_stream_dedup, op7_noisy_channel, op8_temperature_mix, op9_piece_agenda, op10_kd_shards,
     )
 }
 

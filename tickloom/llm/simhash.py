@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from tickloom.llm.common import components, cut, text_of
+from tickloom.llm.common import components, cut, located, text_of
 
 RADIUS = 4
 WORDS = 4
@@ -60,15 +60,17 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and the fingerprint as a signed BIGINT, one row per document."""
+    """doc_id, locator and the fingerprint as a signed BIGINT, one row per document."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             values = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0), batch.column(1), pa.array(values.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "locator", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = located(docs).select(F.col("doc_id").cast("bigint"), "locator", text_of().alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, locator string, fp bigint")
 
 
 def _flips(bits: int, at_most: int) -> list[np.ndarray]:
@@ -173,7 +175,7 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, values_per_task
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) of every document.
+    """doc_id, locator, fp and component_id (the smallest doc_id reachable) of every document.
 
     Null texts count as empty; empty texts have fingerprint 0 and are linked
     like any other.  A null doc_id keeps its row and is never the component's
@@ -189,4 +191,4 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
     linked = roots.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
     # Stored, so that the last join can split a fingerprint that many documents share.
     by_fp = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return found.join(by_fp, "fp").select("doc_id", "locator", "fp", "component_id")
