@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from llm_fixtures import documents, empty, odd, small  # noqa: F401
 from tickloom.llm import chunk_prints as cp, queries
 
 

@@ -3,6 +3,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents, empty, odd, small  # noqa: F401
 from tickloom.llm import exact_dedup, queries
 
 

@@ -1,6 +1,7 @@
 import collections
 import zlib
 
+from llm_fixtures import documents, empty, odd  # noqa: F401
 from tickloom.llm import kd_shards, queries
 
 

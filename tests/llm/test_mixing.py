@@ -3,6 +3,7 @@ import math
 
 import pytest
 
+from llm_fixtures import documents, empty, odd, small  # noqa: F401
 from tickloom.llm import mixing, queries
 
 

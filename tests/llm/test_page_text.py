@@ -3,6 +3,7 @@ import re
 import pyarrow.parquet as pq
 import pytest
 
+from llm_fixtures import small  # noqa: F401
 from tickloom.llm import page_text, queries
 
 NODE = page_text.tree()

@@ -6,6 +6,7 @@ import pytest
 from public_tokenizers import path
 from sentencepiece import SentencePieceProcessor
 
+from llm_fixtures import documents, empty, odd, small  # noqa: F401
 from tickloom.llm import piece_agenda, queries
 
 VOCABULARY = path("piece_bpe_32k.model")

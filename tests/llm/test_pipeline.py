@@ -5,6 +5,7 @@ import pytest
 from public_tokenizers import path
 from sentencepiece import SentencePieceProcessor
 
+from llm_fixtures import empty, odd  # noqa: F401
 import corpus_pipeline as cp
 from test_simhash import plain_components, plain_fingerprint  # beside this file
 from tickloom.llm import toxicity

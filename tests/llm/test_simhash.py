@@ -3,6 +3,7 @@ import random
 import pytest
 from xxhash import xxh64_intdigest
 
+from llm_fixtures import documents, empty, odd, small  # noqa: F401
 from tickloom.llm import queries, simhash
 
 

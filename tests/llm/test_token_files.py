@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from public_tokenizers import path
 
+from llm_fixtures import documents, empty, odd, small  # noqa: F401
 from tickloom.llm import queries, token_files
 from tickloom.llm.dac import Codes, pack
 

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from llm_fixtures import empty, odd  # noqa: F401
 from tickloom.llm import queries, toxicity
 
 FOLDER = "/root/testdata/sf0.01"

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from llm_fixtures import small  # noqa: F401
 from tickloom.llm import queries, warc_fixity as wf
 
 PAGES = "page_id bigint, url string, html string, file int"

@@ -23,7 +23,7 @@ FILES_PER_BATCH = 1024
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": STORE,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     # Else every store's files take up megabytes before they hold a row.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.llm.common import Recent, text_of
 
 BLANK = "▁"
-STORED_WORDS, JOINED_WORDS = 400_000, 1000
+STORED_WORDS, JOINED_WORDS = 150_000, 1000
 ROWS_AT_ONCE = 1000
 # What the fast path leaves alone: blanks at the ends or side by side, and the blank's own character.
 _ODD = re.compile(f"^ |  | $|{BLANK}")
@@ -70,7 +70,7 @@ class Pieces:
         self.control = np.array([library.is_control(i) for i in range(size)])
         self.end = library.eos_id()
         self.words = Recent(self.word, STORED_WORDS)
-        self.lines = Recent(lambda line: np.array(self.join(line), "<i4").tobytes())
+        self.lines = Recent(lambda line: np.array(self.join(line), "<i4").tobytes(), STORED_WORDS // 4)
         self.fresh: list[tuple[str, bytes]] = []
 
     def join(self, word: str) -> list[int]:

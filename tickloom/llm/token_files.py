@@ -27,7 +27,7 @@ from tickloom.llm.ordered import bucket_of, edges, in_buckets, order_key
 
 END = 2
 BLOCK_TOKENS = 1 << 20
-STORED_PIECES = 500_000
+STORED_PIECES = 300_000
 
 # A blank after white space may belong to the token before it, any other blank begins a token.
 _JOINED = re.compile(r"\s ")
@@ -55,7 +55,7 @@ class Pieces:
         self.merge = tokenizer.model.tokenize
         self.line_end = self.encoded("\n")
         self.stops = {c: self.encoded(c) for c in ".,"}
-        self.heads = Recent(self.encoded)  # pieces at the start of a line, which have no blank
+        self.heads = Recent(self.encoded, STORED_PIECES // 4)  # pieces at the start of a line, which have no blank
         self.after_blank = Recent(self.piece, STORED_PIECES)
 
     def encoded(self, text: str) -> bytes:

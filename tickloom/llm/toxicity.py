@@ -37,6 +37,8 @@ AS_LETTER, AS_GAP, REPEATED, CLOSED = 1.0, 4.0, 1.0, 0.5
 KINDS = len(LETTERS) + 1
 BEAM = 32
 TEXTS_AT_ONCE = 500
+# Tokens a worker keeps the evidence of.
+STORED_TOKENS = 60_000
 CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -146,7 +148,7 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: dict[str, tuple[float, ...]], tables: int):
         self.model, self.weights, self.none = model, weights, (0.0,) * tables
-        self.tokens = Recent(lambda token: self._most([t for w in words(token, model) for t in terms(w)]), 200_000)
+        self.tokens = Recent(lambda token: self._most([t for w in words(token, model) for t in terms(w)]), STORED_TOKENS)
 
     def _most(self, found: list[str]) -> tuple[float, ...]:
         rows = [self.weights[t] for t in found if t in self.weights]
@@ -181,7 +183,7 @@ def term_counts(sample: DataFrame, model: np.ndarray) -> DataFrame:
     columns = [f"n{part}_{toxic}" for part in range(1, HELD_OUT_PARTS) for toxic in (0, 1)]
 
     def run(batches):
-        known = Recent(lambda token: words(token, model), 100_000)
+        known = Recent(lambda token: words(token, model), STORED_TOKENS // 4)
         for batch in batches:
             counts: Counter = Counter()
             for part, toxic, text in zip(*[c.to_pylist() for c in batch.columns]):
