@@ -1,3 +1,4 @@
+import gzip
 import json
 
 from pyspark.sql import functions as F
@@ -16,6 +17,27 @@ def test_csv_folder(spark, tmp_path):
     assert rows == [("AAA", "2023-01-03", 380.82, 380.82, 74850700), ("AAA", "2023-01-05", 1.5, 1.4, 10), ("BBB", "2023-01-03", 1.5, 1.5, 0)]
 
 
+def test_split_fields_of_quotes_alone_and_of_any_length(spark):
+    long = "x, y" * 50_000
+    lines = ['""""', '""""""', '"",a', f'a,"{long}",b', 'p"q,r"s']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, value string")
+    got = [r.fields for r in prices.split_fields(df).orderBy("i").collect()]
+    assert got == [['"'], ['""'], ["", "a"], ["a", long, "b"], ["pq,rs"]]
+
+
+def test_symbols_with_dots(spark, tmp_path):
+    for name in ("BRK.A.csv", "BRK.B.csv", "X.csv.gz", "Y.TXT"):
+        text = b"Date,Open,High,Low,Close,Adj Close,Volume\n2024-01-02,1,1,1,1,1,5\n"
+        (tmp_path / name).write_bytes(gzip.compress(text) if name.endswith("gz") else text)
+    assert sorted(r.symbol for r in prices.read_csv(spark, str(tmp_path)).collect()) == ["BRK.A", "BRK.B", "X", "Y"]
+
+
+def test_keys_of_long_patterns(spark):
+    signs = [1, -1, 1, 1, -1, -1, 1, 1, -1, 1]
+    (row,) = spark.createDataFrame([(signs,)], "signs array<int>").select(pat.similar_key(F.col("signs")).alias("s"), pat.offset_key(F.col("signs")).alias("o")).collect()
+    assert row.s == str([-1] + signs[1:]) and row.o == str(signs[1:])
+
+
 def test_split_fields(spark):
     lines = ['a, b ,c', '"x,y",z', '"he said ""hi""",', '""', 'one']
     df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string")

@@ -57,12 +57,12 @@ def incomplete_symbols(closes: DataFrame) -> DataFrame:
 
 def similar_key(signs: Column) -> Column:
     """The pattern with its first sign flipped."""
-    return key_text(F.concat(F.array(-signs[0]), F.slice(signs, 2, PATTERN_DAYS)))
+    return key_text(F.concat(F.array(-signs[0]), F.slice(signs, 2, F.size(signs))))
 
 
 def offset_key(signs: Column) -> Column:
     """The pattern without its first sign."""
-    return key_text(F.slice(signs, 2, PATTERN_DAYS))
+    return key_text(F.slice(signs, 2, F.size(signs)))
 
 
 def frequencies(patterns_: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def parse_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_csv(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
     """Bars of one file, or of a folder of files with one symbol each (named after the symbol)."""
-    file_name = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    file_name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.(?i:csv|txt))?(?:\.gz)?$", 1)
     raw = spark.read.schema(CSV_SCHEMA).options(header=True, **CSV_OPTIONS).csv(path)
     raw = raw.select("*", (symbol if symbol is not None else file_name).alias("symbol"))
     return parse_rows(raw)[0]
@@ -59,14 +59,14 @@ def split_fields(lines: DataFrame, separator: str = ",", column: str = "value")
     """
     sep = re.escape(separator)
     # The line gets a leading separator, so that every field follows one.
-    pattern = f'{sep}((?:[^{sep}"]|"(?:[^"]|"")*"?)*)'
+    pattern = f'{sep}((?:[^{sep}"]++|"[^"]*+(?:""[^"]*+)*+"?)*+)'
     found = F.regexp_extract_all(F.concat(F.lit(separator), F.col(column)), F.lit(pattern), F.lit(1))
 
     def clean(field: Column) -> Column:
-        # A doubled quote is a quote, any other quote only delimits.
-        marked = F.replace(F.trim(field), F.lit('""'), F.lit("\x00"))
-        plain = F.replace(F.replace(marked, F.lit('"'), F.lit("")), F.lit("\x00"), F.lit('"'))
-        return F.when(F.trim(field) == '""', F.lit("")).otherwise(F.trim(plain))
+        # Inside the outer quotes a doubled quote is a quote, any other quote only delimits.
+        body = F.regexp_replace(F.trim(field), r'(?s)^"(.*)"$', "$1")
+        marked = F.replace(body, F.lit('""'), F.lit("\x00"))
+        return F.trim(F.replace(F.replace(marked, F.lit('"'), F.lit("")), F.lit("\x00"), F.lit('"')))
 
     return lines.withColumn("fields", F.transform(found, clean))
 
