@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import make_bars, rows_of, walk
 from tickloom.operators import option_ledger as opt
 from tickloom.operators.bars import number_bars
-from tickloom.operators.equity import equity_curve, own_bars
+from tickloom.operators.equity import equity_curve, own_bars, risk
 from tickloom.operators.ledger import Account, run_ledger
 from tickloom.operators.metrics import best_strategy, performance, trade_log, with_profit
 from tickloom.operators.signals import SmaCrossover, signals
@@ -153,3 +153,37 @@ def test_option_ledger_equals_the_loop(spark, numbered, strategy):
     assert ledger.accounts.first().final_u / 10000 == pytest.approx(cash, abs=0.02)
     got = [r[0] for r in rows_of(own_bars(opt.option_equity(bars, ledger)).select("equity", "i"), "i")]
     assert got == pytest.approx(curve, abs=0.2)
+
+
+@pytest.mark.parametrize("capital", [1e8, 3e8, 5e8])
+def test_share_counts_beyond_32_bits(spark, capital):
+    closes = [0.1, 0.09, 0.11, 0.1, 0.09]
+    acts = {0: "BUY", 1: "SELL", 2: "BUY", 3: "SELL"}
+    numbered = stage(number_bars(make_bars(spark, {"A": closes})))
+    ledger = run_ledger(numbered, given(spark, numbered, acts), [Given()], [Account(capital, 0.5)])
+    trades, curve, cash = loop(closes, acts, capital, 0.5)
+    assert len(trades) == 2 and max(t[2] for t in trades) >= 9e8
+    assert rows_of(ledger.trades.select("entry_i", "exit_i", "shares"), "entry_i") == trades
+    assert D(ledger.accounts.first()["final_u"]) / 10000 == cash
+    wrapped = run_ledger(numbered, given(spark, numbered, acts), [Given()], [Account(capital, 0.5)], compat=True)
+    assert all(t.shares < 2**31 for t in wrapped.trades.collect())
+
+
+def worst_fall(curve):
+    peak, worst = curve[0], 0.0
+    for value in curve:
+        peak = max(peak, value)
+        worst = max(worst, (peak - value) / peak if peak > 0 else 0.0)
+    return round(worst * 100, 4)
+
+
+@pytest.mark.parametrize("curve", [
+    [100, 100, 100, 200, -50, -50], [200, 100, 150, 100, -50, 20], [100, 90, 300, -10, 200, -30], [-5, -7, -2, -9, -1, -3], [100, 50, 120, 60, 130, 64],
+])
+def test_drawdown_below_zero_does_not_depend_on_slices(spark, curve):
+    for size in (1, 2, 3, 6):
+        rows = [("A", 0, "s", 1, 0, i // size, True, i, float(v), 0.0) for i, v in enumerate(curve)]
+        table = spark.createDataFrame(
+            rows, "symbol string, strategy_no int, strategy string, capital_u bigint, commission_u bigint, slice bigint, own boolean, i bigint, "
+            "equity_u double, daily_return double")
+        assert risk(table).first()["max_drawdown"] == worst_fall(curve), size

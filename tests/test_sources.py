@@ -1,3 +1,4 @@
+import datetime
 import gzip
 import json
 
@@ -114,6 +115,51 @@ def test_earnings_pages(spark):
     assert rows_of(lists.earnings_rows(pages), "symbol") == [("2024-01-02", "After & close", "AAA")]
 
 
+def test_pages_with_nested_tables_entities_and_no_body(spark):
+    row = "<td>n</td><td>{}<td>&lt;x&#39;&nbsp;y&gt;</td><td>Before<br>open</td>"
+    pages = {
+        "nested": "<table><tbody><tr>" + row.format("AAA<table><tr><td>in</td></tr></table>") + "</tr><tr><td>short</td></tr></tbody></table>",
+        "no body": "<table><tr>" + row.format("BBB") + "<tr>" + row.format("<b>C</b>CC") + "</table><table><tbody><tr><td>z</td></tr></tbody></table>",
+        "open": "<table><thead><tr><th>h</th></tr></thead><tbody><tr>" + row.format("DDD"),
+        "second body": "<table><tbody><tr><td>1</td></tr></tbody><tbody><tr><td>2</td></tr></tbody></table>",
+        "none": "<p>text</p>", "empty": "", "null": None,
+    }
+    rows = spark.createDataFrame(list(pages.items()), "page string, html string")
+    got = {}
+    for page, cells in lists.table_cells(rows).collect():
+        got.setdefault(page, []).append(cells)
+    rest = ["<x' y>", "Before open"]
+    assert got == {
+        "nested": [["n", "AAA in", *rest], ["short"]], "no body": [["n", "BBB", *rest], ["n", "CCC", *rest]],
+        "open": [["n", "DDD", *rest]], "second body": [["1"]],
+    }
+
+
+def test_prices_of_many_places(spark):
+    quote = {n: [0.00002] for n in ("open", "high", "low", "close")} | {"volume": [1]}
+    body = {"chart": {"result": [{"timestamp": [1704205800], "indicators": {"quote": [quote]}}]}}
+    assert float(payloads.chart_bars(payload(spark, body)).first()["close"]) == 0.00002
+    line = spark.createDataFrame([("2024-01-02,1.123456,2,1,1.5,1.5,10",)], "value string")
+    assert float(prices.parse_lines(line, F.lit("A")).first()["open"]) == 1.123456
+
+
+def test_bars_of_any_value_and_line_number(spark, tmp_path):
+    from tickloom.sources import derived
+
+    when = datetime.datetime(2024, 1, 2, 10, 30)
+    events = [(2, when, "view", 123456.78), (1, when, "view", -5.25), (10**15, when, "view", 3.5)]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    bar = derived.event_bars(spark, str(tmp_path)).first()
+    assert [float(bar[c]) for c in ("open", "high", "low", "close")] == [-5.25, 123456.78, -5.25, 3.5]
+    lines = [(1, 12, 10.0), (2, 1, 20.0), (1, 3, 30.0)]
+    rows = [(k, n, 7, px, 1.0, datetime.date(2024, 1, 2)) for k, n, px in lines]
+    spark.createDataFrame(
+        rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_extendedprice double, l_quantity double, l_shipdate date"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    bar = derived.order_bars(spark, str(tmp_path), "l_suppkey").first()
+    assert [float(bar[c]) for c in ("open", "close")] == [30.0, 20.0]
+
+
 def test_patterns_with_gaps_and_zeros(spark):
     data = {"UP": [1, 2, 3], "GAP": [1, None, 2, 1], "ZERO": [0, 5, 6], "ONE": [1], "LONG": list(range(1, 20))}
     rows = [(s, i, v if v is None else float(v)) for s, series in data.items() for i, v in enumerate(series)]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.operators.bars import SLICE_ROWS, slice_bars
 from tickloom.operators.ledger import KEYS, Ledger
@@ -92,18 +92,22 @@ def risk(curve: DataFrame, days: int = 252) -> DataFrame:
 
     The worst fall is the largest (a - b) / a over bars a before b.  Within a
     slice it comes from the running peak; across slices from the peak of all
-    earlier slices and the slice's low, one row per slice.
+    earlier slices and the slice's low, one row per slice.  Below zero a higher
+    peak makes a smaller fall, so values there keep their own running peak
+    (at most a slice of them) until the earlier peak is known.
     """
     lane_slice = Window.partitionBy(*KEYS, "slice").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.max("equity_u").over(lane_slice)
-    fall = F.when(peak > 0, (peak - F.col("equity_u")) / peak).otherwise(F.lit(0.0))
+    value, peak = F.col("equity_u"), F.col("_peak")
+    fall = F.when(value >= 0, F.when(peak > 0, (peak - value) / peak)).otherwise(F.lit(0.0))
     per_slice = (
-        curve.withColumn("_fall", fall)
+        curve.withColumn("_peak", F.max("equity_u").over(lane_slice))
+        .withColumn("_fall", F.coalesce(fall, F.lit(0.0)))
         .groupBy(*KEYS, "slice")
         .agg(
             F.max("_fall").alias("_fall"),
             F.max("equity_u").alias("_high"),
-            F.min("equity_u").alias("_low"),
+            F.min(F.when(value >= 0, value)).alias("_low"),
+            F.collect_set(F.when(value < 0, F.struct(peak.alias("peak"), value.alias("value")))).alias("_below"),
             F.count(F.when(F.col("own"), F.col("daily_return"))).alias("_n"),
             F.avg(F.when(F.col("own"), F.col("daily_return"))).alias("_mean"),
             F.var_pop(F.when(F.col("own"), F.col("daily_return"))).alias("_var"),
@@ -111,8 +115,15 @@ def risk(curve: DataFrame, days: int = 252) -> DataFrame:
     )
     earlier = Window.partitionBy(*KEYS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = F.max("_high").over(earlier)
-    across = F.when(carried > F.col("_low"), (carried - F.col("_low")) / carried).otherwise(F.lit(0.0))
-    total = per_slice.withColumn("_fall", F.greatest("_fall", across)).groupBy(*KEYS).agg(
+    known = per_slice.withColumn("_carried", carried)
+    across = F.when(F.col("_carried") > F.col("_low"), (F.col("_carried") - F.col("_low")) / F.col("_carried")).otherwise(F.lit(0.0))
+
+    def below(x: Column) -> Column:
+        highest = F.greatest(x["peak"], F.col("_carried"))
+        return F.when(highest > 0, (highest - x["value"]) / highest).otherwise(F.lit(0.0))
+
+    worst = F.greatest("_fall", across, F.array_max(F.transform("_below", below)))
+    total = known.withColumn("_fall", worst).groupBy(*KEYS).agg(
         F.max("_fall").alias("_fall"),
         F.sum("_n").alias("_n"),
         F.sum(F.col("_n") * F.col("_mean")).alias("_sum"),

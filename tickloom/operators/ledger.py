@@ -53,9 +53,9 @@ def _start(dates: str) -> str:
     )
 
 
-def _step() -> str:
+def _step(compat: bool) -> str:
     """State after event ``e`` in state ``s``: buys open when flat and affordable, sells close."""
-    shares = _affordable("s", "e")
+    shares = _affordable("s", "e", compat)
     cash = f"cast(s.cash - cast({shares} AS decimal(20,0)) * e.u - commission_u AS {MONEY})"
     opened = (
         f"named_struct('cash', {cash}, 'shares', {shares}, 'entry_i', e.i, "
@@ -82,10 +82,12 @@ def chunked_fold(step: str, fields: list[str], trades: str) -> str:
     return f"aggregate({chunks}, state, (t, k) -> aggregate(array(0), {inner}, (x, once) -> {joined}))"
 
 
-def _affordable(s: str, bar: str) -> str:
-    """Whole shares the cash buys after commission.  A share count is a 32-bit number and wraps like one."""
+def _affordable(s: str, bar: str, compat: bool) -> str:
+    """Whole shares the cash buys after commission; under ``compat`` a 32-bit number that wraps like one."""
     left = f"greatest({s}.cash - commission_u, 0)"
     whole = f"(({left} - {left} % {bar}.u) / {bar}.u)"
+    if not compat:
+        return f"cast({whole} AS bigint)"
     low = f"cast({whole} % 4294967296 AS bigint)"
     return f"({low} - IF({low} >= 2147483648, 4294967296, 0L))"
 
@@ -120,12 +122,13 @@ class Ledger:
 
 def run_ledger(
     numbered: DataFrame, signals: DataFrame, strategies: list, accounts: list[Account] = (Account(),),
-    round_bars: int = ROUND_BARS,
+    round_bars: int = ROUND_BARS, compat: bool = False,
 ) -> Ledger:
     """Trade every series by every strategy in every account.
 
     The open position, if any, is sold on the last bar.  A purchase needs cash
     for at least one share after commission; otherwise the signal is ignored.
+    ``compat`` keeps share counts in 32 bits, so that very large ones wrap.
     """
     dates = dict(numbered.dtypes)["date"]
     events = signals.select(
@@ -134,7 +137,7 @@ def run_ledger(
     )
     closing = f"CASE WHEN state.shares > 0 THEN {_close('state', 'last')} ELSE state END"
     return fold_rounds(
-        lanes(numbered, strategies, accounts), events, _start(dates), _step(), FIELDS, closing,
+        lanes(numbered, strategies, accounts), events, _start(dates), _step(compat), FIELDS, closing,
         TRADE.format(d=dates, m=MONEY), _last_bar(numbered), round_bars,
     )
 
@@ -176,7 +179,7 @@ def fold_rounds(
         lists = (
             spread(events.filter(F.col("_round") == n), "symbol", "strategy_no")
             .groupBy("symbol", "strategy_no")
-            .agg(F.array_sort(F.collect_list("event")).alias("events"))
+            .agg(F.sort_array(F.collect_list("event")).alias("events"))
         )
         states = states.join(lists, ["symbol", "strategy_no"], "left")
         folded = F.expr(f"CASE WHEN events IS NULL THEN state ELSE {fold} END")

@@ -1,9 +1,9 @@
 """Up/down patterns at the start of many close series.
 
 A pattern is the list of signs of the first daily changes.  A symbol owns one
-pattern per prefix.  Patterns have at most seven signs of three values, so
-there are at most 3,279 of them: per-pattern tables are small by nature, while
-the symbols behind a pattern stay rows and are never gathered into one list.
+pattern per prefix.  Seven signs of three values make at most 3,279 patterns,
+more days make more: joins of per-pattern tables are left to the optimizer.
+The symbols behind a pattern stay rows and are never gathered into one list.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ def first_closes(closes: DataFrame, days: int = PATTERN_DAYS, order: list[str] =
 
 
 def change_sign(previous: Column, close: Column) -> Column:
-    """Sign of the change, its quotient rounded up at ten places: a fall below 1e-10 counts as none."""
-    ratio = (close - previous).cast("decimal(28,10)") / previous.cast("decimal(18,4)")
-    return F.signum(F.ceil(ratio, F.lit(10))).cast("int")
+    """Sign of the change in terms of the previous close; a fall below 1e-10 of that counts as none."""
+    change = (close - previous).cast("decimal(28,10)") * F.signum(previous).cast("decimal(1,0)")
+    falls = change.cast("decimal(28,10)") * F.lit(10**10).cast("decimal(11,0)") <= -F.abs(previous)
+    return F.when(change > 0, F.lit(1)).when(falls, F.lit(-1)).otherwise(F.lit(0))
 
 
 def key_text(signs: Column) -> Column:
@@ -73,9 +74,8 @@ def frequencies(patterns_: DataFrame) -> DataFrame:
     offset = counts.select(F.col("pattern").alias("offset"), F.col("pattern_freq").alias("offset_freq"))
     share = F.col("pattern_freq") * 100 / (F.col("pattern_freq") + F.col("similar_freq"))
     return (
-        # At most 3,279 rows a side: the broadcast is bounded by the pattern length.
-        keyed.join(F.broadcast(similar), "similar", "left")
-        .join(F.broadcast(offset), "offset", "left")
+        keyed.join(similar, "similar", "left")
+        .join(offset, "offset", "left")
         .fillna({"similar_freq": 0, "offset_freq": 0})
         .withColumn("accuracy", F.round(F.round(share, 10), 2))
         .select("pattern", "similar", "offset", "pattern_freq", "similar_freq", "offset_freq", "accuracy")
@@ -86,7 +86,7 @@ def members(patterns_: DataFrame, frequencies_: DataFrame, role: str = "pattern"
     """Symbols behind a pattern, its similar or its offset pattern: rows (pattern, symbol)."""
     keys = frequencies_.select(F.col("pattern").alias("_of"), F.col(role).alias("pattern"))
     owned = patterns_.select("pattern", "symbol")
-    return owned.join(F.broadcast(keys), "pattern").select(F.col("_of").alias("pattern"), "symbol")
+    return owned.join(keys, "pattern").select(F.col("_of").alias("pattern"), "symbol")
 
 
 def ranked(frequencies_: DataFrame, top: int = 10, compat: bool = False) -> DataFrame:

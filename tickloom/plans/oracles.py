@@ -397,7 +397,7 @@ ORACLES["signal_counts"] = f"WITH {standard('p_type')} SELECT symbol, strategy,
 # --- ledgers: cash and trades follow the acting bars in order ---------------------
 
 _EMPTY = "CAST([] AS STRUCT(ei BIGINT, xi BIGINT, ed DATE, xd DATE, eu BIGINT, xu BIGINT, sh BIGINT, c0 HUGEINT, c1 HUGEINT, c2 HUGEINT)[])"
-_SH = "((greatest(s.cash - com, 0) // e.u) % 4294967296 - CASE WHEN (greatest(s.cash - com, 0) // e.u) % 4294967296 >= 2147483648 THEN 4294967296 ELSE 0 END)"
+_SH = "(greatest(s.cash - com, 0) // e.u)"
 
 
 def ledger(decisions: str, capital: str = "10000000000", commission: str = "6500", keys: str = "symbol, strategy", grid: str = "") -> str:
@@ -483,9 +483,14 @@ b AS (SELECT symbol, strategy, no, {pct('st.cash - cap', 'cap')} AS total_return
       FROM l JOIN ends USING (symbol, strategy, no))
 SELECT symbol, strategy AS best_strategy, total_return, buy_and_hold, round(total_return - buy_and_hold, 4) AS outperformance
 FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY total_return DESC, no) = 1"""
-_GRID = ", ".join(f"({c * 10000}, {m * 10000})" for c in (10_000, 100_000, 1_000_000) for m in (0, 1, 10))
-ORACLES["account_sweep"] = f"""WITH {crossed('p_brand', [(20, 50)])}, {ledger('d', grid=_GRID)}
+def _sweep(capitals, commissions) -> str:
+    grid = ", ".join(f"({c * 10000}, {m * 10000})" for c in capitals for m in commissions)
+    return f"""WITH {crossed('p_brand', [(20, 50)])}, {ledger('d', grid=grid)}
 SELECT symbol, CAST(cap AS DOUBLE) / 10000 AS capital, CAST(com AS DOUBLE) / 10000 AS commission, CAST(st.cash AS DOUBLE) / 10000 AS final_capital FROM l"""
+
+
+ORACLES["account_sweep"] = _sweep((10_000, 100_000, 1_000_000), (0, 1, 10))
+ORACLES["account_sweep_large"] = _sweep((20_000_000_000_000, 30_000_000_000_000), (0, 10))
 _TR = "((CASE WHEN direction = 'LONG' THEN xu - eu ELSE eu - xu END) * q)"
 ORACLES["trade_results"] = f"""WITH t AS MATERIALIZED (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'SHORT' ELSE 'LONG' END AS direction, l_returnflag AS flag,
   CAST(round(l_extendedprice * 100) AS BIGINT) AS eu, CAST(round(l_extendedprice * 100) AS BIGINT) + l_orderkey % 2001 - 1000 AS xu,
@@ -551,7 +556,10 @@ SELECT *, CASE WHEN call_volume = 0 THEN 0 ELSE CAST({hu('put_volume', 'greatest
 _b = bs("type", "spot", "strike", "t", "iv")
 ORACLES["option_greeks"] = f"""WITH {chain()}, c AS (SELECT *, round(days / 365.0::DOUBLE, 10) AS t FROM ch)
 SELECT contract, type, {_b['price']} AS model_price, {_b['delta']} AS model_delta, {_b['theta']} AS model_theta, {_b['intrinsic']} AS intrinsic FROM c"""
-ORACLES["contracts_at_strike"] = f"WITH {chain()} SELECT symbol, type, strike, volume FROM ch WHERE days = 30 AND ord = 4"
+ORACLES["contracts_at_strike"] = f"""WITH {chain()} SELECT symbol, expiration, type, strike, volume FROM ch
+QUALIFY dense_rank() OVER (PARTITION BY symbol ORDER BY expiration) = 1 AND dense_rank() OVER (PARTITION BY symbol ORDER BY abs(strike - spot), strike) = 1"""
+ORACLES["chain_of_expiration"] = f"""WITH {chain()} SELECT symbol, expiration, contract, strike, volume FROM ch
+WHERE type = 'CALL' QUALIFY expiration = max(expiration) OVER (PARTITION BY symbol)"""
 ORACLES["puts_by_expiration"] = f"WITH {chain()} SELECT symbol, expiration, count(*) AS contracts, CAST(sum(volume) AS BIGINT) AS volume FROM ch WHERE type = 'PUT' GROUP BY ALL"
 ORACLES["nearest_strike"] = f"""WITH {chain()}, t AS MATERIALIZED (SELECT *, CAST({hu('u * 102', '10000', 0)} AS DOUBLE) / 100 AS target FROM ch)
 SELECT symbol, expiration, type, target, contract, strike FROM t QUALIFY row_number() OVER (PARTITION BY symbol, expiration, type ORDER BY abs(strike - target), ord) = 1"""

@@ -255,12 +255,22 @@ def best(spark, sf_dir):
 
 
 SWEEP = [Account(capital, commission) for capital in (10_000, 100_000, 1_000_000) for commission in (0, 1, 10)]
+LARGE = [Account(capital, commission) for capital in (2e13, 3e13) for commission in (0, 10)]
 
 
 @query("account_sweep")
 def sweep(spark, sf_dir):
     """Final capital of one strategy over a grid of capitals and commissions."""
-    _, ledger = _ledger(spark, sf_dir, CROSSOVER, SWEEP)
+    return _final_capital(_ledger(spark, sf_dir, CROSSOVER, SWEEP)[1])
+
+
+@query("account_sweep_large")
+def sweep_large(spark, sf_dir):
+    """The same for capitals that buy more shares than 32 bits can count."""
+    return _final_capital(_ledger(spark, sf_dir, CROSSOVER, LARGE)[1])
+
+
+def _final_capital(ledger) -> DataFrame:
     money = {n: (F.col(f"{n}_u").cast("double") / numeric.UNIT).alias(n) for n in ("capital", "commission")}
     return ledger.accounts.select("symbol", *money.values(), (F.col("final_u").cast("double") / numeric.UNIT).alias("final_capital"))
 
@@ -310,10 +320,22 @@ def greeks(spark, sf_dir):
 
 @query("contracts_at_strike")
 def at_strike(spark, sf_dir):
-    """Contracts at the middle strike of the nearest expiration of each symbol, calls first."""
+    """Contracts of each symbol's nearest expiration at the strike closest to its price."""
+    chain = inputs.chain(spark, sf_dir)
+    wanted = chain.groupBy("symbol").agg(
+        F.min("expiration").alias("_expiration"),
+        F.min_by("strike", F.struct(F.abs(F.col("strike") - F.col("spot")), "strike")).alias("_strike"))
+    kept = ch.contracts_at(chain.join(wanted, "symbol"), F.col("_expiration"), F.col("_strike"))
+    return kept.select("symbol", "expiration", "type", "strike", "volume")
+
+
+@query("chain_of_expiration")
+def chain_of_expiration(spark, sf_dir):
+    """Calls of the last expiration of each symbol."""
     chain = inputs.chain(spark, sf_dir)
-    kept = chain.filter((F.col("days") == 30) & (F.col("ord") == 4))
-    return kept.select("symbol", "type", "strike", "volume")
+    last = chain.groupBy("symbol").agg(F.max("expiration").alias("_expiration"))
+    kept = ch.of_type(chain.join(last, "symbol"), pricing.CALL, F.col("_expiration"))
+    return kept.select("symbol", "expiration", "contract", "strike", "volume")
 
 
 @query("puts_by_expiration")

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PRICE = "decimal(18,4)"
-# Room for the price behind the order key when both are packed into one decimal.
-PRICE_ROOM = 10**10
+# Room for the second half of an order key behind the first, in one decimal: any line number, any id.
+LINE_ROOM, ID_ROOM = 10**10, 10**19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,9 @@ def _cents_to_price(cents: Column) -> Column:
 def order_bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFrame:
     """Daily bars from order lines: unit price of each line, first and last by order line.
 
-    ``symbol`` is p_brand, p_type or l_suppkey.  Opening and closing price need
-    the price at the smallest and largest key; key and price share one decimal,
-    so plain min/max do it and the aggregation stays a hash aggregate with a
-    map-side half.
+    ``symbol`` is p_brand, p_type or l_suppkey.  Opening and closing price are
+    those at the smallest and largest key; the key is one decimal, so the
+    aggregation stays a hash aggregate with a map-side half.
     """
     lines = table(spark, sf_dir, "lineitem")
     if symbol.startswith("p_"):
@@ -37,34 +36,37 @@ def order_bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> Dat
         F.col(symbol).cast("string").alias("symbol"),
         F.col("l_shipdate").cast("date").alias("date"),
         _half_up(cents, quantity).alias("px"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
+        _joined_key(F.col("l_orderkey"), F.col("l_linenumber"), LINE_ROOM).alias("k"),
         quantity.alias("q"),
     )
-    room = F.lit(PRICE_ROOM).cast("decimal(11,0)")
-    packed = F.col("k").cast("decimal(20,0)") * room + F.col("px").cast("decimal(11,0)")
     return (
-        priced.withColumn("packed", packed)
-        .groupBy("symbol", "date")
+        priced.groupBy("symbol", "date")
         .agg(
-            F.min("packed").alias("_first"),
+            F.min_by("px", "k").alias("_first"),
             F.max("px").alias("_high"),
             F.min("px").alias("_low"),
-            F.max("packed").alias("_last"),
+            F.max_by("px", "k").alias("_last"),
             F.sum("q").alias("volume"),
         )
         .select(
             "symbol",
             "date",
-            _cents_to_price(F.col("_first") % room).alias("open"),
+            _cents_to_price(F.col("_first")).alias("open"),
             _cents_to_price(F.col("_high")).alias("high"),
             _cents_to_price(F.col("_low")).alias("low"),
-            _cents_to_price(F.col("_last") % room).alias("close"),
-            _cents_to_price(F.col("_last") % room).alias("adj_close"),
+            _cents_to_price(F.col("_last")).alias("close"),
+            _cents_to_price(F.col("_last")).alias("adj_close"),
             "volume",
         )
     )
 
 
+def _joined_key(first: Column, second: Column, room: int) -> Column:
+    """One decimal that orders as (first, second), with ``second`` from 0 to below ``room``."""
+    shifted = first.cast("decimal(19,0)") * F.lit(str(room)).cast(f"decimal({len(str(room))},0)")
+    return (shifted + second.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def _half_up(numerator: Column, denominator: Column) -> Column:
     """Whole-number division of non-negative numbers, rounded half up."""
     return F.call_function("div", numerator * 2 + denominator, denominator * 2)
@@ -74,37 +76,30 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars per event type; ``date`` is the hour's timestamp."""
     events = table(spark, sf_dir, "events")
     cents = F.rint(F.col("value") * 100).cast("bigint")
-    # Microseconds fit 17 digits; the event id breaks ties between equal instants.
-    key = (
-        F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(18,0)") * F.lit(10**12).cast("decimal(13,0)")
-        + F.col("event_id").cast("decimal(12,0)")
-    ).cast("decimal(31,0)")
-    packed = (key * F.lit(10**7).cast("decimal(8,0)")).cast("decimal(38,0)") + F.col("px").cast("decimal(7,0)")
-    room = F.lit(10**7).cast("decimal(8,0)")
     return (
         events.select(
             F.col("event_type").alias("symbol"),
             F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("date"),
             cents.alias("px"),
-            "ts",
-            "event_id",
+            # The event id breaks ties between equal instants.
+            _joined_key(F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"), ID_ROOM).alias("k"),
         )
         .groupBy("symbol", "date")
         .agg(
-            F.min(packed).alias("_first"),
+            F.min_by("px", "k").alias("_first"),
             F.max("px").alias("_high"),
             F.min("px").alias("_low"),
-            F.max(packed).alias("_last"),
+            F.max_by("px", "k").alias("_last"),
             (F.count("*") * 100).alias("volume"),
         )
         .select(
             "symbol",
             "date",
-            _cents_to_price(F.col("_first") % room).alias("open"),
+            _cents_to_price(F.col("_first")).alias("open"),
             _cents_to_price(F.col("_high")).alias("high"),
             _cents_to_price(F.col("_low")).alias("low"),
-            _cents_to_price(F.col("_last") % room).alias("close"),
-            _cents_to_price(F.col("_last") % room).alias("adj_close"),
+            _cents_to_price(F.col("_last")).alias("close"),
+            _cents_to_price(F.col("_last")).alias("adj_close"),
             "volume",
         )
     )

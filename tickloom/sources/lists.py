@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -44,20 +47,85 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "value string")
 
 
-_ROW, _CELL, _TAG = r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", r"(?s)<[^>]*>"
+class _FirstBody(HTMLParser):
+    """The cells of the rows of the first table body of a page, as text.
 
+    Rows outside any section make a body of their own.  Ends of cells and rows may be left out.  A table inside a
+    cell is text of that cell.
+    """
 
-def table_cells(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds ``cells``: one row per row of the first table body on each page, its cells as text."""
-    body = F.regexp_extract(F.col(html), r"(?is)<table[^>]*>.*?<tbody[^>]*>(.*?)</tbody>", 1)
-    row = F.explode(F.regexp_extract_all(body, F.lit(_ROW), F.lit(1)))
-    cells = F.regexp_extract_all(F.col("_row"), F.lit(_CELL), F.lit(1))
+    INLINE = {"a", "abbr", "b", "em", "font", "i", "img", "s", "small", "span", "strong", "sub", "sup", "u"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.cell, self.depth, self.section, self.hidden = [], None, 0, None, False
+
+    def _end_cell(self):
+        if self.cell is not None:
+            self.rows[-1].append(" ".join("".join(self.cell).split()))
+        self.cell = None
+
+    def _leave_section(self):
+        self._end_cell()
+        self.section = "done" if self.section == "body" else None if self.section == "other" else self.section
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden = tag in ("script", "style")
+        if tag == "table":
+            self.depth += 1
+        if self.depth != 1 or self.section == "done":
+            if self.cell is not None:
+                self.handle_data(" ")
+        elif tag in ("thead", "tbody", "tfoot"):
+            self._leave_section()
+            if self.section is None:
+                self.section = "body" if tag == "tbody" else "other"
+        elif tag == "tr":
+            self._end_cell()
+            self.section = self.section or "body"
+            if self.section == "body":
+                self.rows.append([])
+        elif tag in ("td", "th") and self.section == "body" and self.rows:
+            self._end_cell()
+            self.cell = []
+        elif self.cell is not None and tag not in self.INLINE:
+            self.cell.append(" ")
+
+    def handle_endtag(self, tag):
+        self.hidden = False
+        if tag == "table" and self.depth:
+            self.depth -= 1
+            if not self.depth:
+                self._end_cell()
+                self.section = "done"
+        elif self.depth == 1 and tag in ("td", "th", "tr"):
+            self._end_cell()
+        elif self.depth == 1 and tag in ("thead", "tbody", "tfoot"):
+            self._leave_section()
+        elif self.cell is not None and tag not in self.INLINE:
+            self.cell.append(" ")
+
+    def handle_data(self, data):
+        if self.cell is not None and not self.hidden:
+            self.cell.append(data)
+
+
+def _body_rows(page: str | None) -> list[list[str]]:
+    parser = _FirstBody()
+    parser.feed(page or "")
+    parser.close()
+    parser._end_cell()
+    return parser.rows
+
+
+def _pages_rows(pages: pd.Series) -> pd.Series:
+    return pages.map(_body_rows)
 
-    def text(cell):
-        plain = F.regexp_replace(cell, _TAG, "")
-        return F.trim(F.regexp_replace(F.replace(plain, F.lit("&amp;"), F.lit("&")), r"\s+", " "))
 
-    return pages.select("*", row.alias("_row")).withColumn("cells", F.transform(cells, text)).drop("_row", html)
+def table_cells(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds ``cells``: one row per row of the first table body on each page, its cells as text."""
+    rows = F.pandas_udf(_pages_rows, "array<array<string>>")
+    return pages.select("*", F.explode(rows(F.col(html))).alias("cells")).drop(html)
 
 
 def earnings_rows(pages: DataFrame) -> DataFrame:

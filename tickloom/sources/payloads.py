@@ -12,12 +12,12 @@ from tickloom.functions.dates import epoch_to_date
 from tickloom.functions.text import market_cap_text
 from tickloom.operators.market import year_low
 
-PRICE = "decimal(18,4)"
+PRICE = "decimal(28,10)"
 
 CHART = (
     "chart struct<result:array<struct<timestamp:array<bigint>,indicators:struct<"
-    "quote:array<struct<open:array<decimal(18,4)>,high:array<decimal(18,4)>,low:array<decimal(18,4)>,"
-    "close:array<decimal(18,4)>,volume:array<bigint>>>,adjclose:array<struct<adjclose:array<decimal(18,4)>>>>>>>"
+    "quote:array<struct<open:array<decimal(28,10)>,high:array<decimal(28,10)>,low:array<decimal(28,10)>,"
+    "close:array<decimal(28,10)>,volume:array<bigint>>>,adjclose:array<struct<adjclose:array<decimal(28,10)>>>>>>>"
 )
 
 

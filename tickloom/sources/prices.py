@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-PRICE = "decimal(18,4)"
+PRICE = "decimal(28,10)"
 # The columns of a price file, by position.
 CSV_COLUMNS = ["date", "open", "high", "low", "close", "adj_close", "volume"]
 CSV_SCHEMA = ", ".join(f"{c} string" for c in CSV_COLUMNS)
