@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.session import stage
+
 PATTERN_DAYS = 7
 
 
@@ -68,7 +70,8 @@ def offset_key(signs: Column) -> Column:
 
 def frequencies(patterns_: DataFrame) -> DataFrame:
     """Distinct symbols per pattern, with the similar and offset pattern's numbers and the accuracy."""
-    counts = patterns_.groupBy("pattern", "signs").agg(F.count_distinct("symbol").alias("pattern_freq"))
+    # Read by three branches: stored, so that the closes are read and ranked once.
+    counts = stage(patterns_.groupBy("pattern", "signs").agg(F.count_distinct("symbol").alias("pattern_freq")))
     keyed = counts.withColumns({"similar": similar_key(F.col("signs")), "offset": offset_key(F.col("signs"))})
     similar = counts.select(F.col("pattern").alias("similar"), F.col("pattern_freq").alias("similar_freq"))
     offset = counts.select(F.col("pattern").alias("offset"), F.col("pattern_freq").alias("offset_freq"))

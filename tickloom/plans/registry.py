@@ -473,8 +473,8 @@ def direction_counts(spark, sf_dir):
 
 
 def _patterns(spark, sf_dir):
-    closes = inputs.closes(spark, sf_dir)
-    return pat.patterns(universe.exclude(closes, pat.incomplete_symbols(closes)))
+    """Symbols with fewer than two closes have no change and so no pattern; they need no join to be left out."""
+    return pat.patterns(inputs.closes(spark, sf_dir))
 
 
 @query("patterns")
