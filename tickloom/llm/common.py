@@ -35,6 +35,13 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def in_rows(batches, most: int = 1000):
+    """Arrow batches cut into at most ``most`` rows, so that few texts are Python strings at a time; empty ones go through."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), most):
+            yield batch.slice(at, most)
+
+
 class Recent(dict):
     """What ``make`` gives for a key, kept for keys met lately: at most two generations of ``size`` keys, none longer than ``longest``."""
 

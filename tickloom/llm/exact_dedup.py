@@ -24,6 +24,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": STORE,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    # A store takes memory by an eighth of this, and an executor may hold hundreds of stores.
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     # Else every store's files take up megabytes before they hold a row.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

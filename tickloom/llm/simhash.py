@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from tickloom.llm.common import components, cut, located, text_of
+from tickloom.llm.common import components, cut, in_rows, located, text_of
 
 RADIUS = 4
 WORDS = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, locator and the fingerprint as a signed BIGINT, one row per document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_rows(batches):
             texts = batch.column(2).to_pylist()
             values = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
             columns = [batch.column(0), batch.column(1), pa.array(values.view(np.int64))]

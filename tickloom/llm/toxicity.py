@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.llm.common import Recent, cut, text_of
+from tickloom.llm.common import Recent, cut, in_rows, text_of
 
 # Bounds of what is learned: labelled rows, evidence terms.
 LABELLED_ROWS, TERMS = 10_000, 20_000
@@ -62,13 +62,11 @@ def character_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         classes, total = _table(), np.zeros(KINDS**3, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), TEXTS_AT_ONCE):
-                joined = f" {'  '.join(texts[at : at + TEXTS_AT_ONCE]).lower()} "
-                points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-                k = classes[np.minimum(points, len(classes) - 1)].astype(np.int32)
-                total += np.bincount((k[:-2] * KINDS + k[1:-1]) * KINDS + k[2:], minlength=len(total))
+        for batch in in_rows(batches, TEXTS_AT_ONCE):
+            joined = f" {'  '.join(batch.column(0).to_pylist()).lower()} "
+            points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+            k = classes[np.minimum(points, len(classes) - 1)].astype(np.int32)
+            total += np.bincount((k[:-2] * KINDS + k[1:-1]) * KINDS + k[2:], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["code", "n"])
 
@@ -274,7 +272,7 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
     """doc_id, score and predicted of every document, from its whole text alone; null texts count as empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_rows(batches):
             scores = _scores(fitted, batch.column(1).to_pylist())
             columns = [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
@@ -288,7 +286,7 @@ def reject(docs: DataFrame, fitted: dict) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in in_rows(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(_scores(fitted, texts) < 0.5))
 
