@@ -13,7 +13,8 @@ import __spark_entry__ as entry
 from tickloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["snapshot", "parabolic_sar", "support_resistance", "signal_counts", "strategy_comparison", "account_sweep", "option_performance",
+SOME = ["snapshot", "snapshot_sliced", "obv_sliced", "performance_sliced", "option_performance_sliced", "alerts_sliced",
+        "parabolic_sar", "support_resistance", "signal_counts", "strategy_comparison", "account_sweep", "option_performance",
         "alerts", "recommendations", "pattern_frequencies", "market_record", "valuation", "market_days", "chart_json", "options_json"]
 NAMES = list(registry.QUERIES) if os.environ.get("ALL_QUERIES") else SOME
 

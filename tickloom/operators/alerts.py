@@ -9,8 +9,9 @@ from tickloom.functions.numeric import UNIT
 from tickloom.operators import indicators as ind
 from tickloom.operators.bars import SLICE_ROWS, latest_bars, slice_bars
 from tickloom.operators.option_ledger import with_volatility
-from tickloom.operators.psar import HALO as SAR_HALO, parabolic_sar
+from tickloom.operators.psar import HALO as SAR_HALO
 from tickloom.operators.signals import p, with_previous
+from tickloom.operators.snapshot import with_running
 
 # Bars before which an alert stays neutral.
 FIRST_BAR = 200
@@ -196,12 +197,10 @@ def rated_bars(numbered: DataFrame, slice_rows: int = SLICE_ROWS, with_levels: b
     """Own bars with the whole snapshot, the SAR, levels, volatility and an ``outcomes`` array of rule structs."""
     levels = [ind.support_resistance(100, 5)] if with_levels else []
     sliced = slice_bars(numbered, max(ind.SNAPSHOT_HALO, SAR_HALO), slice_rows)
-    wide = ind.add(sliced, ind.snapshot(), ind.volatility(), *levels)
+    wide = ind.add(with_running(sliced, obv=False), ind.snapshot(), ind.volatility(), *levels)
     wide = with_previous(wide, [c for _, cases in RULES for _, c, _ in cases if "sar" not in c]).withColumn(
         p("c"), F.expr(ind.prev("c"))
-    )
-    # The stop uses the same slices, so the join needs no further exchange of the wide side.
-    wide = wide.filter("own").join(parabolic_sar(sliced), ["symbol", "slice", "i"])
+    ).filter("own")
     wide = wide.withColumn("sar_bullish", F.expr("c > sar")).withColumn(
         "p_sar_bullish", F.expr(f"coalesce({p('c')} > p_sar, false)")
     )

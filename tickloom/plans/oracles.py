@@ -219,7 +219,6 @@ _snapshot_columns = ["sma20", "sma50", "sma200", "ema12", "ema26", "rsi14", "lin
                      "upper", "middle", "lower", "width", "percent_b", "k", "d", "atr14", "rising", "mfi14", "average_volume20", "adx",
                      "plus_di", "minus_di", "cci20", "vwap20", "tenkan", "kijun", "span_a", "span_b", "above_cloud", "fib_high",
                      "fib_low", "fib236", "fib382", "fib500", "fib618", "fib786"]
-ORACLES["snapshot"] = f"{joined('p_brand', SNAPSHOT)} SELECT symbol, date, {columns(_snapshot_columns, SNAPSHOT_NAMES)} FROM x"
 
 # The stop-and-reverse follows each series bar by bar.
 _PSAR = """,
@@ -240,6 +239,10 @@ r AS (
 sar AS MATERIALIZED (SELECT n.symbol, n.i, n.date, n.c, round(CASE WHEN n.i < 2 THEN m.l0 ELSE r.stop END, 4) AS sar
         FROM n JOIN m ON m.symbol = n.symbol AND m.i = n.i LEFT JOIN r ON r.symbol = n.symbol AND r.i = n.i)"""
 ORACLES["parabolic_sar"] = f"WITH RECURSIVE {bars()}{_PSAR} SELECT symbol, date, sar, c > sar AS bullish FROM sar"
+_bar = {"o": "open", "h": "high", "l": "low", "c": "close", "sar": "parabolic_sar"}
+ORACLES["snapshot"] = f"""{joined('p_brand', SNAPSHOT, ', obv_rising_3.obv').replace('WITH', 'WITH RECURSIVE', 1)}{_PSAR}
+SELECT symbol, date, {columns([*_bar, *_snapshot_columns], _bar | SNAPSHOT_NAMES)}, v AS volume, CAST(obv AS BIGINT) AS obv, c > sar AS sar_bullish
+FROM x JOIN (SELECT symbol, i, sar FROM sar) USING (symbol, i)"""
 
 _THIN = (
     "list_reduce(list_transform({a}, lambda x: [x]), lambda kept, y: CASE WHEN len(list_filter(kept, lambda z: round(abs(y[1] - z), 8) < round(c * 0.01::DOUBLE, 8))) > 0 "
@@ -914,3 +917,6 @@ ORACLES["earnings_calendar"] = "SELECT CAST(o_orderdate AS DATE) AS date, o_orde
 ORACLES["line_set"] = r"""WITH l AS MATERIALIZED (SELECT DISTINCT trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(10)) AS v FROM documents)
 SELECT CAST(length(v) AS INTEGER) AS length, count(*) AS lines FROM l WHERE v <> '' GROUP BY ALL"""
 ORACLES["token_set"] = r"SELECT DISTINCT unnest(string_split_regex(text, '\s*,\s*')) AS value FROM benchmark"
+
+# Slices and rounds change no result.
+ORACLES |= {f"{name}_sliced": ORACLES[name] for name in ("obv", "parabolic_sar", "snapshot", "performance", "option_performance", "alerts")}

@@ -11,9 +11,10 @@ from tickloom.operators import alerts as al
 from tickloom.operators import chain as ch
 from tickloom.operators import equity, indicators as ind, market, metrics, option_ledger as opt
 from tickloom.operators import patterns as pat, signals as sig, universe, valuation as val
-from tickloom.operators.bars import is_valid, latest_bars, series_bounds, slice_bars, split_valid
-from tickloom.operators.ledger import Account, run_ledger
+from tickloom.operators.bars import SLICE_ROWS, is_valid, latest_bars, series_bounds, slice_bars, split_valid
+from tickloom.operators.ledger import ROUND_BARS, Account, run_ledger
 from tickloom.operators.psar import HALO as SAR_HALO, parabolic_sar
+from tickloom.operators.snapshot import whole_snapshot
 from tickloom.plans import inputs
 from tickloom.sources import lists, payloads, prices
 from tickloom.sources.derived import event_bars, order_bars, table
@@ -85,14 +86,29 @@ for _name in INDICATORS:
     QUERIES[_name] = _indicator(_name)
 
 
-@query("obv")
-def obv(spark, sf_dir):
-    return ind.with_obv(slice_bars(inputs.numbered(spark, sf_dir), 1)).select("symbol", "date", "obv")
+# Slices and rounds so short that every series of the given tables crosses them; the results must be the same.
+SHORT = 512
 
 
-@query("parabolic_sar")
-def sar(spark, sf_dir):
-    sliced = slice_bars(inputs.numbered(spark, sf_dir, reused=True), SAR_HALO)
+def sliced_too(name: str):
+    """Register a query that takes ``short`` (bars of a slice and of a ledger's round) a second time, cut short."""
+
+    def register(function):
+        QUERIES[name] = lambda spark, sf_dir: function(spark, sf_dir)
+        QUERIES[f"{name}_sliced"] = lambda spark, sf_dir: function(spark, sf_dir, SHORT)
+        return function
+
+    return register
+
+
+@sliced_too("obv")
+def obv(spark, sf_dir, short=SLICE_ROWS):
+    return ind.with_obv(slice_bars(inputs.numbered(spark, sf_dir), 1, short)).select("symbol", "date", "obv")
+
+
+@sliced_too("parabolic_sar")
+def sar(spark, sf_dir, short=SLICE_ROWS):
+    sliced = slice_bars(inputs.numbered(spark, sf_dir, reused=True), SAR_HALO, short)
     joined = parabolic_sar(sliced).join(sliced.filter("own").select("symbol", "slice", "i", "date", "c"), ["symbol", "slice", "i"])
     return joined.select("symbol", "date", "sar", (F.col("c") > F.col("sar")).alias("bullish"))
 
@@ -109,10 +125,9 @@ def support_resistance(spark, sf_dir):
     return rows.select("symbol", "date", "side", (F.col("_n") + 1).alias("position"), F.round("level", 4).alias("level"))
 
 
-@query("snapshot")
-def snapshot(spark, sf_dir):
-    wide = ind.add(slice_bars(inputs.numbered(spark, sf_dir), ind.SNAPSHOT_HALO), ind.snapshot()).filter("own")
-    return rounded(wide.selectExpr("symbol", "date", *ind.snapshot_columns()))
+@sliced_too("snapshot")
+def snapshot(spark, sf_dir, short=SLICE_ROWS):
+    return rounded(whole_snapshot(inputs.numbered(spark, sf_dir, reused=True), short))
 
 
 @query("hourly_vwap_rsi")
@@ -210,9 +225,10 @@ def signal_counts(spark, sf_dir):
     return rows.groupBy("symbol", "strategy", "signal").agg(F.count("*").alias("bars"))
 
 
-def _ledger(spark, sf_dir, strategies, accounts=(Account(),), symbol=inputs.BY_BRAND):
+def _ledger(spark, sf_dir, strategies, accounts=(Account(),), symbol=inputs.BY_BRAND, short=None):
     bars = inputs.numbered(spark, sf_dir, symbol, reused=True)
-    return bars, run_ledger(bars, sig.signals(bars, strategies), strategies, list(accounts))
+    rows = sig.signals(bars, strategies, slice_rows=short)
+    return bars, run_ledger(bars, rows, strategies, list(accounts), round_bars=short or ROUND_BARS)
 
 
 CROSSOVER = [sig.SmaCrossover(20, 50)]
@@ -233,10 +249,10 @@ def equity_curve(spark, sf_dir):
 _METRICS = ["total_return", "total_pl", *metrics.STATS, "max_drawdown", "sharpe_ratio", "buy_and_hold"]
 
 
-@query("performance")
-def performance(spark, sf_dir):
-    bars, ledger = _ledger(spark, sf_dir, CROSSOVER, [Account(1_000_000, 0.65)])
-    table_ = metrics.performance(bars, ledger)
+@sliced_too("performance")
+def performance(spark, sf_dir, short=None):
+    bars, ledger = _ledger(spark, sf_dir, CROSSOVER, [Account(1_000_000, 0.65)], short=short)
+    table_ = metrics.performance(bars, ledger, slice_rows=short or SLICE_ROWS)
     return table_.select("symbol", "strategy", "bars", "start_date", "end_date", F.round("final_capital", 4).alias("final_capital"), *_METRICS)
 
 
@@ -372,11 +388,11 @@ def option_signals(spark, sf_dir):
     return rows.select("symbol", "date", "strategy", "signal", "strike", (F.col("premium_u") / numeric.UNIT).alias("premium"))
 
 
-def _options(spark, sf_dir, vol_mode="asof"):
+def _options(spark, sf_dir, vol_mode="asof", short=None):
     bars = inputs.numbered(spark, sf_dir, inputs.BY_TYPE, reused=True)
     strategies = opt.standard_option_strategies()
-    rows = opt.option_signals(bars, strategies, vol_mode)
-    return bars, opt.run_option_ledger(bars, rows, strategies, OPTION_ACCOUNT)
+    rows = opt.option_signals(bars, strategies, vol_mode, slice_rows=short or SLICE_ROWS)
+    return bars, opt.run_option_ledger(bars, rows, strategies, OPTION_ACCOUNT, round_bars=short or ROUND_BARS)
 
 
 def _option_trades(ledger) -> DataFrame:
@@ -407,10 +423,10 @@ def option_equity(spark, sf_dir):
     return curve.select("symbol", "strategy", "date", F.round("equity", 4).alias("equity"))
 
 
-@query("option_performance")
-def option_performance(spark, sf_dir):
-    bars, ledger = _options(spark, sf_dir)
-    table_ = opt.option_performance(bars, ledger, opt.option_equity(bars, ledger))
+@sliced_too("option_performance")
+def option_performance(spark, sf_dir, short=None):
+    bars, ledger = _options(spark, sf_dir, short=short)
+    table_ = opt.option_performance(bars, ledger, opt.option_equity(bars, ledger, slice_rows=short or SLICE_ROWS))
     return table_.select("symbol", "strategy", F.round("final_capital", 4).alias("final_capital"), *_METRICS,
                          "average_premium", "entry_bar_volume")
 
@@ -427,8 +443,8 @@ def option_performance_compat(spark, sf_dir):
 # --- alerts -------------------------------------------------------------------
 
 
-def _alerts(spark, sf_dir) -> DataFrame:
-    return al.alerts(inputs.numbered(spark, sf_dir, inputs.BY_TYPE, reused=True))
+def _alerts(spark, sf_dir, short=SLICE_ROWS) -> DataFrame:
+    return al.alerts(inputs.numbered(spark, sf_dir, inputs.BY_TYPE, reused=True), slice_rows=short)
 
 
 @query("alert_messages")
@@ -437,9 +453,9 @@ def alert_messages(spark, sf_dir):
     return al.rule_table(inputs.numbered(spark, sf_dir, inputs.BY_TYPE, reused=True)).drop("i")
 
 
-@query("alerts")
-def alerts(spark, sf_dir):
-    rows = _alerts(spark, sf_dir)
+@sliced_too("alerts")
+def alerts(spark, sf_dir, short=SLICE_ROWS):
+    rows = _alerts(spark, sf_dir, short)
     return rows.select(
         "symbol", "date", "close", "direction", F.round("score", 6).alias("score"), "total",
         F.size("bullish").alias("bullish"), F.size("bearish").alias("bearish"),
