@@ -38,37 +38,34 @@ def trade_profit(direction: Column, entry: Column, exit_: Column, quantity: Colu
     return F.when(direction.isin("LONG", "BUY"), rise).otherwise(-rise) * quantity
 
 
-def trade_return(direction: Column, entry: Column, exit_: Column) -> Column:
-    rise = exit_ - entry
-    return percent(F.when(direction.isin("LONG", "BUY"), rise).otherwise(-rise), entry)
-
-
 def is_closed(status: Column) -> Column:
     return status != "OPEN"
 
 
-def trade_log(trades: DataFrame) -> DataFrame:
-    """Trades numbered in execution order, in money.
+def numbered_trades(trades: DataFrame) -> DataFrame:
+    """Trades of shares or options with ``trade_no``, from 1 in execution order.
 
     Entry order equals order of time, and a lane's earlier trades are counted
     per block of entries first, so no lane is sorted in one piece.
     """
     block = F.call_function("div", F.col("entry_i"), F.lit(4096))
-    local = with_profit(trades).withColumn("_block", block)
+    local = trades.withColumn("_block", block)
     counts = local.groupBy(*KEYS, "_block").agg(F.count("*").alias("_count"))
     earlier = Window.partitionBy(*KEYS).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0))).drop("_count")
     rank = F.row_number().over(Window.partitionBy(*KEYS, "_block").orderBy("entry_i"))
-    return (
-        local.withColumn("_rank", rank)
-        .join(offsets, [*KEYS, "_block"])
-        .select(
-            *KEYS, (F.col("_before") + F.col("_rank")).alias("trade_no"), F.lit("LONG").alias("direction"),
-            F.lit("CLOSED").alias("status"), "entry_date", "exit_date", "shares",
-            (F.col("entry_u") / float(UNIT)).alias("entry_price"),
-            (F.col("exit_u") / float(UNIT)).alias("exit_price"),
-            (F.col("profit_u").cast("double") / float(UNIT)).alias("pl"), "return_pct",
-        )
+    joined = local.withColumn("_rank", rank).join(offsets, [*KEYS, "_block"])
+    return joined.withColumn("trade_no", F.col("_before") + F.col("_rank")).drop("_block", "_rank", "_before")
+
+
+def trade_log(trades: DataFrame) -> DataFrame:
+    """Trades numbered in execution order, in money."""
+    return with_profit(numbered_trades(trades)).select(
+        *KEYS, "trade_no", F.lit("LONG").alias("direction"),
+        F.lit("CLOSED").alias("status"), "entry_date", "exit_date", "shares",
+        (F.col("entry_u") / float(UNIT)).alias("entry_price"),
+        (F.col("exit_u") / float(UNIT)).alias("exit_price"),
+        (F.col("profit_u").cast("double") / float(UNIT)).alias("pl"), "return_pct",
     )
 
 

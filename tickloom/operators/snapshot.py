@@ -14,11 +14,13 @@ PRICES = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v"}
 
 
 def with_running(sliced: DataFrame, obv: bool = True) -> DataFrame:
-    """``sliced`` with what depends on the whole past: ``sar``, ``p_sar`` and, if wanted, ``obv``, null on halo bars.
+    """``sliced`` with the directional index and what depends on the whole past: ``sar``, ``p_sar`` and, if wanted, ``obv``, null on halo bars.
 
-    Joined while rows are narrow and laid out by slice again, so that the wide columns made of them cross no join.
+    The steps in Python and the joins, behind which Spark no longer knows the
+    layout, come while rows are narrow.  Laid out by slice once more, the wide
+    columns made of them cross no exchange.
     """
-    joined = sliced.join(parabolic_sar(sliced), PLACE, "left")
+    joined = ind.add(sliced, ind.adx()).join(parabolic_sar(sliced), PLACE, "left")
     if obv:
         joined = joined.join(ind.with_obv(sliced).select(*PLACE, "obv"), PLACE, "left")
     return spread(joined, "symbol", "slice")

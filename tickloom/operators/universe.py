@@ -29,5 +29,7 @@ def counts(lists: DataFrame) -> DataFrame:
     return lists.groupBy("list").agg(F.count_distinct("symbol").alias("symbols"))
 
 
-def sorted_symbols(symbols: DataFrame) -> DataFrame:
-    return symbols.select("symbol").distinct().orderBy("symbol")
+def counts_with_total(lists: DataFrame, incomplete: DataFrame) -> DataFrame:
+    """Symbols per list, and how many different ones remain of all lists without the incomplete ones."""
+    left = exclude(lists.select("symbol").distinct(), incomplete)
+    return counts(lists).unionByName(left.agg(F.count("*").alias("symbols")).withColumn("list", F.lit("total after exclusion")))

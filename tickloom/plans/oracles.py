@@ -282,6 +282,7 @@ ORACLES["bar_check"] = f"""WITH {bars()} SELECT symbol, count(*) FILTER (WHERE v
 FROM n GROUP BY symbol"""
 ORACLES["series_bounds"] = f"""WITH {bars('l_suppkey')} SELECT symbol, count(*) AS bars, min(date) AS start_date, max(date) AS end_date,
 arg_min(c, date) AS first_close, arg_max(c, date) AS last_close FROM n GROUP BY symbol"""
+ORACLES["price_files"] = ORACLES["daily_bars"]
 ORACLES["latest_bar"] = f"WITH {bars()} SELECT symbol, i, date, {_OHLCV} FROM n QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1"
 ORACLES["range_preset"] = f"""WITH {bars()} SELECT symbol, count(*) AS bars, min(date) AS first_date FROM n
 WHERE date >= (SELECT max(date) FROM n) - INTERVAL 6 MONTH GROUP BY symbol"""
@@ -480,6 +481,7 @@ ORACLES["equity_curve"] = f"{_C}, {curve('d')} SELECT symbol, date, round(CAST(e
 _STATS = f"stats AS ({stats('t', 'symbol, strategy', _PL)})"
 ORACLES["performance"] = f"""{_C}, {curve('d')}, {_STATS}
 {metrics_select(extra="bars, start_date, last_date AS end_date, round(CAST(st.cash AS DOUBLE) / 10000, 4) AS final_capital,")}"""
+ORACLES["report_tables"] = f"""SELECT symbol, total_trades, total_trades AS logged, total_trades AS last_no FROM ({ORACLES['performance']})"""
 ORACLES["strategy_comparison"] = f"""WITH {standard('p_type')}, {ledger('d', '1000000000', '0')}, {curve('d')}, {_STATS} {metrics_select()}"""
 ORACLES["best_strategy"] = f"""WITH {crossed('p_brand', [(20, 50), (10, 30), (5, 20)])}, {ledger('d', '10000000000', '0', 'symbol, strategy, no')},
 b AS (SELECT symbol, strategy, no, {pct('st.cash - cap', 'cap')} AS total_return, {pct('last_u - first_u', 'first_u')} AS buy_and_hold
@@ -656,7 +658,7 @@ _OPL = "((CASE WHEN kind = 'CALL' THEN eu - xu ELSE xu - eu END) * n * 100)"
 
 def _option_trades(compat: bool) -> str:
     return f"""WITH {option_ledger('p_type', compat)}
-SELECT symbol, strategy, CASE WHEN kind = 'CALL' THEN 'SELL' ELSE 'BUY' END AS direction, kind, status, ed AS entry_date, xd AS exit_date, strike, n AS contracts,
+SELECT symbol, strategy, row_number() OVER (PARTITION BY symbol, strategy ORDER BY ei) AS trade_no, CASE WHEN kind = 'CALL' THEN 'SELL' ELSE 'BUY' END AS direction, kind, status, ed AS entry_date, xd AS exit_date, strike, n AS contracts,
 ev AS entry_volume, CAST(eu AS DOUBLE) / 10000 AS entry_premium, CAST(xu AS DOUBLE) / 10000 AS exit_premium, CAST({_OPL} AS DOUBLE) / 10000 AS pl,
 {pct("CASE WHEN kind = 'CALL' THEN eu - xu ELSE xu - eu END", 'eu')} AS return_pct, days AS days_to_expiry, ei + days AS expiry_bar
 FROM ot JOIN info USING (symbol, strategy)"""
@@ -811,7 +813,11 @@ SELECT pattern, count(*) AS symbols FROM u GROUP BY pattern"""
 ORACLES["incomplete_symbols"] = "SELECT 'C' || o_custkey AS symbol FROM orders GROUP BY o_custkey HAVING count(*) < 2"
 ORACLES["universe"] = """SELECT DISTINCT 'C' || c_custkey AS symbol FROM customer WHERE (c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_acctbal < 0)
 AND c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) < 2)"""
-ORACLES["universe_counts"] = "SELECT c_mktsegment AS list, count(DISTINCT c_custkey) AS symbols FROM customer GROUP BY ALL"
+ORACLES["universe_counts"] = """SELECT c_mktsegment AS list, count(DISTINCT c_custkey) AS symbols FROM customer GROUP BY ALL
+UNION ALL SELECT 'total after exclusion', count(DISTINCT c_custkey) FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) < 2)"""
+ORACLES["symbol_files"] = """SELECT DISTINCT 'C' || c_custkey AS symbol,
+c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) < 2) AS incomplete FROM customer"""
 ORACLES["list_fallback"] = """WITH p AS (SELECT c_mktsegment AS list, 'C' || c_custkey AS symbol FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal > 5000)
 SELECT * FROM p UNION ALL SELECT c_mktsegment, 'C' || c_custkey FROM customer WHERE c_nationkey < 10 AND c_mktsegment NOT IN (SELECT list FROM p)"""
 

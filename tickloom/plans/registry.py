@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,7 @@ from tickloom.operators.ledger import ROUND_BARS, Account, run_ledger
 from tickloom.operators.psar import HALO as SAR_HALO, parabolic_sar
 from tickloom.operators.snapshot import whole_snapshot
 from tickloom.plans import inputs
+from tickloom.session import shared_folder
 from tickloom.sources import lists, payloads, prices
 from tickloom.sources.derived import event_bars, order_bars, table
 
@@ -396,10 +398,10 @@ def _options(spark, sf_dir, vol_mode="asof", short=None):
 
 
 def _option_trades(ledger) -> DataFrame:
-    t = opt.with_option_profit(ledger.trades)
+    t = opt.with_option_profit(metrics.numbered_trades(ledger.trades))
     money = {"entry_premium": "entry_u", "exit_premium": "exit_u", "pl": "profit_u"}
     return t.select(
-        "symbol", "strategy", "direction", "kind", "status", "entry_date", "exit_date", "strike", "contracts", "entry_volume",
+        "symbol", "strategy", "trade_no", "direction", "kind", "status", "entry_date", "exit_date", "strike", "contracts", "entry_volume",
         *[(F.col(c).cast("double") / numeric.UNIT).alias(n) for n, c in money.items()], "return_pct",
         F.col("days").alias("days_to_expiry"), (F.col("entry_i") + F.col("days")).alias("expiry_bar"),
     )
@@ -546,7 +548,47 @@ def universe_query(spark, sf_dir):
 
 @query("universe_counts")
 def universe_counts(spark, sf_dir):
-    return universe.counts(_lists(spark, sf_dir))
+    """Symbols per list, and in all after those with fewer than two closes are excluded."""
+    return universe.counts_with_total(_lists(spark, sf_dir), pat.incomplete_symbols(inputs.closes(spark, sf_dir)))
+
+
+def _stored(spark, name: str) -> str:
+    """A new folder for files that a query writes and reads back."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("symbol_files")
+def symbol_files(spark, sf_dir):
+    """Incomplete symbols appended to a table and all symbols written as lines, both read back and counted."""
+    folder, listed = _stored(spark, "symbols"), _lists(spark, sf_dir)
+    short = pat.incomplete_symbols(inputs.closes(spark, sf_dir)).select("symbol")
+    for half in (0, 1):
+        lists.append_rows(short.filter(F.pmod(F.crc32("symbol"), F.lit(2)) == half), f"{folder}/incomplete")
+    lists.write_lines(listed.select(F.format_string("[%s]", "symbol").alias("value")), f"{folder}/lines")
+    lines = lists.line_set(lists.read_lines(spark, f"{folder}/lines")).withColumnRenamed("value", "symbol")
+    gone = spark.read.parquet(f"{folder}/incomplete").select("symbol", F.lit(True).alias("incomplete"))
+    return lines.join(gone, "symbol", "left").fillna(False)
+
+
+@query("report_tables")
+def report_tables(spark, sf_dir):
+    """Metrics and trades of a ledger stored as report tables, and the trades per series read from them."""
+    folder = _stored(spark, "report")
+    bars, ledger = _ledger(spark, sf_dir, CROSSOVER, [Account(1_000_000, 0.65)])
+    lists.write_report({"metrics": metrics.performance(bars, ledger), "trades": metrics.trade_log(ledger.trades)}, folder)
+    logged = spark.read.parquet(f"{folder}/trades").groupBy("symbol").agg(F.count("*").alias("logged"), F.max("trade_no").alias("last_no"))
+    stats = spark.read.parquet(f"{folder}/metrics").select("symbol", "total_trades")
+    return stats.join(logged, "symbol", "left").fillna(0)
+
+
+@query("price_files")
+def price_files(spark, sf_dir):
+    """Bars written as one CSV folder per symbol and read back by the file reader."""
+    folder = _stored(spark, "prices")
+    bars = order_bars(spark, sf_dir)
+    fields = [F.col(c).cast("string").alias(c) for c in prices.CSV_COLUMNS]
+    bars.select(F.col("symbol").alias("of"), *fields).repartition("of").write.partitionBy("of").option("header", True).csv(folder)
+    return _as_double(prices.read_csv(spark, folder, F.col("of")).drop("adj_close"))
 
 
 @query("list_fallback")

@@ -36,14 +36,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach: the checkpoint folder, or the one the session names for it.
 
-    Used where a result is read by several branches or carried from one round
-    of a loop to the next.  The folder must outlive executors, so a temporary
-    local folder is only made up for a local session that names none.
+    It must outlive executors, so a temporary local folder is only made up for
+    a local session that names none.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,4 +50,14 @@ def stage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="tickloom-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the shared folder the session names.
+
+    Used where a result is read by several branches or carried from one round
+    of a loop to the next.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
