@@ -99,11 +99,11 @@ RANGES = {"1mo": 1, "3mo": 3, "6mo": 6, "1y": 12, "2y": 24, "5y": 60, "10y": 120
 
 
 def preset_range(bars: DataFrame, name: str) -> DataFrame:
-    """Bars of the last months before the newest bar of the table."""
+    """Bars of the last months before the newest bar of the table, which a scalar subquery over the dates finds."""
     if name == "max":
         return bars
-    newest = bars.agg(F.max("date")).first()[0]
-    return bars.filter(F.col("date") >= F.add_months(F.lit(newest), -RANGES[name]))
+    newest = bars.agg(F.max("date")).scalar()
+    return bars.filter(F.col("date") >= F.add_months(newest, -RANGES[name]))
 
 
 def between(bars: DataFrame, start: Column, end: Column) -> DataFrame:
