@@ -58,8 +58,8 @@ def value_curve(
     )
     starts = pieces.select(
         *KEYS, "slice", F.expr(f"greatest(from_i, slice * {slice_rows} - 1)").alias("i"),
-        F.struct(*holding).alias("held"),
-    )
+        F.struct(*holding).alias("held"), F.array(F.struct(*KEYS[1:])).alias("_lanes"),
+    ).drop(*KEYS[1:])
     # One short list of strategies and accounts per symbol and slice; its length is set by
     # the caller, not the data, and the join stays on the partitioning of the bars.
     slices = F.explode(F.expr(f"sequence(0L, (bars - 1) div {slice_rows})")).alias("slice")
@@ -67,8 +67,9 @@ def value_curve(
         ledger.accounts.groupBy("symbol", "bars").agg(F.collect_list(F.struct(*KEYS[1:])).alias("_lanes"))
         .select("symbol", "_lanes", slices)
     )
-    laned = bars.join(lanes, ["symbol", "slice"]).withColumn("_lane", F.explode("_lanes")).select("*", "_lane.*")
-    both = spread(laned.drop("_lanes", "_lane").unionByName(starts, allowMissingColumns=True), *KEYS, "slice")
+    # Lanes stay lists until bars and starts of a slice are in one place: no exchange carries a bar once per lane.
+    met = spread(bars.join(lanes, ["symbol", "slice"]).unionByName(starts, allowMissingColumns=True), "symbol", "slice")
+    both = met.withColumn("_lane", F.explode("_lanes")).select("*", "_lane.*").drop("_lanes", "_lane")
     # At equal bar numbers the segment start (no close) sorts before the bar.
     inside = Window.partitionBy(*KEYS, "slice").orderBy("i", F.col("u").asc_nulls_first())
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)

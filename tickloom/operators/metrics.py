@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickloom.functions.numeric import UNIT
+from tickloom.functions.numeric import UNIT, whole_ratio
 from tickloom.operators.bars import SLICE_ROWS
 from tickloom.operators.equity import equity_curve, risk
 from tickloom.operators.ledger import KEYS, Ledger
@@ -18,9 +18,8 @@ NO_LOSS_FACTOR = 999.99
 
 
 def percent(part: Column, whole: Column, places: int = 6) -> Column:
-    """part / whole rounded to ``places``, as a percentage."""
-    ratio = F.try_divide(part.cast("double"), whole.cast("double"))
-    return F.round(F.round(ratio, places) * 100, places - 2)
+    """part / whole of whole numbers rounded to ``places``, as a percentage."""
+    return whole_ratio(part, whole, places, shift=2)
 
 
 def with_profit(trades: DataFrame) -> DataFrame:
@@ -81,12 +80,12 @@ def trade_stats(trades: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     wins, losses = F.col("winning_trades"), F.col("total_trades") - F.col("winning_trades")
 
     def mean(total: Column, count: Column) -> Column:
-        return F.coalesce(F.round(F.try_divide(total.cast("double"), count * float(UNIT)), 2), F.lit(0.0))
+        return F.coalesce(whole_ratio(total, count * UNIT, 2), F.lit(0.0))
 
     factor = (
         F.when((F.col("_lost") == 0) & (F.col("_won") > 0), F.lit(NO_LOSS_FACTOR))
         .when(F.col("_lost") == 0, F.lit(0.0))
-        .otherwise(F.round(F.try_divide(F.col("_won").cast("double"), -F.col("_lost").cast("double")), 2))
+        .otherwise(whole_ratio(F.col("_won"), -F.col("_lost"), 2))
     )
     return sums.select(
         *keys, "total_trades", "winning_trades", losses.alias("losing_trades"),
@@ -104,7 +103,7 @@ def performance(numbered: DataFrame, ledger: Ledger, days: int = 252, slice_rows
     """One row per series, strategy and account with every metric, and buy-and-hold beside it."""
     stats = trade_stats(with_profit(ledger.trades))
     drawn = risk(equity_curve(numbered, ledger, slice_rows), days)
-    profit = (F.col("final_u") - F.col("capital_u")).cast("double")
+    profit = F.col("final_u") - F.col("capital_u")
     none = {name: 0 if name.endswith("trades") else 0.0 for name in STATS}
     return (
         ledger.accounts.join(stats, KEYS, "left")
@@ -113,7 +112,7 @@ def performance(numbered: DataFrame, ledger: Ledger, days: int = 252, slice_rows
         .select(
             *KEYS, "bars", "start_date", "end_date",
             (F.col("final_u").cast("double") / float(UNIT)).alias("final_capital"),
-            (profit / float(UNIT)).alias("total_pl"),
+            (profit.cast("double") / float(UNIT)).alias("total_pl"),
             percent(profit, F.col("capital_u")).alias("total_return"),
             *STATS, "max_drawdown", "sharpe_ratio",
             percent(F.col("last_u") - F.col("first_u"), F.col("first_u")).alias("buy_and_hold"),

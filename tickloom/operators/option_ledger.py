@@ -414,7 +414,7 @@ def option_performance(numbered: DataFrame, ledger: Ledger, curve: DataFrame, da
         F.sum("entry_volume").alias("entry_bar_volume"),
     )
     none = {name: 0 if name.endswith("trades") else 0.0 for name in STATS}
-    profit = (F.col("final_u") - F.col("capital_u")).cast("double")
+    profit = F.col("final_u") - F.col("capital_u")
     return (
         ledger.accounts.join(trade_stats(trades), KEYS, "left")
         .join(extra, KEYS, "left")
@@ -423,7 +423,7 @@ def option_performance(numbered: DataFrame, ledger: Ledger, curve: DataFrame, da
         .select(
             *KEYS, "bars", "start_date", "end_date",
             (F.col("final_u").cast("double") / float(UNIT)).alias("final_capital"),
-            (profit / float(UNIT)).alias("total_pl"),
+            (profit.cast("double") / float(UNIT)).alias("total_pl"),
             percent(profit, F.col("capital_u")).alias("total_return"),
             *STATS, "average_premium", "entry_bar_volume", "max_drawdown", "sharpe_ratio",
             percent(F.col("last_u") - F.col("first_u"), F.col("first_u")).alias("buy_and_hold"),

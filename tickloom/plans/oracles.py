@@ -435,7 +435,8 @@ def stats(trades: str, keys: str, profit: str) -> str:
   count(*) FILTER (WHERE NOT {profit} > 0) AS losing_trades,
   CAST({hu(f'count(*) FILTER (WHERE {profit} > 0)', 'count(*)', 4)} AS DOUBLE) / 100 AS win_rate,
   coalesce(CAST({hu(f'coalesce({won}, 0)', f'greatest(count(*) FILTER (WHERE {profit} > 0), 1) * 100', 0)} AS DOUBLE) / 100, 0) AS average_win,
-  coalesce(CAST({hu(f'coalesce({lost}, 0)', f'greatest(count(*) FILTER (WHERE NOT {profit} > 0), 1) * 100', 0)} AS DOUBLE) / 100, 0) AS average_loss,
+  -- A negative HUGEINT loses digits when it is cast to DOUBLE; the loss is cast as a positive one.
+  0 - coalesce(CAST({hu(f'-coalesce({lost}, 0)', f'greatest(count(*) FILTER (WHERE NOT {profit} > 0), 1) * 100', 0)} AS DOUBLE) / 100, 0) AS average_loss,
   CASE WHEN coalesce({lost}, 0) = 0 AND coalesce({won}, 0) > 0 THEN 999.99 WHEN coalesce({lost}, 0) = 0 THEN 0
        ELSE CAST({hu(f'coalesce({won}, 0)', f'-least(coalesce({lost}, 0), -1)', 2)} AS DOUBLE) / 100 END AS profit_factor
 FROM {trades} GROUP BY {keys}"""
