@@ -43,11 +43,10 @@ CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[^\w@$!|+€£]+")
-_ODD_END = re.compile(r"^[^\w@$!|+]+|([^\w\s])\1{2,}$|[^\w@$!|+€£]+$|!+$")
+_ODD_END = re.compile(r"^[^\w@$!|+€£]+|([^\w\s])\1{2,}$|[^\w@$!|+€£]+$|!+$")
 _SIGN = re.compile(r"[\d@$!|+€£]")
-_LETTER = re.compile(r"[^\W\d_]")
-_RUN = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][\s.\-_*]{1,2}){3,}[^\W_](?!\S)")
+_TWICE = re.compile(r"([^\W\d_])\1")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[\s.\-_*]{1,2}(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
 
 
 def _table() -> np.ndarray:
@@ -111,12 +110,9 @@ def restore(signs: str, model: np.ndarray) -> str:
 
 
 def obfuscated(token: str) -> list[str]:
-    """The parts of a token that may hide a word: letters with signs among them, or a letter three times over."""
-    bare = _ODD_END.sub("", token)
-    if not (_SIGN.search(bare) or _RUN.search(bare)):
-        return []
-    parts = [p for p in _PART.split(bare) if _LETTER.search(p)]
-    return [p for p in parts if _RUN.search(p) or 2 * len(_SIGN.findall(p)) <= len(p) + 1 and _SIGN.search(p)]
+    """The parts of a token that may hide a word: all with a sign or a doubled letter, whatever else they hold; signs at the end read and left out."""
+    parts = [p for form in {token, _ODD_END.sub("", token)} for p in _PART.split(form)]
+    return [p for p in dict.fromkeys(parts) if _SIGN.search(p) or _TWICE.search(p)]
 
 
 def words(token: str, model: np.ndarray) -> set[str]:
@@ -129,10 +125,11 @@ def words(token: str, model: np.ndarray) -> set[str]:
 
 
 def spaced(text: str, model: np.ndarray) -> set[str]:
-    """The words that runs of four or more single signs hide."""
+    """The words that runs of three or more single signs hide, bounded by white space or punctuation; an exclamation mark at the end read and left out."""
     found: set[str] = set()
     for m in _SPACED.finditer(text):
-        found.update(_WORD.findall(restore(m[0], model)))
+        for run in {m[0], m[0].rstrip("! ")}:
+            found.update(_WORD.findall(restore(run, model)))
     return found
 
 
