@@ -30,7 +30,12 @@ LABELLED = [
     (40, 0.0, 40, 0.0, 1, 1.0, 1, 1), (2, 0.0, 40, 0.0, 4, 1.0, 1, 1), (6, 0.0, 60, 0.0, 2, 1.0, 1, 1), (90, 0.0, 2, 1.0, 3, 1.0, 1, 1),
     (45, 0.0, 3, 0.0, 2, 0.6, 1, 1), (110, 0.0, 1, 0.0, 30, 0.9, 1, 1), (1, 0.0, 5, 1.0, 80, 0.0, 1, 1), (16, 0.0, 0, 0.0, 0, 0.0, 1, 1),
     (400, 0.0, 0, 0.0, 0, 0.0, 1, 1), (7, 0.0, 7, 0.9, 7, 0.9, 1, 1), (30, 0.4, 2, 0.0, 4, 1.0, 1, 1), (4, 0.25, 90, 0.0, 90, 0.0, 1, 1),
+    # Headings, paragraphs and short lines of an article that are wholly a link.
+    (4, 1.0, 0, 0.0, 60, 0.0, 1, 1), (6, 1.0, 0, 0.0, 12, 0.0, 1, 1), (8, 1.0, 0, 0.0, 90, 0.02, 1, 1), (4, 1.0, 60, 0.0, 60, 0.0, 1, 1), (9, 1.0, 40, 0.0, 12, 0.0, 1, 1),
+    (20, 1.0, 60, 0.0, 0, 0.0, 1, 1), (3, 1.0, 90, 0.0, 2, 0.0, 1, 1), (12, 0.95, 30, 0.1, 45, 0.3, 1, 1), (2, 1.0, 12, 0.0, 8, 0.0, 1, 1), (5, 1.0, 8, 0.5, 0, 0.0, 1, 1),
+    (7, 1.0, 0, 0.0, 3, 0.6, 1, 1), (10, 1.0, 0, 0.0, 0, 0.0, 1, 1), (1, 1.0, 5, 0.6, 200, 0.0, 1, 1), (60, 1.0, 90, 0.0, 90, 0.0, 1, 1),
     # Lists of links inside an article.
+    (6, 1.0, 0, 0.0, 5, 1.0, 1, 0), (3, 1.0, 5, 1.0, 0, 0.0, 1, 0), (4, 1.0, 4, 1.0, 60, 0.0, 1, 0), (7, 1.0, 3, 1.0, 30, 0.0, 1, 0), (5, 1.0, 90, 0.0, 4, 0.95, 1, 0), (5, 1.0, 4, 0.95, 90, 0.0, 1, 0),
     (4, 1.0, 60, 0.0, 5, 1.0, 1, 0), (5, 1.0, 4, 1.0, 3, 1.0, 1, 0), (9, 1.0, 5, 1.0, 12, 0.0, 1, 0), (2, 1.0, 40, 0.0, 3, 1.0, 1, 0), (12, 0.95, 10, 1.0, 8, 1.0, 1, 0),
     # Pages without any sign: long texts with few links, and what stands among them.
     (80, 0.0, 3, 1.0, 60, 0.0, 0, 1), (60, 0.05, 80, 0.0, 40, 0.0, 0, 1), (40, 0.1, 60, 0.0, 5, 0.0, 0, 1), (22, 0.0, 1, 1.0, 90, 0.0, 0, 1),
@@ -54,6 +59,11 @@ FURNITURE = set(
     "social comment comments reply replies respond discussion disqus nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead topbar "
     "pagination pager login signup register search toolbar skip complementary contentinfo paywall".split()
 )
+# Of these, words of texts that are never the page's own, and words of the page's frame, which may be put on what holds the article.
+OTHERS = set("ad ads adv advert adverts advertisement advertising advertorial sponsored related recommended recommendations comment comments reply replies respond discussion disqus".split())
+FRAME = set("sidebar nav navbar navigation menu footer foot header masthead topbar toolbar banner breadcrumb breadcrumbs pagination pager search login widget widgets".split())
+# Parts of class names that tell of a layout, and ends of names of what holds content and furniture.
+LAYOUT, WRAP = set("has have with without no layout".split()), set("wrap wrapper container grid row".split())
 CONTENT = set("article content entry post story main maintext bodytext articlebody".split())
 BLOCK_TAGS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -71,21 +81,37 @@ _MARK = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HREF = re.compile(r"\bhref\s*=", re.I)
+
+# What an element says of its text: furniture whatever it holds; furniture but for an article or main element; furniture but for any
+# content inside; nothing; content by its class; an article or main element.
+NEVER, UNLESS_ARTICLE, UNLESS_CONTENT, NOTHING, CONTENT_CLASS, ARTICLE = -3, -2, -1, 0, 1, 2
+
+
+def _wrapper(parts: set[str]) -> bool:
+    """Whether the parts of one class name are a layout's, such as has-sidebar or content-sidebar-wrap."""
+    return bool(parts & LAYOUT or parts & WRAP and parts & CONTENT)
 
 
 def _zone(tag: str, attrs: str, inside: bool) -> int:
-    """What an element says of its text: -1 furniture, 1 content, 0 nothing; ``inside`` content, a header is the article's own."""
-    if tag in FURNITURE_TAGS or tag == "header" and not inside or attrs and _HIDDEN.search(attrs):
-        return -1
-    if tag in ("article", "main"):
-        return 1
+    """What an element says of its text; ``inside`` content, a header is the article's own."""
+    if tag == "form":
+        return NEVER if attrs and _HIDDEN.search(attrs) else UNLESS_CONTENT
+    if tag in FURNITURE_TAGS or attrs and _HIDDEN.search(attrs):
+        return NEVER
+    if tag == "header" and not inside:
+        return UNLESS_ARTICLE
+    if tag == "main":
+        return ARTICLE
     if not attrs or tag in ("html", "body"):
-        return 0
-    names = [n for found in _NAMES.findall(attrs) for n in _PART.findall("".join(found))]
-    names = {n.lower() for n in names}
+        return ARTICLE if tag == "article" else NOTHING
+    whole = [{n.lower() for n in _PART.findall(name)} for found in _NAMES.findall(attrs) for name in "".join(found).split()]
+    if tag == "article":
+        return NEVER if any(name and name <= OTHERS for name in whole) else ARTICLE
+    names = set().union(*(name for name in whole if not _wrapper(name)))
     if names & FURNITURE and not (inside and names & FURNITURE <= {"header", "main", "content"}):
-        return -1
-    return 1 if names & CONTENT else 0
+        return NEVER if names & OTHERS else UNLESS_CONTENT if names & FURNITURE <= FRAME else UNLESS_ARTICLE
+    return CONTENT_CLASS if set().union(*whole) & CONTENT else NOTHING
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
@@ -95,6 +121,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
     links: list[str] = []
     stack: list[tuple[str, int]] = []
     anchors = 0
+    opened = 0  # elements around the open anchor
+    paragraph = linked_paragraph = False  # in a p element, and the anchor began there
     zone = 0
 
     def flush():
@@ -111,8 +139,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             links.append(text)
 
     def leave(count: int):
-        nonlocal zone
+        nonlocal zone, anchors
         del stack[count:]
+        if count < opened:
+            anchors = 0  # an anchor ends with the element it began in
         zone = _sum(stack)
 
     at = 0
@@ -128,6 +158,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         tag, attrs = tag.lower(), m["attrs"] or m["attrs2"] or ""
         if tag in BLOCK_TAGS:
             flush()
+            if paragraph and linked_paragraph:
+                anchors = 0
+            paragraph, linked_paragraph = tag == "p" and not (m["end"] or m["end2"]), False
         elif tag == "br":
             add(" ")
             continue
@@ -143,7 +176,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
                     break
             continue
         if tag == "a":
-            anchors = 1  # links do not nest
+            anchors = 1 if _HREF.search(attrs) else 0  # links do not nest
+            opened, linked_paragraph = len(stack), paragraph
             continue
         if tag in VOID_TAGS or attrs.rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
@@ -161,16 +195,26 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
 
 
 def _sum(stack: list[tuple[str, int]]) -> int:
-    said = {z for _, z in stack}
-    return -1 if -1 in said else 1 if 1 in said else 0
+    """-1 in furniture, 1 in content, 0 unknown: the innermost element that may say so."""
+    zone = NOTHING
+    for _, said in stack:
+        if said == NEVER:
+            return -1
+        if said < 0:
+            zone = min(zone, said)
+        elif said and (zone >= UNLESS_CONTENT or said == ARTICLE):
+            zone = said
+    return (zone > 0) - (zone < 0)
 
 
 def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """Words and link density of each block, of the one before and of the one after, and the zone."""
+    """Words and link density of each block, of the one before and of the one after, and the zone; what is outside is no neighbour of content."""
     words = np.array([0, *[b[1] for b in found], 0], float)
     density = np.array([0, *[b[2] / b[1] for b in found], 0], float)
     zone = np.array([b[3] for b in found], float)
-    return np.stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], zone], axis=1)
+    around = np.array([0, *zone, 0])
+    before, after = ((zone <= 0) | (side > 0) for side in (around[:-2], around[2:]))
+    return np.stack([words[1:-1], density[1:-1], words[:-2] * before, density[:-2] * before, words[2:] * after, density[2:] * after, zone], axis=1)
 
 
 def grow(rows: np.ndarray, labels: np.ndarray):
