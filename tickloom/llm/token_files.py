@@ -54,6 +54,8 @@ class Pieces:
         self.tokenizer = tokenizer
         self.merge = tokenizer.model.tokenize
         self.line_end = self.encoded("\n")
+        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.stops = {c: self.encoded(c) for c in ".,"}
         self.heads = Recent(self.encoded, STORED_PIECES // 4)  # pieces at the start of a line, which have no blank
         self.after_blank = Recent(self.piece, STORED_PIECES)
@@ -80,6 +82,8 @@ class Pieces:
         return self.encoded(" " + piece)
 
     def ids(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self.encoded(text)  # an added token's name is one token, with its own rules for the text around it
         if _JOINED.search(text):
             first, *rest = _CUT.split(text)
             rest = [piece[1:] for piece in rest]
@@ -93,15 +97,13 @@ _loaded: dict[str, Pieces] = {}
 
 
 def pieces(path: str) -> Pieces:
-    """The vocabulary at ``path``, loaded once per worker; its special tokens' names in a text are ordinary text."""
+    """The vocabulary at ``path``, loaded once per worker, with the library's own settings."""
     if path not in _loaded:
         # One thread per task: Spark runs as many tasks as there are cores.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _loaded[path] = Pieces(tokenizer)
+        _loaded[path] = Pieces(Tokenizer.from_file(path))
     return _loaded[path]
 
 
