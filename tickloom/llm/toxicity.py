@@ -80,12 +80,32 @@ def character_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 5.0 * after_one[None, :, :]) / (counts.sum(axis=2, keepdims=True) + 5.0)).astype(np.float32)
 
 
+_flat: list = [None, []]
+
+
+def _listed(model: np.ndarray) -> list[float]:
+    """The model as a list, which is read faster one by one; kept for the last model."""
+    if _flat[0] is not model:
+        _flat[:] = model, model.ravel().tolist()
+    return _flat[1]
+
+
 def restore(signs: str, model: np.ndarray) -> str:
     """The likeliest reading of a run of signs: letters, with blanks at its gaps."""
-    beam = {(0, 0): (0.0, "")}
+    # A state is the last two classes as one number.
+    listed = _listed(model)
+    beam = {0: (0.0, "")}
     before = ""
     for sign in signs.lower():
         options = []
+        if sign != before and sign in CLASS:
+            before, c, new = sign, CLASS[sign], {}
+            for state, (score, read) in beam.items():
+                to, value = state % KINDS * KINDS + c, score + listed[state * KINDS + c]
+                if to not in new or value > new[to][0]:
+                    new[to] = (value, read + sign)
+            beam = new
+            continue
         if sign in CLASS:
             options.append((sign, 0.0))
         elif sign in LEET:
@@ -95,18 +115,19 @@ def restore(signs: str, model: np.ndarray) -> str:
         if sign == before and (sign in CLASS or sign in LEET):
             options.append(("", REPEATED))
         before = sign
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, read) in beam.items():
+        new: dict[int, tuple[float, str]] = {}
+        for state, (score, read) in beam.items():
+            last = state % KINDS
             for letter, cost in options:
-                if letter == "" or letter == " " and b == 0:
-                    state, value, text = (a, b), score - cost, read
+                if letter == "" or letter == " " and last == 0:
+                    to, value, text = state, score - cost, read
                 else:
                     c = CLASS.get(letter, 0)
-                    state, value, text = (b, c), score - cost + float(model[a, b, c]), read + letter
-                if state not in new or value > new[state][0]:
-                    new[state] = (value, text)
-        beam = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
-    return max(((score + float(model[a, b, 0]), read) for (a, b), (score, read) in beam.items()))[1].strip()
+                    to, value, text = last * KINDS + c, score - cost + listed[state * KINDS + c], read + letter
+                if to not in new or value > new[to][0]:
+                    new[to] = (value, text)
+        beam = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
+    return max((score + listed[state * KINDS], read) for state, (score, read) in beam.items())[1].strip()
 
 
 def obfuscated(token: str) -> list[str]:
