@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import chunk_prints, exact_dedup, kd_shards, mixing, page_text, piece_agenda, simhash, token_files, toxicity, warc_fixity
+from tickloom.llm import (
+    chunk_prints, exact_dedup, filter_audit, kd_shards, lookup_kmeans, mixing, page_text, piece_agenda, simhash, token_files, toxicity, tree_bpe, warc_fixity,
+)
 from tickloom.llm.common import cut, shared_folder, table
 
 
@@ -76,14 +78,96 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids of a vocabulary with word ends and of the text they decode to."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return tree_bpe.digests(tree_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language's documents, in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lookup_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole vector, and how tight the clusters are."""
+    return lookup_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chunk_prints, op2_simhash_balls, op3_warc_fixity, op4_page_text, op5_token_codes, op6_stream_dedup, op7_noisy_channel, op8_temperature_mix, op9_piece_agenda, op10_kd_shards,
+        op11_tree_bpe, op12_filter_audit, op13_lookup_kmeans,
     )
 }
 
+# Cells of the tensor per part, then each order's steps over them.
+_AUDIT = """
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+               list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+        FROM documents
+    ), flags AS (
+        SELECT doc_id, part,
+               CAST(len(words) < 100 AS INT) * 16 + CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INT) * 8
+               + CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT) * 4
+               + CAST(regexp_matches(t, '[#$%&*|]') AS INT) * 2 + CAST(doc_id > min(doc_id) OVER (PARTITION BY t) AS INT) AS cell
+        FROM d
+    ), marks AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+    cells AS (
+        SELECT part, cell, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad
+        FROM flags LEFT JOIN marks USING (doc_id) GROUP BY part, cell
+    ), letters(f, bit) AS (VALUES ('A', 16), ('B', 8), ('C', 4), ('D', 2), ('E', 1)),
+    orders AS (
+        SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+        FROM letters a, letters b, letters c, letters d, letters e
+        WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+    ), walk AS (
+        SELECT filter_order, CAST(s AS INT) AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS before FROM orders, range(1, 6) r(s)
+    ), found AS (
+        SELECT part, filter_order, step, bit,
+               coalesce(sum(n) FILTER (cell & (before | bit) = 0), 0)::BIGINT AS kept,
+               coalesce(sum(n) FILTER (cell & before = 0 AND cell & bit <> 0), 0)::BIGINT AS removed,
+               coalesce(sum(n) FILTER (cell & before <> 0 AND cell & bit <> 0), 0)::BIGINT AS redundant,
+               coalesce(sum(n) FILTER (cell = bit), 0)::BIGINT AS unique_fails,
+               coalesce(sum(good) FILTER (cell & before = 0 AND cell & bit <> 0), 0)::BIGINT AS good_lost,
+               coalesce(sum(bad) FILTER (cell & before = 0 AND cell & bit <> 0), 0)::BIGINT AS toxic_lost
+        FROM cells, walk GROUP BY part, filter_order, step, bit
+    )
+    SELECT * EXCLUDE (bit), CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM found
+"""
+
+
+def _kmeans(rounds: int = 3) -> str:
+    """The clustering with one table of centroids per round."""
+    steps = [
+        """kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64
+        ), flat AS MATERIALIZED (SELECT vec_id, d, v[d] AS x FROM kept, range(1, 65) r(d)),
+        seeds AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v FROM kept QUALIFY k < 16),
+        c0 AS MATERIALIZED (SELECT k, d, v[d] AS c FROM seeds, range(1, 65) r(d))"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+            SELECT vec_id, arg_min(k, [distance, k]) AS k, min(distance) AS distance
+            FROM (SELECT vec_id, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM flat JOIN c{i} USING (d) GROUP BY vec_id, k) GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+                SELECT k, d, CASE WHEN n IS NULL THEN c ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS c
+                FROM c{i} LEFT JOIN (SELECT k, d, sum(x) AS s, count(*) AS n FROM flat JOIN a{i} USING (vec_id) GROUP BY k, d) USING (k, d))""")
+    return f"""
+        WITH {", ".join(steps)}, digests AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+        SELECT vec_id, CAST(k AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN digests USING (k)
+    """
+
+
 ORACLES = {
+    "op12_filter_audit": _AUDIT,
+    "op13_lookup_kmeans": _kmeans(),
     "op6_stream_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
