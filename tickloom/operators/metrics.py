@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.numeric import UNIT, whole_ratio
-from tickloom.operators.bars import SLICE_ROWS
-from tickloom.operators.equity import equity_curve, risk
+from tickloom.operators.equity import LANE_ROWS, equity_curve, risk
 from tickloom.operators.ledger import KEYS, Ledger
 
 # Fixed value: reported when there is profit and no loss.
@@ -99,7 +98,7 @@ def trade_stats(trades: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 STATS = ["total_trades", "winning_trades", "losing_trades", "win_rate", "average_win", "average_loss", "profit_factor"]
 
 
-def performance(numbered: DataFrame, ledger: Ledger, days: int = 252, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def performance(numbered: DataFrame, ledger: Ledger, days: int = 252, slice_rows: int = LANE_ROWS) -> DataFrame:
     """One row per series, strategy and account with every metric, and buy-and-hold beside it."""
     stats = trade_stats(with_profit(ledger.trades))
     drawn = risk(equity_curve(numbered, ledger, slice_rows), days)

@@ -351,42 +351,29 @@ def run_option_ledger(
 
 def option_equity(
     numbered: DataFrame, ledger: Ledger, vol_mode: str = "asof", compat: bool = False,
-    rate: float = RISK_FREE_RATE, slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
+    rate: float = RISK_FREE_RATE, slice_rows: int | None = None,
+) -> "Curve":
     """Equity curve of option ledgers, as ``equity.equity_curve`` gives it for shares.
 
     A long option adds its model value to cash, a short one takes it away.
     ``compat`` adds a short option's entry premium a second time.
     """
-    from tickloom.operators.equity import value_curve
-
-    none = {"contracts": "bigint", "entry_i": "bigint", "days": "int", "strike": "bigint", "kind": "string",
-            "short": "boolean", "entry_u": "bigint"}
-    empty = [F.lit(None).cast(t).alias(n) for n, t in none.items()]
-    flat = ledger.trades.select(*KEYS, F.col("flat_from").alias("from_i"), F.col("entry_i").alias("to_i"),
-                                F.col("cash_before").alias("cash_u"), *empty)
-    held = ledger.trades.select(*KEYS, (F.col("entry_i") + 1).alias("from_i"), F.col("exit_i").alias("to_i"),
-                                F.col("cash_in").alias("cash_u"), *none)
-    rest = ledger.accounts.select(*KEYS, F.col("flat_from").alias("from_i"), (F.col("bars") - 1).alias("to_i"),
-                                  F.col("final_u").cast("bigint").alias("cash_u"), *empty)
-    segments = flat.unionByName(held).unionByName(rest).filter("from_i <= to_i")
-    bars = ind.add(slice_bars(numbered, VOLATILITY_LOOKBACK + 1, slice_rows), ind.volatility(VOLATILITY_LOOKBACK))
-    bars = bars.filter(f"i >= slice * {slice_rows} - 1").select("symbol", "slice", "own", "i", "date", "u", "vol")
-    bars = with_volatility(bars, numbered, vol_mode)
+    from tickloom.operators.equity import LANE_ROWS, curve, segments
+
+    held = F.struct(F.col("cash_in").cast("double").alias("cash_u"), "contracts", "entry_i", "days", "strike", "kind", "short", "entry_u")
+    bars = ind.add(slice_bars(numbered, VOLATILITY_LOOKBACK + 1), ind.volatility(VOLATILITY_LOOKBACK)).filter("own")
+    bars = with_volatility(bars.select("symbol", "i", "date", "u", "vol"), numbered, vol_mode)
     cost = f"held.entry_u * held.contracts * {MULTIPLIER}" if compat else "0"
-    equity = (
-        f"CASE WHEN held.contracts IS NULL THEN cast(held.cash_u AS double) "
-        f"WHEN held.short THEN round(held.cash_u - _value + {cost}) ELSE round(held.cash_u + _value) END"
-    )
+    value = f"CASE WHEN held.short THEN round(held.cash_u - _value + {cost}) ELSE round(held.cash_u + _value) END"
 
-    def with_value(held: DataFrame) -> DataFrame:
+    def with_value(rows: DataFrame) -> DataFrame:
         left = "greatest(held.days - (i - held.entry_i), 0)"
         priced = pricing.with_model(
-            held, "held.kind", f"u / {UNIT}.0D", "held.strike", left, "vol", rate, {"price": "_model"}
+            rows, "held.kind", f"u / {UNIT}.0D", "held.strike", left, "vol", rate, {"price": "_model"}
         )
         return priced.withColumn("_value", F.expr(f"_model * {UNIT} * held.contracts * {MULTIPLIER}"))
 
-    return value_curve(bars, ledger, segments, ["cash_u", *none], equity, slice_rows, with_value)
+    return curve(bars, segments(ledger, held), value, slice_rows or LANE_ROWS, with_value)
 
 
 def with_option_profit(trades: DataFrame) -> DataFrame:

@@ -254,7 +254,7 @@ _METRICS = ["total_return", "total_pl", *metrics.STATS, "max_drawdown", "sharpe_
 @sliced_too("performance")
 def performance(spark, sf_dir, short=None):
     bars, ledger = _ledger(spark, sf_dir, CROSSOVER, [Account(1_000_000, 0.65)], short=short)
-    table_ = metrics.performance(bars, ledger, slice_rows=short or SLICE_ROWS)
+    table_ = metrics.performance(bars, ledger, slice_rows=short or equity.LANE_ROWS)
     return table_.select("symbol", "strategy", "bars", "start_date", "end_date", F.round("final_capital", 4).alias("final_capital"), *_METRICS)
 
 
@@ -428,7 +428,7 @@ def option_equity(spark, sf_dir):
 @sliced_too("option_performance")
 def option_performance(spark, sf_dir, short=None):
     bars, ledger = _options(spark, sf_dir, short=short)
-    table_ = opt.option_performance(bars, ledger, opt.option_equity(bars, ledger, slice_rows=short or SLICE_ROWS))
+    table_ = opt.option_performance(bars, ledger, opt.option_equity(bars, ledger, slice_rows=short))
     return table_.select("symbol", "strategy", F.round("final_capital", 4).alias("final_capital"), *_METRICS,
                          "average_premium", "entry_bar_volume")
 
