@@ -28,14 +28,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.common import Recent, cut, partitions, text_of
+from tickloom.llm.common import Recent, cut, in_rows, partitions, text_of
 from tickloom.llm.token_files import _LETTER
 from tickloom.llm.wordlists import ids_of, in_bytes, lists, runs, split
 
 LONG = 16_384
 LEAF = 8_192
 WINDOW = 4
-STORED_WORDS = 200_000
+STORED_WORDS = 300_000
 SUFFIX = "</w>"
 # Marks the last letter of a word in a string of symbols; letters stand for bytes and never are a blank.
 STOP = " "
@@ -45,6 +45,17 @@ ADDED = 0xE000
 _PLAIN = "Ā"
 
 
+def _joined(strings: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """Large strings one after the other in UTF-8, and where each begins and ends."""
+    _, offsets, data = strings.buffers()
+    return memoryview(data or b""), np.frombuffer(offsets, "<i8", len(strings) + 1, 8 * strings.offset)
+
+
+def _letters(word: str) -> str:
+    """The letters that stand for a word's bytes; ASCII letters are their own."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER)
+
+
 class Words:
     """A vocabulary: ids of words, of strings of symbols, and the texts of ids."""
 
@@ -74,6 +85,7 @@ class Words:
         self.strings = pa.array([s + " " for s in strings], pa.large_string())
         self.pieces = Recent(self.piece, STORED_WORDS // 4)
         self.words = Recent(self.word, STORED_WORDS)
+        self.shapes = Recent(self.word_symbols, STORED_WORDS // 4)
         self.stops = {c: self.piece(c) for c in ".,"}
 
     def piece(self, letters: str) -> bytes:
@@ -85,10 +97,26 @@ class Words:
         """The ids of what stands between blanks."""
         body = word[:-1] if word[-1:] in self.stops else word
         if body.isalpha() and max(body) < _PLAIN:
-            ids = self.pieces[body.lower().encode().decode("latin-1").translate(_LETTER)]
+            ids = self.pieces[_letters(body.lower())]
             return ids if body is word else ids + self.stops[word[-1]]
         return self.ids(self.symbols(word)).astype("<i4").tobytes()
 
+    def word_symbols(self, word: str) -> str:
+        """The symbols of what stands between blanks."""
+        body = word[:-1] if word[-1:] in self.stops else word
+        if body.isalpha() and max(body) < _PLAIN:
+            letters = _letters(body.lower()) + STOP
+            return letters if body is word else letters + word[-1] + STOP
+        return self.symbols(word)
+
+    def all_symbols(self, texts: pa.Array) -> list[str]:
+        """The symbols of texts, each distinct word turned into them once."""
+        found, bounds = split(pc.replace_substring(texts, "\n", " "))
+        coded = found.dictionary_encode()
+        known = pa.array(list(map(self.shapes.__getitem__, coded.dictionary.to_pylist())), pa.large_string())
+        data, ends = _joined(known.take(coded.indices))
+        return [str(data[ends[a] : ends[b]], "utf-8") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
     def symbols(self, text: str) -> str:
         """The words of a text, normalised, as letters for their bytes, each with its end marked."""
         split_, normal = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.normalizer.normalize_str
@@ -128,8 +156,7 @@ class Words:
 
     def texts(self, flat: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The text of each run of ids, in UTF-8: the vocabulary's tokens with a blank between them."""
-        taken = self.strings.take(pa.array(flat))
-        data, ends = memoryview(taken.buffers()[2] or b""), taken.offsets.to_numpy() if hasattr(taken, "offsets") else np.frombuffer(taken.buffers()[1], "<i8")
+        data, ends = _joined(self.strings.take(pa.array(flat)))
         return [bytes(data[ends[p] : max(ends[p], ends[q] - 1)]) for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
@@ -170,9 +197,9 @@ def _by_words(vocabulary: str) -> Callable:
 def _by_tree(rows: DataFrame, vocabulary: str, leaf: int) -> DataFrame:
     def leaves(batches):
         model = words(vocabulary)
-        for batch in batches:
-            for row, doc_id, text in zip(*[c.to_pylist() for c in batch.columns]):
-                parts = halves(model.symbols(text), leaf)
+        for batch in in_bytes(batches, 2):
+            for row, doc_id, symbols in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), model.all_symbols(batch.column(2))):
+                parts = halves(symbols, leaf)
                 columns = [pa.array([row] * len(parts), pa.int64()), pa.array([doc_id] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "at", "symbols"])
 
@@ -212,7 +239,7 @@ def encode(docs: DataFrame, vocabulary: str, long: int = LONG, leaf: int = LEAF)
 def _each(encoded: DataFrame, vocabulary: str, columns: str, make: Callable) -> DataFrame:
     def run(batches):
         model = words(vocabulary)
-        for batch in batches:
+        for batch in in_rows(batches, 500):
             ids = batch.column(1).fill_null([])
             bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy()))).astype(np.int64)
             yield make(model, batch, ids.flatten().to_numpy(), bounds)
