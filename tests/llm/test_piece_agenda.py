@@ -2,12 +2,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from sentencepiece import SentencePieceProcessor
 
 from llm_fixtures import documents, empty, odd, small  # noqa: F401
-from tickloom.llm import piece_agenda, queries
+from tickloom.llm import piece_agenda, queries, wordlists
 
 VOCABULARY = path("piece_bpe_32k.model")
 
@@ -30,7 +31,16 @@ def test_agenda_equals_the_library(library, documents):
         ids = model.encode(text)
         assert ids.tolist() == library.encode(text), repr(text)
         assert model.decode(np.append(ids, model.end)) == library.decode(ids.tolist() + [model.end]), repr(text)
-    model.check(documents[0]["text"])
+    model.check()
+
+
+def test_batches_equal_the_library(library, documents):
+    model = piece_agenda.Pieces(VOCABULARY)
+    texts = odd_texts() + [d["text"] for d in documents]
+    out = [row for batch in piece_agenda._batch(model, pa.array(range(len(texts))), pa.array(texts, pa.string()), True) for row in batch.to_pylist()]
+    assert [r["doc_id"] for r in out] == list(range(len(texts)))
+    for text, r in zip(texts, out):
+        assert r["ids"] == library.encode(text, add_eos=True) and r["text"] == library.decode(r["ids"]), repr(text)
 
 
 def test_any_ids_decode_as_the_library(library):
@@ -69,5 +79,5 @@ def test_odd_rows_and_empty_table(odd, empty, library):
 
 
 def test_runs_split_many_ids():
-    sizes = np.array([5, 5, 100, 1, 1])
-    assert list(piece_agenda._runs(sizes, 10)) == [(0, 2), (2, 3), (3, 5)]
+    bounds = np.cumsum([0, 5, 5, 100, 1, 1])
+    assert list(wordlists.runs(bounds, 10)) == [(0, 2), (2, 3), (3, 5)]

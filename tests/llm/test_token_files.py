@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 
@@ -16,9 +17,7 @@ VOCABULARY = path("byte_bpe_50k.json")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(VOCABULARY)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(VOCABULARY)
 
 
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**24, 2**32 - 1], [3] * 1000])
@@ -38,11 +37,15 @@ def test_random_access():
 def test_pieces_encode_as_the_library(tokenizer, documents):
     rng, model = random.Random(2), token_files.pieces(VOCABULARY)
     texts = [d["text"] for d in documents]
-    texts += ["".join(rng.choice(["a", "Be", " ", "  ", "\n", "\t", "'s", "é", "　", " ", "12", "!", "🙂", "\x1c", "\x00"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["".join(rng.choice(["a", "Be", " ", "  ", "\n", "\t", "'s", "é", "　", " ", "12", "!", "🙂", "\x1c", "\x00", "\x85", "\u2003", "\u200a ", "<|endoftext|>"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
     texts += ["", " ", "  ", "a ", " a", "<|endoftext|> x", "x" * 5000]
     texts += ["a.\nB c", "a\n\nb", "\na b\n", "x y\nz\nw v", "x\r\ny z", "a \nb", "q a\n b"]
-    for text in texts:
-        assert np.frombuffer(model.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    for text, ids in zip(texts, want):
+        assert np.frombuffer(model.ids(text), "<u4").tolist() == ids, repr(text)
+    flat, bounds = model.many(pa.array(texts, pa.string()))
+    for text, ids, a, b in zip(texts, want, bounds, bounds[1:]):
+        assert flat[a:b].tolist() == ids, repr(text)
 
 
 def test_query_equals_brute_force(spark, small, documents, tokenizer):

@@ -8,8 +8,9 @@ is empty.  Characters that stay unknown become their bytes.
 A blank is the piece character U+2581.  No piece of the vocabulary has it
 behind another character (checked when it is loaded), so no pair is ever
 joined across the start of a word: words are encoded apart, each once per
-worker.  The sentencepiece library encodes the new words of every Arrow batch,
-and its first whole text, too, and must agree.
+Arrow batch and kept for the next.  The sentencepiece library encodes the new
+words of every batch, too, and must agree; it also decodes all ids of a batch
+where texts are asked for.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.common import Recent, text_of
+from tickloom.llm.wordlists import ended, ids_of, in_bytes, lists, runs, split
 
 BLANK = "▁"
-STORED_WORDS, JOINED_WORDS = 150_000, 1000
-ROWS_AT_ONCE = 1000
+STORED_WORDS, JOINED_WORDS = 250_000, 1000
+RUN_IDS = 1 << 20
 # What the fast path leaves alone: blanks at the ends or side by side, and the blank's own character.
 _ODD = re.compile(f"^ |  | $|{BLANK}")
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
@@ -134,8 +137,8 @@ class Pieces:
         except UnicodeEncodeError:  # bytes beyond ASCII
             return text.encode("utf-8", "surrogateescape").decode("utf-8", "tickloom_each_byte")
 
-    def check(self, text: str | None = None) -> None:
-        """Hold the words encoded since the last check, and a whole text, against the library."""
+    def check(self) -> None:
+        """Hold the words encoded since the last check against the library."""
         fresh, self.fresh = self.fresh, []
         # Words with blanks of their own go alone, the others thousands to a text.
         alone = [(w, ids) for w, ids in fresh if not w or _ODD.search(w)]
@@ -145,10 +148,6 @@ class Pieces:
         for group, theirs in zip(groups, self.library.encode(texts, num_threads=1)):
             if np.frombuffer(b"".join([ids for _, ids in group]), "<i4").tolist() != theirs:
                 raise RuntimeError(f"the library encodes otherwise one of the words from {group[0][0]!r} on")
-        if text is not None:
-            ids = self.library.encode(text)
-            if self.encode(text).tolist() != ids or self.decode(np.array(ids, np.int32)) != self.library.decode(ids):
-                raise RuntimeError("the library encodes or decodes a text otherwise")
 
 
 _loaded: dict[str, Pieces] = {}
@@ -161,17 +160,20 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def _batch(model: Pieces, keys: pa.Array, texts: list[str], with_text: bool):
-    """Encode a batch, check it, and yield its rows in runs whose ids 32-bit offsets can number."""
-    end = np.array([model.end], np.int32)
-    found = [np.concatenate((model.encode(t), end)) for t in texts]
-    model.check(texts[0] if texts else None)
-    sizes = np.array([len(x) for x in found], np.int64)
-    for a, b in _runs(sizes):
-        offsets = np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int32)
-        columns = [keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found[a:b])))]
+def _batch(model: Pieces, keys: pa.Array, texts: pa.Array, with_text: bool):
+    """Encode a batch, check its new words, and yield its rows in runs whose ids 32-bit offsets can number."""
+    odd = pc.or_(pc.match_substring_regex(texts, _ODD.pattern), pc.equal(texts, ""))
+    words, bounds = split(pc.if_else(odd, "", texts))
+    # An odd text is encoded alone and stands for its one empty word.
+    places = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+    apart = {int(bounds[k]): model.encode(texts[k].as_py()).astype("<i4").tobytes() for k in places}
+    flat, ends = ids_of(words, model.words.__getitem__, apart)
+    model.check()
+    flat, bounds = ended(flat, ends[bounds], model.end)
+    for a, b in runs(bounds, RUN_IDS):
+        columns = [keys.slice(a, b - a), lists(flat, bounds[a : b + 1])]
         if with_text:
-            columns.append(pa.array([model.decode(x) for x in found[a:b]], pa.string()))
+            columns.append(pa.array(model.library.decode(columns[1].to_pylist()), pa.string()))
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
 
 
@@ -184,27 +186,13 @@ def encode(docs: DataFrame, vocabulary: str, with_text: bool = False) -> DataFra
 
     def run(batches):
         model = pieces(vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                yield from _batch(model, part.column(0), part.column(1).to_pylist(), with_text)
+        for batch in in_bytes(batches, 1):
+            yield from _batch(model, *batch.columns, with_text)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>" + ", text string" * with_text)
 
 
-def _runs(sizes: np.ndarray, most: int = 1 << 22):
-    """Cut rows into runs of some ``most`` ids."""
-    first, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if held and held + n > most:
-            yield first, i
-            first, held = i, 0
-        held += n
-    if first < len(sizes):
-        yield first, len(sizes)
-
-
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids and text of encoded documents; null ids have an empty text."""
 

@@ -19,11 +19,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tickloom.llm.common import Recent, text_of
 from tickloom.llm.dac import Codes, pack
 from tickloom.llm.ordered import bucket_of, edges, in_buckets, order_key
+from tickloom.llm.wordlists import ids_of, in_bytes, split
 
 END = 2
 BLOCK_TOKENS = 1 << 20
@@ -33,6 +35,8 @@ STORED_PIECES = 300_000
 _JOINED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _SPACE = re.compile(r"\s")
+# The same for Arrow, whose \s is that of ASCII: every character that may count as white space.
+_JOINED_ANY = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 
 
 def _byte_letters() -> dict[int, str]:
@@ -93,6 +97,21 @@ class Pieces:
         return head + b"".join(map(self.after_blank.__getitem__, rest))
 
 
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and where those of each text begin and end."""
+        odd = pc.match_substring_regex(texts, _JOINED_ANY)
+        if self.added:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.added.pattern))
+        words, bounds = split(pc.if_else(odd, "", texts))
+        first = words.take(pa.array(bounds[:-1])).to_pylist()
+        # Only a text's first piece has no blank before it; an odd text is encoded alone in that place.
+        apart = {at: self.heads[w] if w else b"" for at, w in zip(bounds[:-1].tolist(), first)}
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            apart[int(bounds[k])] = self.ids(texts[k].as_py())
+        flat, ends = ids_of(words, self.after_blank.__getitem__, apart)
+        return flat, ends[bounds]
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -126,17 +145,18 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END) -> None
     placed = in_buckets(rows, "bucket", "key", "tie").select("bucket", "doc_id", "text")
 
     def run(batches):
-        coder, last = pieces(vocabulary), np.array([end], "<u4").tobytes()
+        coder, last = pieces(vocabulary), np.array([end], np.int32)
         bucket = start = block = held = None
         doc_ids, starts, parts = [], [], []
 
         def row():
-            codes = pack(np.frombuffer(b"".join(parts), "<u4"))
+            codes = pack(np.concatenate(parts).view(np.uint32))
             values = (bucket, block, start, held, doc_ids, starts, codes)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, KINDS)], names=NAMES)
 
-        for batch in batches:
-            for its, doc_id, text in zip(*[c.to_pylist() for c in batch.columns]):
+        for batch in in_bytes(batches, 2):
+            flat, bounds = coder.many(batch.column(2))
+            for its, doc_id, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 if bucket is not None and (its != bucket or held >= BLOCK_TOKENS):
                     yield row()
                     start, block = (start + held, block + 1) if its == bucket else (0, 0)
@@ -144,11 +164,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END) -> None
                 if bucket is None:
                     start, block, held = 0, 0, 0
                 bucket = its
-                ids = coder.ids(text) + last
                 doc_ids.append(doc_id)
                 starts.append(held)
-                parts.append(ids)
-                held += len(ids) // 4
+                parts += [flat[a:b], last]
+                held += b - a + 1
         if bucket is not None:
             yield row()
 
