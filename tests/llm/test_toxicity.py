@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from llm_fixtures import empty, odd  # noqa: F401
+from llm_fixtures import documents, empty, odd, small  # noqa: F401
 from tickloom.llm import queries, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
@@ -76,3 +76,51 @@ def test_odd_rows_and_empty_tables(spark, odd, empty, fitted):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).collect() == []
     none = toxicity.fit(odd, labels.limit(0))
     assert all(r.predicted == 0 for r in toxicity.score(odd, none).collect())
+
+
+def plain_words(text, model):
+    """Words as written and as restored, without any shortcut."""
+    found = set()
+    for token in text.split():
+        token = token.lower()
+        found.update(toxicity._WORD.findall(token))
+        for part in toxicity.obfuscated(token):
+            found.update(toxicity._WORD.findall(toxicity.restore(part, model)))
+    return found | toxicity.spaced(text, model)
+
+
+def test_weights_and_scores_equal_a_plain_count(spark, documents):
+    """All evidence counted document by document, the curve as fitted."""
+    import math
+    import zlib
+
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    fitted = toxicity.fit(docs, labels)
+    texts = {d["doc_id"]: d["text"] or "" for d in documents}
+    learned = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5}
+    have = {i: {t for w in plain_words(text, fitted["model"]) for t in toxicity.terms(w)} for i, text in texts.items()}
+    sides = [[i for i, x in learned.items() if x == side] for side in (0, 1)]
+    weights = {}
+    for term in set().union(*[have[i] for i in sides[1]]):
+        clean, toxic = (sum(term in have[i] for i in side) for side in sides)
+        odds = math.log((toxic + 0.5) / (len(sides[1]) + 1)) - math.log((clean + 0.5) / (len(sides[0]) + 1))
+        bound = odds - toxicity.CONFIDENCE * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+        if toxic >= 2 and bound > 0.5:
+            weights[term] = bound
+    assert fitted["weights"].keys() == weights.keys() and weights
+    assert all(abs(fitted["weights"][t][0] - w) < 1e-9 for t, w in weights.items())
+    start, slope = fitted["curve"]
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(docs, fitted).collect()}
+    for i in texts:
+        want = 1 / (1 + math.exp(-(start + slope * max([weights.get(t, 0.0) for t in have[i]], default=0.0))))
+        assert abs(got[i][0] - want) < 1e-9 and got[i][1] == (want >= 0.5), i
+
+
+def test_beginnings_are_those_of_all_readings():
+    import itertools
+
+    for word in ("aab", "book", "aaab", "zzz", "ab", "llama", "eeff", "abbbc"):
+        runs = [(k, len(list(g))) for k, g in itertools.groupby(word)]
+        readings = {"".join(k * n for (k, _), n in zip(runs, sizes)) for sizes in itertools.product(*[range(1, n + 1) for _, n in runs])}
+        assert toxicity.beginnings(word) == {r[:3] for r in readings}, word

@@ -17,12 +17,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm.common import Recent, cut, in_rows, text_of
+from tickloom.llm.wordlists import in_bytes, split
 
-# Bounds of what is learned: labelled rows, evidence terms.
-LABELLED_ROWS, TERMS = 10_000, 20_000
+# Bound of what is learned from: labelled rows, which bounds the terms of evidence too.  More terms than
+# MOST_TERMS are refused, never left out.
+LABELLED_ROWS, MOST_TERMS = 10_000, 1_000_000
 HELD_OUT_PARTS, CONFIDENCE = 5, 1.5
 PREFIXES = (3, 4, 5, 6)
 
@@ -35,10 +38,9 @@ LEET = {
 # Costs in nats: reading a sign as a letter, as a gap, leaving out a repeated letter, closing a gap.
 AS_LETTER, AS_GAP, REPEATED, CLOSED = 1.0, 4.0, 1.0, 0.5
 KINDS = len(LETTERS) + 1
-BEAM = 32
 TEXTS_AT_ONCE = 500
 # Tokens a worker keeps the evidence of.
-STORED_TOKENS = 60_000
+STORED_TOKENS = 250_000
 CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,6 +48,8 @@ _PART = re.compile(r"[^\w@$!|+€£]+")
 _ODD_END = re.compile(r"^[^\w@$!|+€£]+|([^\w\s])\1{2,}$|[^\w@$!|+€£]+$|!+$")
 _SIGN = re.compile(r"[\d@$!|+€£]")
 _TWICE = re.compile(r"([^\W\d_])\1")
+_STOPS = frozenset(".,;:")
+_KNOWN = re.compile(f"[{LETTERS}]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[\s.\-_*]{1,2}(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
 
 
@@ -91,8 +95,11 @@ def _listed(model: np.ndarray) -> list[float]:
 
 
 def restore(signs: str, model: np.ndarray) -> str:
-    """The likeliest reading of a run of signs: letters, with blanks at its gaps."""
-    # A state is the last two classes as one number.
+    """The likeliest reading of a run of signs: letters, with blanks at its gaps.
+
+    The decoding is exact: a state is the last two classes, and as no sign has
+    more than four readings, there are never more than some twenty states.
+    """
     listed = _listed(model)
     beam = {0: (0.0, "")}
     before = ""
@@ -126,7 +133,7 @@ def restore(signs: str, model: np.ndarray) -> str:
                     to, value, text = last * KINDS + c, score - cost + listed[state * KINDS + c], read + letter
                 if to not in new or value > new[to][0]:
                     new[to] = (value, text)
-        beam = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
+        beam = new
     return max((score + listed[state * KINDS], read) for state, (score, read) in beam.items())[1].strip()
 
 
@@ -136,9 +143,17 @@ def obfuscated(token: str) -> list[str]:
     return [p for p in dict.fromkeys(parts) if _SIGN.search(p) or _TWICE.search(p)]
 
 
+def plain(token: str) -> str | None:
+    """The one word of a token of letters, none doubled, with a stop behind it at most; None for other tokens."""
+    body = token[:-1] if token[-1:] in _STOPS else token
+    return body if body.isalpha() and not _TWICE.search(body) else None
+
+
 def words(token: str, model: np.ndarray) -> set[str]:
     """The words of a token as written and as restored, in lower case."""
     token = token.lower()
+    if (word := plain(token)) is not None:
+        return {word}
     found = set(_WORD.findall(token))
     for part in obfuscated(token):
         found.update(_WORD.findall(restore(part, model)))
@@ -159,21 +174,57 @@ def terms(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in PREFIXES if len(word) > k]]
 
 
+def beginnings(word: str) -> set[str]:
+    """All that a word of the model's letters can begin with once restored: three letters, doubled ones left out or not."""
+    found, before = {""}, ""
+    for letter in word:
+        grown = {f if len(f) == PREFIXES[0] else f + letter for f in found}
+        found = found | grown if letter == before else grown
+        before = letter
+        if all(len(f) == PREFIXES[0] for f in found):
+            break
+    return found
+
+
 class Scorer:
     """Evidence of texts under one or several tables of weights; what tokens give is kept for those met lately."""
 
     def __init__(self, model: np.ndarray, weights: dict[str, tuple[float, ...]], tables: int):
         self.model, self.weights, self.none = model, weights, (0.0,) * tables
-        self.tokens = Recent(lambda token: self._most([t for w in words(token, model) for t in terms(w)]), STORED_TOKENS)
+        # A word can only give evidence if some term begins as it does.
+        self.starts = {t.removeprefix("=")[: PREFIXES[0]] for t in weights}
+        self.tokens = Recent(self.token, STORED_TOKENS)
+
+    def token(self, token: str) -> tuple[float, ...]:
+        low = token.lower()
+        body = low[:-1] if low[-1:] in _STOPS else low
+        if body.isalpha():
+            # Only doubled letters can be read in two ways.
+            if not _TWICE.search(body):
+                return self._most(terms(body)) if body[: PREFIXES[0]] in self.starts else self.none
+            if _KNOWN.fullmatch(body) and self.starts.isdisjoint(beginnings(body)):
+                return self.none
+        return self._most([t for part in token.split() for w in words(part, self.model) for t in terms(w)])
 
     def _most(self, found: list[str]) -> tuple[float, ...]:
         rows = [self.weights[t] for t in found if t in self.weights]
         return tuple(map(max, zip(self.none, *rows))) if rows else self.none
 
+    def spaced(self, text: str) -> tuple[float, ...]:
+        return self._most([t for w in spaced(text, self.model) for t in terms(w)])
+
     def evidence(self, text: str) -> tuple[float, ...]:
-        rows = set(map(self.tokens.__getitem__, set(text.split())))
-        rows.add(self._most([t for w in spaced(text, self.model) for t in terms(w)]))
-        return tuple(map(max, zip(*rows)))
+        return tuple(map(max, zip(self.spaced(text), self.none, *map(self.tokens.__getitem__, set(text.split())))))
+
+    def all_evidence(self, texts: pa.Array) -> np.ndarray:
+        """The evidence of texts under the first table; each distinct token of the batch is looked up once."""
+        for blank in "\n\t\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        found, bounds = split(texts)
+        coded = found.dictionary_encode()
+        each = np.fromiter((row[0] for row in map(self.tokens.__getitem__, coded.dictionary.to_pylist())), np.float64, len(coded.dictionary))
+        most = np.maximum.reduceat(each[coded.indices.to_numpy()], bounds[:-1])
+        return np.maximum(most, [self.spaced(t)[0] for t in texts.to_pylist()])
 
 
 def part_of(doc_id: Column) -> Column:
@@ -238,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> dict:
     """Learn the character model from all of ``docs`` and the evidence from the labelled ones outside the held-out part.
 
     What comes to the driver is bounded: the character counts by the alphabet,
-    the terms by TERMS, the evidence by ``rows``.  Without labelled documents
+    the terms by what the labelled rows hold (and MOST_TERMS), the evidence by ``rows``.  Without labelled documents
     of both kinds, every score is below a half.
     """
     counts = np.zeros(KINDS**3)
@@ -258,7 +309,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> dict:
         bounds.append(_bound(columns[1], columns[0], *[sum(sizes.get((p, t), 0) for p in seen) for t in (1, 0)]))
     often = sum((F.col(f"n{p}_1") for p in parts), F.lit(0)) >= 2
     table = term_counts(sample, model).filter(often).select("term", *[b.alias(f"w{i}") for i, b in enumerate(bounds)])
-    top = table.filter("w0 > 0.5").orderBy(F.col("w0").desc(), "term").limit(TERMS).collect()
+    top = table.filter("w0 > 0.5").limit(MOST_TERMS + 1).collect()
+    if len(top) > MOST_TERMS:
+        raise ValueError("the labelled rows hold too many terms; give fewer rows")
     tables = len(bounds)
     weights = {r.term: tuple(max(0.0, r[f"w{i}"]) for i in range(tables)) for r in top}
 
@@ -277,12 +330,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> dict:
 _scorers: dict[str, Scorer] = {}
 
 
-def _scores(fitted: dict, texts: list[str]) -> np.ndarray:
+def _scores(fitted: dict, texts: list[str] | pa.Array) -> np.ndarray:
+    """The scores of whole texts, none of them null."""
+    if not len(texts):
+        return np.empty(0)
     if fitted["id"] not in _scorers:
         _scorers.clear()
         _scorers[fitted["id"]] = Scorer(fitted["model"], fitted["weights"], 1)
     scorer, (start, slope) = _scorers[fitted["id"]], fitted["curve"]
-    found = np.array([scorer.evidence(t)[0] for t in texts], np.float64)
+    found = scorer.all_evidence(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     return 1.0 / (1.0 + np.exp(-np.clip(start + slope * found, -700, 700)))
 
 
@@ -290,8 +346,8 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
     """doc_id, score and predicted of every document, from its whole text alone; null texts count as empty."""
 
     def run(batches):
-        for batch in in_rows(batches):
-            scores = _scores(fitted, batch.column(1).to_pylist())
+        for batch in in_bytes(batches, 1):
+            scores = _scores(fitted, batch.column(1))
             columns = [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
 
@@ -304,8 +360,7 @@ def reject(docs: DataFrame, fitted: dict) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in in_rows(batches):
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(_scores(fitted, texts) < 0.5))
+        for batch in in_bytes(batches, at):
+            yield batch.filter(pa.array(_scores(fitted, pc.fill_null(batch.column(at), "")) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
