@@ -45,18 +45,32 @@ def in_rows(batches, most: int = 1000):
 class Recent(dict):
     """What ``make`` gives for a key, kept for keys met lately: at most two generations of ``size`` keys, none longer than ``longest``."""
 
-    def __init__(self, make, size: int = 300_000, longest: int = 64):
+    def __init__(self, make, size: int = 300_000, longest: int = 64, make_many=None):
         self.make, self.size, self.longest, self.older = make, size, longest, {}
+        self.make_many = make_many or (lambda keys: list(map(make, keys)))
 
     def __missing__(self, key: str):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
+        self._keep(key, found)
+        return found
+
+    def _keep(self, key: str, found) -> None:
         if len(key) <= self.longest:
             if len(self) >= self.size:
                 self.older = dict(self)
                 self.clear()
             self[key] = found
+
+    def many(self, keys: list[str]) -> list:
+        """What is made of different keys, those not met lately at once."""
+        get, older = self.get, self.older.get
+        found = [get(key) or older(key) for key in keys]
+        missing = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(missing, self.make_many([keys[k] for k in missing])):
+            found[k] = x
+            self._keep(keys[k], x)
         return found
 
 

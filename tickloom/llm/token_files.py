@@ -108,7 +108,7 @@ class Pieces:
         apart = {at: self.heads[w] if w else b"" for at, w in zip(bounds[:-1].tolist(), first)}
         for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
             apart[int(bounds[k])] = self.ids(texts[k].as_py())
-        flat, ends = ids_of(words, self.after_blank.__getitem__, apart)
+        flat, ends = ids_of(words, self.after_blank.many, apart)
         return flat, ends[bounds]
 
 

@@ -186,7 +186,7 @@ def _by_words(vocabulary: str) -> Callable:
         model = words(vocabulary)
         for batch in in_bytes(batches, 1):
             found, bounds = split(pc.replace_substring(batch.column(1), "\n", " "))
-            flat, ends = ids_of(found, model.words.__getitem__)
+            flat, ends = ids_of(found, model.words.many)
             bounds = ends[bounds]
             for a, b in runs(bounds):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(flat, bounds[a : b + 1])], names=["doc_id", "ids"])

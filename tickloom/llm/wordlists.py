@@ -30,14 +30,14 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))).astype(np.int64)
 
 
-def ids_of(words: pa.Array, known: Callable[[str], bytes], apart: dict[int, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def ids_of(words: pa.Array, known: Callable[[list[str]], list[bytes]], apart: dict[int, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of words one after the other, and where those of each word begin and end.
 
-    ``known`` gives the ids of a word as 32-bit integers and is asked once per distinct word; ``apart`` holds
-    the ids of words at places where the word alone does not tell.
+    ``known`` gives the ids of the distinct words, as 32-bit integers; ``apart`` holds the ids of words at
+    places where the word alone does not tell.
     """
     coded = words.dictionary_encode()
-    found = list(map(known, coded.dictionary.to_pylist()))
+    found = known(coded.dictionary.to_pylist())
     place = coded.indices.to_numpy()
     if apart:
         place = place.copy()
