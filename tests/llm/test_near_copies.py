@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from llm_fixtures import empty  # noqa: F401
+from llm_fixtures import empty, odd  # noqa: F401
 import corpus_pipeline as cp
 from tickloom.llm import near_copies, simhash
 
@@ -69,9 +70,9 @@ def test_stage_finds_planted_copies_and_no_others(spark, tmp_path):
     assert not kept & gone
 
 
-@pytest.mark.parametrize("few, common_at_least", [(32, 4), (2, 4), (2, 10**6)])
-def test_crowds_and_common_lines_equal_brute_force(spark, tmp_path, monkeypatch, few, common_at_least):
-    monkeypatch.setattr(near_copies, "FEW", few)
+@pytest.mark.parametrize("block, common_at_least", [(4096, 4), (7, 4), (7, 10**6)])
+def test_crowds_and_common_lines_equal_brute_force(spark, tmp_path, monkeypatch, block, common_at_least):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     monkeypatch.setattr(near_copies, "COMMON_AT_LEAST", common_at_least)
     rng = random.Random(4)
     line = " ".join(f"license{i}" for i in range(12))
@@ -84,16 +85,40 @@ def test_crowds_and_common_lines_equal_brute_force(spark, tmp_path, monkeypatch,
     assert kept == {i for i, root in plain_roots(texts).items() if i == root}
 
 
-def test_bit_maps_rule_out_no_near_copy():
-    rng = random.Random(5)
-    for n in (1, 5, 63, 64, 65, 300, 2000):
-        for _ in range(20):
+def test_fingerprints_of_near_copies_are_near():
+    """Sets of any size at 0.8 and above lie within FAR bits; unrelated ones don't."""
+    rng, far = random.Random(5), []
+    bits = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(near_copies.prints_of(x), near_copies.prints_of(y)))
+    for n in (1, 5, 6, 9, 20, 63, 300, 2000):
+        for _ in range(200):
             a = {rng.getrandbits(64) for _ in range(n)}
-            b = set(list(a)[rng.randrange(n // 5 + 1) :]) | {rng.getrandbits(64) for _ in range(rng.randrange(n // 4 + 1))}
+            b = set(sorted(a)[rng.randrange(n // 5 + 1) :]) | {rng.getrandbits(64) for _ in range(rng.randrange(n // 4 + 1))}
             x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
-            if near_copies.alike(x, y):
-                assert near_copies.may_be_alike(len(x), near_copies.parity(x), len(y), near_copies.parity(y))
             assert near_copies.alike(x, y) == (len(a & b) / len(a | b) >= 0.8)
+            if near_copies.alike(x, y):
+                assert bits(x, y) <= near_copies.FAR
+            far.append(bits(x, np.array(sorted({rng.getrandbits(64) for _ in range(n)}), np.uint64)) > near_copies.FAR)
+    assert np.mean(far) > 0.999
+
+
+def test_runs_over_several_batches_are_compared_whole():
+    rng = random.Random(6)
+    rows = sorted((s, 0, 0, 0, i, 10, 0, i, 5, 7) for i in range(40) for s in range(rng.randrange(4)))
+    names = ["shingle", "low", "high", "block", "node", "n", "place", "root", "f", "g"]
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows])
+    want = {(a[4], b[4]) for a in rows for b in rows if a[0] == b[0] and a[4] < b[4]}
+    for size in (1, 3, 1000):
+        got = [set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) for a, b in near_copies._compared(iter(table.to_batches(size)))]
+        assert set().union(*got) == want, size
+
+
+def test_odd_rows(spark, odd, tmp_path):
+    """Equal, empty and null texts, repeated ids and rows, one changed long word at the end, clashing names."""
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in near_copies.near_copies(odd).collect())
+    assert got == [(False, 1, 1), (False, 2, 1), (False, 2, 1), (False, 3, 3), (False, 4, 3), (False, 5, 5), (False, 6, 5), (False, 8, 3)]
+    kept = cp.without_near_copies(spark, odd, "")
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 5), (False, 9), (False, 9), (True, 0)]
 
 
 def test_empty_table(spark, empty):
