@@ -26,14 +26,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from tickloom.llm.agenda import Agenda
 from tickloom.llm.common import Recent, text_of
 from tickloom.llm.wordlists import ended, ids_of, in_bytes, lists, runs, split
 
 BLANK = "▁"
 STORED_WORDS, JOINED_WORDS = 250_000, 1000
 RUN_IDS = 1 << 20
-# Words that go side by side: their lengths by width of the rows, and how many at a time.  Characters up to TABLED have symbols.
-WIDTHS, SIDE_BY_SIDE, TABLED = (0, 6, 9, 14, 24, 48), 20_000, 0x3000
+# Characters up to here have symbols, so that their words go side by side.
+TABLED = 0x3000
 # What the fast path leaves alone: blanks at the ends or side by side, and the blank's own character.
 _ODD = re.compile(f"^ |  | $|{BLANK}")
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
@@ -108,7 +109,7 @@ class Pieces:
         return out
 
     def _pairs(self, size: int) -> None:
-        """Tables of the side-by-side agenda: the symbol of each character, and the piece and cost of each pair of pieces."""
+        """The symbol of each character, and the agenda of pairs of pieces."""
         self.symbol = np.full(TABLED, -1, np.int32)
         for c, i in self.ids.items():
             if len(c) == 1 and ord(c) < TABLED:
@@ -116,60 +117,19 @@ class Pieces:
         # An unknown character of one byte is that byte's piece, which no pair holds; one of more bytes has no symbol.
         lone = np.flatnonzero(self.symbol[:0x80] < 0)
         self.symbol[lone] = np.array(self.bytes, np.int32)[lone]
-        found = {}
+        pairs = {}
         for piece, i in self.ids.items():
             for k in range(1, len(piece)):
                 a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
                 if a is not None and b is not None:
-                    found[a * size + b] = i
-        self.size = size
-        self.pair_keys = np.array(sorted(found), np.int64)
-        self.pair_piece = np.array([found[k] for k in self.pair_keys.tolist()], np.int32)
-        cost = np.full(size, np.inf)
-        for piece, i in self.ids.items():
-            cost[i] = self.cost[piece]
-        self.pair_cost = cost[self.pair_piece]
-
-    def _costs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cost and piece of pairs of symbols, no cost where they can't be joined."""
-        key = a.astype(np.int64) * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        known = (self.pair_keys[at] == key) & (a >= 0) & (b >= 0)
-        return np.where(known, self.pair_cost[at], np.inf), self.pair_piece[at]
-
-    def side_by_side(self, symbols: np.ndarray) -> np.ndarray:
-        """The pieces of words, given as rows of symbols filled up with -1, after all joins."""
-        out = np.full_like(symbols, -1)
-        rows, (cost, piece) = np.arange(len(symbols)), self._costs(symbols[:, :-1], symbols[:, 1:])
-        columns = np.arange(symbols.shape[1])
-        while len(rows):
-            best = cost.argmin(axis=1)  # the leftmost of equals
-            live = np.isfinite(cost[np.arange(len(rows)), best])
-            out[rows[~live]] = symbols[~live]
-            rows, symbols, cost, piece, best = rows[live], symbols[live], cost[live], piece[live], best[live]
-            at = np.arange(len(rows))
-            symbols[at, best] = piece[at, best]
-            # What stands behind the joined pair moves up by one.
-            later = np.minimum(columns + (columns > best[:, None]), len(columns) - 1)
-            symbols = np.take_along_axis(symbols, later, axis=1)
-            symbols[:, -1] = -1
-            later = np.minimum(columns[:-1] + (columns[:-1] >= best[:, None]), len(columns) - 2)
-            cost, piece = np.take_along_axis(cost, later, axis=1), np.take_along_axis(piece, later, axis=1)
-            cost[:, -1] = np.inf
-            for side in (best - 1, best):
-                there = np.flatnonzero((side >= 0) & (side < len(columns) - 1))
-                k = side[there]
-                cost[there, k], piece[there, k] = self._costs(symbols[there, k], symbols[there, k + 1])
-        return out
+                    pairs[a, b] = self.cost[piece], i
+        self.agenda = Agenda(pairs, size)
 
     def new_words(self, words: list[str]) -> list[bytes]:
         """The ids of words, each given without its first blank, as bytes of 32-bit integers."""
-        found: list[bytes | None] = [None] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in zip(WIDTHS, WIDTHS[1:]):
-            chosen = np.flatnonzero((lengths >= low) & (lengths < high))
-            for part in (chosen[k : k + SIDE_BY_SIDE] for k in range(0, len(chosen), SIDE_BY_SIDE)):
-                self._fill(words, part.tolist(), lengths[part], found)
+        points = np.frombuffer("".join([BLANK + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
+        symbols = np.where(points < TABLED, self.symbol[np.minimum(points, TABLED - 1)], -1)
+        found = self.agenda.words(symbols, np.fromiter(map(len, words), np.int64, len(words)) + 1)
         for k, x in enumerate(found):
             if x is None:
                 found[k] = self.word(words[k])
@@ -177,23 +137,6 @@ class Pieces:
                 self.fresh.append((words[k], x))
         return found
 
-    def _fill(self, words: list[str], part: list[int], lengths: np.ndarray, found: list) -> None:
-        """Put the ids of the words numbered by ``part`` into ``found``, but for those with a character the table has not."""
-        joined = "".join([BLANK + words[k] for k in part])
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-        symbol = np.where(points < TABLED, self.symbol[np.minimum(points, TABLED - 1)], -1)
-        inside = np.arange(lengths.max() + 1) < lengths[:, None] + 1
-        symbols = np.full(inside.shape, -1, np.int32)
-        symbols[inside] = symbol
-        usual = np.flatnonzero((symbols >= 0).sum(axis=1) == lengths + 1)
-        pieces_ = self.side_by_side(symbols[usual]) if symbols.shape[1] > 1 else symbols[usual]
-        kept = pieces_ >= 0
-        data, ends = pieces_[kept].astype("<i4").tobytes(), 4 * np.cumsum(kept.sum(axis=1))
-        start = 0
-        for k, end in zip(usual.tolist(), ends.tolist()):
-            found[part[k]] = data[start:end]
-            start = end
-
     def word(self, word: str) -> bytes:
         """The ids of a word, given without its first blank, as bytes of 32-bit integers."""
         first, *lines = word.split("\n")

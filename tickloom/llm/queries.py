@@ -80,8 +80,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids of a vocabulary with word ends and of the text they decode to."""
-    vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return tree_bpe.digests(tree_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return tree_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ it meets it in.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tickloom.llm.agenda import Agenda
 from tickloom.llm.common import Recent, text_of
 from tickloom.llm.dac import Codes, pack
 from tickloom.llm.ordered import bucket_of, edges, in_buckets, order_key
@@ -51,6 +53,17 @@ _LETTER = _byte_letters()
 _LATIN = "\u0250"
 
 
+def merges(tokenizer) -> tuple[Agenda, np.ndarray]:
+    """The agenda of a byte-level vocabulary's merges, and the symbol of each byte."""
+    model = json.loads(tokenizer.to_str())["model"]
+    vocabulary = model["vocab"]
+    pairs = {}
+    for rank, merge in enumerate(model["merges"]):
+        a, b = merge.split(" ") if isinstance(merge, str) else merge
+        pairs[vocabulary[a], vocabulary[b]] = rank, vocabulary[a + b]
+    return Agenda(pairs, max(vocabulary.values()) + 1), np.array([vocabulary[_LETTER[b]] for b in range(256)], np.int32)
+
+
 class Pieces:
     """The ids of a text as bytes of unsigned 32-bit integers; pieces met lately are not encoded anew."""
 
@@ -62,7 +75,8 @@ class Pieces:
         self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.stops = {c: self.encoded(c) for c in ".,"}
         self.heads = Recent(self.encoded, STORED_PIECES // 4)  # pieces at the start of a line, which have no blank
-        self.after_blank = Recent(self.piece, STORED_PIECES)
+        self.after_blank = Recent(self.piece, STORED_PIECES, make_many=self.new_pieces)
+        self.agenda, self.symbol = merges(tokenizer)
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -85,6 +99,18 @@ class Pieces:
             return self.after_blank[first] + b"".join([self.line_end + self.heads[line] for line in lines])
         return self.encoded(" " + piece)
 
+    def new_pieces(self, found: list[str]) -> list[bytes]:
+        """The ids of a blank and each piece; those of letters go side by side."""
+        stops = [self.stops.get(p[-1:], b"") for p in found]
+        bodies = [p[:-1] if s else p for p, s in zip(found, stops)]
+        chosen = [k for k, p in enumerate(bodies) if p.isalpha() and (p.isascii() or max(p) < _LATIN)]
+        data = [b" " + bodies[k].encode() for k in chosen]
+        ids = self.agenda.words(self.symbol[np.frombuffer(b"".join(data), np.uint8)], np.fromiter(map(len, data), np.int64, len(data)))
+        out: list[bytes | None] = [None] * len(found)
+        for k, x in zip(chosen, ids):
+            out[k] = x if x is None else x + stops[k]
+        return [self.piece(p) if x is None else x for p, x in zip(found, out)]
+
     def ids(self, text: str) -> bytes:
         if self.added and self.added.search(text):
             return self.encoded(text)  # an added token's name is one token, with its own rules for the text around it

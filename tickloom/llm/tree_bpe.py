@@ -29,13 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.common import Recent, cut, in_rows, partitions, text_of
-from tickloom.llm.token_files import _LETTER
+from tickloom.llm.token_files import _LETTER, merges
 from tickloom.llm.wordlists import ids_of, in_bytes, lists, runs, split
 
 LONG = 16_384
 LEAF = 8_192
 WINDOW = 4
-STORED_WORDS = 300_000
+STORED_WORDS = 150_000
+# Leaves a worker encodes at a time.
+LEAVES = 256
+RUN_IDS = 1 << 20
 SUFFIX = "</w>"
 # Marks the last letter of a word in a string of symbols; letters stand for bytes and never are a blank.
 STOP = " "
@@ -67,13 +70,13 @@ class Words:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         model = json.loads(tokenizer.to_str())["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        joins = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         if model["end_of_word_suffix"] != SUFFIX or tokenizer.decoder is not None:
             raise ValueError("not a vocabulary with word ends and no decoder")
-        if any((a + b).endswith(SUFFIX) and not b.endswith(SUFFIX) or a.endswith(SUFFIX) for a, b in merges):
+        if any((a + b).endswith(SUFFIX) and not b.endswith(SUFFIX) or a.endswith(SUFFIX) for a, b in joins):
             raise ValueError("a merge makes or passes a word's end")
         self.last = tokenizer.model.tokenize  # of words that end
-        self.inner = BPE(vocab=model["vocab"], merges=merges).tokenize  # of letters before a word's end
+        self.inner = BPE(vocab=model["vocab"], merges=joins).tokenize  # of letters before a word's end
         added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.names = {name: chr(ADDED + k) for k, name in enumerate(added)}
         self.signs = {chr(ADDED + k): i for k, i in enumerate(added.values())}
@@ -83,8 +86,10 @@ class Words:
         for name, sign in self.names.items():
             self.shown[self.signs[sign]] = sign + STOP
         self.strings = pa.array([s + " " for s in strings], pa.large_string())
-        self.pieces = Recent(self.piece, STORED_WORDS // 4)
-        self.words = Recent(self.word, STORED_WORDS)
+        self.agenda, self.symbol = merges(tokenizer)
+        self.ending = np.array([model["vocab"][_LETTER[b] + SUFFIX] for b in range(256)], np.int32)
+        self.pieces = Recent(self.piece, STORED_WORDS // 2, make_many=self.new_pieces)
+        self.words = Recent(self.word, STORED_WORDS, make_many=self.new_words)
         self.shapes = Recent(self.word_symbols, STORED_WORDS // 4)
         self.stops = {c: self.piece(c) for c in ".,"}
 
@@ -93,6 +98,31 @@ class Words:
         found = [self.signs[letters]] if letters in self.signs else [t.id for t in self.last(letters)]
         return np.array(found, "<i4").tobytes()
 
+    def new_pieces(self, found: list[str]) -> list[bytes]:
+        """The ids of words that end; those of ASCII letters go side by side."""
+        chosen = [k for k, p in enumerate(found) if p.isascii() and p]
+        data = np.frombuffer("".join([found[k] for k in chosen]).encode(), np.uint8)
+        lengths = np.fromiter((len(found[k]) for k in chosen), np.int64, len(chosen))
+        symbols, last = self.symbol[data], np.cumsum(lengths) - 1
+        symbols[last] = self.ending[data[last]]
+        out: list[bytes | None] = [None] * len(found)
+        for k, x in zip(chosen, self.agenda.words(symbols, lengths)):
+            out[k] = x
+        return [self.piece(p) if x is None else x for p, x in zip(found, out)]
+
+    def new_words(self, found: list[str]) -> list[bytes]:
+        """The ids of what stands between blanks, for many at once."""
+        stops = [self.stops.get(w[-1:], b"") for w in found]
+        bodies = [w[:-1] if s else w for w, s in zip(found, stops)]
+        chosen = [k for k, w in enumerate(bodies) if w.isascii() and w.isalpha()]
+        lower = [bodies[k].lower() for k in chosen]
+        distinct = list(dict.fromkeys(lower))
+        ids = dict(zip(distinct, self.pieces.many(distinct)))
+        out: list[bytes | None] = [None] * len(found)
+        for k, w in zip(chosen, lower):
+            out[k] = ids[w] + stops[k]
+        return [self.word(w) if x is None else x for w, x in zip(found, out)]
+
     def word(self, word: str) -> bytes:
         """The ids of what stands between blanks."""
         body = word[:-1] if word[-1:] in self.stops else word
@@ -129,10 +159,16 @@ class Words:
                     out += [letters, STOP]
         return "".join(out)
 
-    def ids(self, symbols: str) -> np.ndarray:
-        """The ids of a string of symbols; behind its last mark the word goes on."""
+    def all_ids(self, leaves: list[str]) -> list[np.ndarray]:
+        """The ids of strings of symbols, their distinct words looked up at once."""
+        distinct = list(dict.fromkeys(w for s in leaves for w in s.split(STOP)[:-1]))
+        known = dict(zip(distinct, self.pieces.many(distinct)))
+        return [self.ids(s, known) for s in leaves]
+
+    def ids(self, symbols: str, known: dict[str, bytes] | None = None) -> np.ndarray:
+        """The ids of a string of symbols; behind its last mark the word goes on.  ``known`` has the ids of its words."""
         *ended, rest = symbols.split(STOP)
-        found = np.frombuffer(b"".join(map(self.pieces.__getitem__, ended)), "<i4")
+        found = np.frombuffer(b"".join(map((known or self.pieces).__getitem__, ended)), "<i4")
         return np.append(found, np.array([t.id for t in self.inner(rest)], np.int32)) if rest else found
 
     def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,20 +217,44 @@ def words(path: str) -> Words:
     return _loaded[path]
 
 
-def _by_words(vocabulary: str) -> Callable:
+# What comes of ids: columns, and the Arrow columns made of a vocabulary and the ids of texts that follow one another.
+Made = tuple[str, Callable[[Words, np.ndarray, np.ndarray], list[pa.Array]]]
+
+
+def _ids(model: Words, flat: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    return [lists(flat, bounds)]
+
+
+def _digests(model: Words, flat: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    flat, bounds = flat[bounds[0] : bounds[-1]], bounds - bounds[0]
+    data = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
+    of_ids = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    of_texts = [hashlib.sha256(t).hexdigest() for t in model.texts(flat, bounds)]
+    return [pa.array(np.diff(bounds)), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
+
+
+IDS: Made = ("ids array<int>", _ids)
+DIGESTS: Made = ("n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests)
+
+
+def _by_words(vocabulary: str, made: Made) -> Callable:
+    names = ["doc_id", *[c.split()[0] for c in made[0].split(", ")]]
+
     def run(batches):
         model = words(vocabulary)
         for batch in in_bytes(batches, 1):
             found, bounds = split(pc.replace_substring(batch.column(1), "\n", " "))
             flat, ends = ids_of(found, model.words.many)
             bounds = ends[bounds]
-            for a, b in runs(bounds):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(flat, bounds[a : b + 1])], names=["doc_id", "ids"])
+            for a, b in runs(bounds, RUN_IDS):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made[1](model, flat, bounds[a : b + 1])], names=names)
 
     return run
 
 
-def _by_tree(rows: DataFrame, vocabulary: str, leaf: int) -> DataFrame:
+def _by_tree(rows: DataFrame, vocabulary: str, leaf: int, made: Made) -> DataFrame:
+    names = ["doc_id", *[c.split()[0] for c in made[0].split(", ")]]
+
     def leaves(batches):
         model = words(vocabulary)
         for batch in in_bytes(batches, 2):
@@ -205,65 +265,50 @@ def _by_tree(rows: DataFrame, vocabulary: str, leaf: int) -> DataFrame:
 
     def encoded(batches):
         model = words(vocabulary)
-        for batch in batches:
-            for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
-                ids = [model.ids(s) for s in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=["row", "doc_id", "at", "ids"])
+        for part in in_rows(batches, LEAVES):
+            ids = model.all_ids(part.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=["row", "doc_id", "at", "ids"])
 
     def joined(table):
-        by = table.sort_by("at")
-        ids = words(vocabulary).tree([x.values.to_numpy() for x in by.column("ids")])
-        bounds = np.array([0, len(ids)])
-        return pa.Table.from_arrays([by.column("doc_id").slice(0, 1), lists(ids, bounds)], names=["doc_id", "ids"])
+        by, model = table.sort_by("at"), words(vocabulary)
+        ids = model.tree([x.values.to_numpy() for x in by.column("ids")])
+        return pa.Table.from_arrays([by.column("doc_id").slice(0, 1), *made[1](model, ids, np.array([0, len(ids)]))], names=names)
 
     # The numbers of rows and the leaves are kept, so a lost task encodes the same leaves again.
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
     kept = cut(numbered.mapInArrow(leaves, "row bigint, doc_id bigint, at int, symbols string"))
     coded = kept.repartition(partitions(rows.sparkSession), "row", "at").mapInArrow(encoded, "row bigint, doc_id bigint, at int, ids array<int>")
-    return coded.groupBy("row").applyInArrow(joined, "doc_id bigint, ids array<int>")
+    return coded.groupBy("row").applyInArrow(joined, f"doc_id bigint, {made[0]}")
 
 
-def encode(docs: DataFrame, vocabulary: str, long: int = LONG, leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, long: int = LONG, leaf: int = LEAF, made: Made = IDS) -> DataFrame:
     """doc_id and ids of every document, as the vocabulary's library gives them without special tokens.
 
     Null texts count as empty and have no ids.  Texts go through whole, those
     of more than ``long`` characters as leaves of at most ``leaf`` symbols.
     Repeated and null doc_ids are documents of their own; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored.  ``made`` gives other columns
+    in place of the ids, made where these are.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    short = rows.filter(F.length("text") <= long).mapInArrow(_by_words(vocabulary), "doc_id bigint, ids array<int>")
-    return short.unionByName(_by_tree(rows.filter(F.length("text") > long), vocabulary, leaf))
+    short = rows.filter(F.length("text") <= long).mapInArrow(_by_words(vocabulary, made), f"doc_id bigint, {made[0]}")
+    return short.unionByName(_by_tree(rows.filter(F.length("text") > long), vocabulary, leaf, made))
 
 
-def _each(encoded: DataFrame, vocabulary: str, columns: str, make: Callable) -> DataFrame:
-    def run(batches):
-        model = words(vocabulary)
-        for batch in in_rows(batches, 500):
-            ids = batch.column(1).fill_null([])
-            bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy()))).astype(np.int64)
-            yield make(model, batch, ids.flatten().to_numpy(), bounds)
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, columns)
+def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the ids, as little-endian 32-bit integers, and of the text they decode to."""
+    return encode(docs, vocabulary, made=DIGESTS)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids and text of encoded documents; null ids have an empty text."""
 
-    def make(model, batch, flat, bounds):
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.decode() for t in model.texts(flat, bounds)])], names=["doc_id", "ids", "text"])
-
-    return _each(encoded, vocabulary, "doc_id bigint, ids array<int>, text string", make)
-
-
-def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids, as little-endian 32-bit integers, and of the text they decode to."""
-
-    def make(model, batch, flat, bounds):
-        data = memoryview(flat.astype("<u4")).cast("B")
-        of_ids = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        of_texts = [hashlib.sha256(t).hexdigest() for t in model.texts(flat, bounds)]
-        columns = [batch.column(0), pa.array(np.diff(bounds)), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(batches):
+        model = words(vocabulary)
+        for batch in in_rows(batches, 500):
+            ids = batch.column(1).fill_null([])
+            bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy()))).astype(np.int64)
+            texts = [t.decode() for t in model.texts(ids.flatten().to_numpy(), bounds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return _each(encoded, vocabulary, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
