@@ -65,12 +65,18 @@ class Recent(dict):
 
     def many(self, keys: list[str]) -> list:
         """What is made of different keys, those not met lately at once."""
-        get, older = self.get, self.older.get
-        found = [get(key) or older(key) for key in keys]
+        found = list(map(self.get, keys))
+        if self.older:
+            older = self.older.get
+            found = [older(key) if x is None else x for key, x in zip(keys, found)]
         missing = [k for k, x in enumerate(found) if x is None]
-        for k, x in zip(missing, self.make_many([keys[k] for k in missing])):
+        new = dict(zip([keys[k] for k in missing], self.make_many([keys[k] for k in missing])))
+        for k, x in zip(missing, new.values()):
             found[k] = x
-            self._keep(keys[k], x)
+        if len(self) + len(new) > self.size:
+            self.older = dict(self)
+            self.clear()
+        self.update((key, x) for key, x in new.items() if len(key) <= self.longest)
         return found
 
 

@@ -86,8 +86,11 @@ class Words:
         for name, sign in self.names.items():
             self.shown[self.signs[sign]] = sign + STOP
         self.strings = pa.array([s + " " for s in strings], pa.large_string())
-        self.agenda, self.symbol = merges(tokenizer)
-        self.ending = np.array([model["vocab"][_LETTER[b] + SUFFIX] for b in range(256)], np.int32)
+        self.agenda, _ = merges(tokenizer)
+        # Symbols of the letters that stand for bytes, before and at a word's end.
+        self.letter, self.ending = (np.full(max(map(ord, _LETTER.values())) + 1, -1, np.int32) for _ in range(2))
+        for x in _LETTER.values():
+            self.letter[ord(x)], self.ending[ord(x)] = model["vocab"][x], model["vocab"][x + SUFFIX]
         self.pieces = Recent(self.piece, STORED_WORDS // 2, make_many=self.new_pieces)
         self.words = Recent(self.word, STORED_WORDS, make_many=self.new_words)
         self.shapes = Recent(self.word_symbols, STORED_WORDS // 4)
@@ -99,29 +102,24 @@ class Words:
         return np.array(found, "<i4").tobytes()
 
     def new_pieces(self, found: list[str]) -> list[bytes]:
-        """The ids of words that end; those of ASCII letters go side by side."""
-        chosen = [k for k, p in enumerate(found) if p.isascii() and p]
-        data = np.frombuffer("".join([found[k] for k in chosen]).encode(), np.uint8)
-        lengths = np.fromiter((len(found[k]) for k in chosen), np.int64, len(chosen))
-        symbols, last = self.symbol[data], np.cumsum(lengths) - 1
-        symbols[last] = self.ending[data[last]]
-        out: list[bytes | None] = [None] * len(found)
-        for k, x in zip(chosen, self.agenda.words(symbols, lengths)):
-            out[k] = x
-        return [self.piece(p) if x is None else x for p, x in zip(found, out)]
+        """The ids of words that end, given as letters for their bytes, side by side."""
+        points = np.frombuffer("".join(found).encode("utf-16-le"), "<u2")
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        symbols, last = np.where(points < len(self.letter), self.letter[np.minimum(points, len(self.letter) - 1)], -1), np.cumsum(lengths) - 1
+        last = last[lengths > 0]
+        symbols[last] = np.where(symbols[last] >= 0, self.ending[np.minimum(points[last], len(self.letter) - 1)], -1)
+        return [self.piece(p) if x is None else x for p, x in zip(found, self.agenda.words(symbols, lengths))]
 
     def new_words(self, found: list[str]) -> list[bytes]:
         """The ids of what stands between blanks, for many at once."""
         stops = [self.stops.get(w[-1:], b"") for w in found]
         bodies = [w[:-1] if s else w for w, s in zip(found, stops)]
-        chosen = [k for k, w in enumerate(bodies) if w.isascii() and w.isalpha()]
-        lower = [bodies[k].lower() for k in chosen]
-        distinct = list(dict.fromkeys(lower))
+        letters = [_letters(w.lower()) if w.isalpha() and (w.isascii() or max(w) < _PLAIN) else None for w in bodies]
+        distinct = list(dict.fromkeys(letters))
+        if None in letters:
+            distinct.remove(None)
         ids = dict(zip(distinct, self.pieces.many(distinct)))
-        out: list[bytes | None] = [None] * len(found)
-        for k, w in zip(chosen, lower):
-            out[k] = ids[w] + stops[k]
-        return [self.word(w) if x is None else x for w, x in zip(found, out)]
+        return [self.word(w) if p is None else ids[p] + s for w, p, s in zip(found, letters, stops)]
 
     def word(self, word: str) -> bytes:
         """The ids of what stands between blanks."""
