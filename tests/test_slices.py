@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from conftest import rows_of
 from tickloom.operators import indicators as ind, option_ledger as opt
-from tickloom.operators.alerts import alerts
+from tickloom.operators.alerts import alerts, latest_alerts
 from tickloom.operators.bars import number_bars, slice_bars
 from tickloom.operators.equity import equity_curve, own_bars, risk
 from tickloom.operators.ledger import Account, run_ledger
@@ -112,6 +112,18 @@ def test_alerts_do_not_depend_on_slices(numbered):
     assert rows_of(one, "symbol", "i") == rows_of(two, "symbol", "i")
 
 
+def test_latest_alerts_are_the_last_of_all(numbered):
+    """From 258 bars per symbol the same alert as from all, short series and a stop carried over slices included."""
+    every = [c for c in alerts(numbered).columns]
+    last = Window.partitionBy("symbol").orderBy(F.desc("i"))
+    want = alerts(numbered).withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(*every)
+    for slice_rows in (3072, 100):
+        found = latest_alerts(numbered, slice_rows=slice_rows)
+        assert rows_of(found.select(*every), "symbol") == rows_of(want, "symbol")
+    plan = latest_alerts(numbered)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_standard_set_runs_on_short_series(numbered):
     short = numbered.filter("symbol = 'C'")
     rows = signals(short, standard_strategies(), holds=True)

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.functions import pricing
 from tickloom.functions.numeric import UNIT
 from tickloom.operators import indicators as ind
-from tickloom.operators.bars import SLICE_ROWS, latest_bars, slice_bars
+from tickloom.operators.bars import SLICE_ROWS, latest_slices, slice_bars
 from tickloom.operators.option_ledger import with_volatility
-from tickloom.operators.psar import HALO as SAR_HALO
+from tickloom.operators.psar import HALO as SAR_HALO, latest_stops
 from tickloom.operators.signals import p, with_previous
 from tickloom.operators.snapshot import with_running
 
@@ -193,27 +193,48 @@ def _recommend(df: DataFrame, kind: str, rate: float) -> DataFrame:
     return df.withColumn(kind.lower(), F.expr(f"named_struct({struct})")).drop("_action", "_strike", "_days", "_premium")
 
 
-def rated_bars(numbered: DataFrame, slice_rows: int = SLICE_ROWS, with_levels: bool = True) -> DataFrame:
-    """Own bars with the whole snapshot, the SAR, levels, volatility and an ``outcomes`` array of rule structs."""
+def _with_windows(sliced: DataFrame, with_levels: bool = True) -> DataFrame:
+    """``sliced`` with the snapshot, volatility, levels and the values of the bar before; own bars only."""
     levels = [ind.support_resistance(100, 5)] if with_levels else []
-    sliced = slice_bars(numbered, max(ind.SNAPSHOT_HALO, SAR_HALO), slice_rows)
-    wide = ind.add(with_running(sliced, obv=False), ind.snapshot(), ind.volatility(), *levels)
-    wide = with_previous(wide, [c for _, cases in RULES for _, c, _ in cases if "sar" not in c]).withColumn(
-        p("c"), F.expr(ind.prev("c"))
-    ).filter("own")
-    wide = wide.withColumn("sar_bullish", F.expr("c > sar")).withColumn(
+    wide = ind.add(sliced, ind.snapshot(), ind.volatility(), *levels)
+    wide = with_previous(wide, [c for _, cases in RULES for _, c, _ in cases if "sar" not in c])
+    return wide.withColumn(p("c"), F.expr(ind.prev("c"))).filter("own")
+
+
+def _with_outcomes(own: DataFrame) -> DataFrame:
+    """An ``outcomes`` array of rule structs per bar; needs ``sar`` and ``p_sar`` beside the windows."""
+    own = own.withColumn("sar_bullish", F.expr("c > sar")).withColumn(
         "p_sar_bullish", F.expr(f"coalesce({p('c')} > p_sar, false)")
     )
     outcomes = ", ".join(rule_outcome(cases) for _, cases in RULES)
-    return wide.withColumn("outcomes", F.expr(f"IF(i < {FIRST_BAR}, array(), array_compact(array({outcomes})))"))
+    return own.withColumn("outcomes", F.expr(f"IF(i < {FIRST_BAR}, array(), array_compact(array({outcomes})))"))
+
+
+def rated_bars(numbered: DataFrame, slice_rows: int = SLICE_ROWS, with_levels: bool = True) -> DataFrame:
+    """Own bars with the whole snapshot, the SAR, levels, volatility and an ``outcomes`` array of rule structs."""
+    sliced = slice_bars(numbered, max(ind.SNAPSHOT_HALO, SAR_HALO), slice_rows)
+    return _with_outcomes(_with_windows(with_running(sliced, obv=False), with_levels))
+
+
+def rated_latest(numbered: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The same for the last bar of each symbol alone.
+
+    Only its last bars reach the windows; a rank limit in front of the exchange
+    leaves the others behind.  The stop alone depends on the whole series: its
+    state comes from the narrow slices of prices.
+    """
+    wide = _with_windows(latest_slices(numbered, ind.SNAPSHOT_HALO + 2))
+    return _with_outcomes(wide.join(latest_stops(numbered, slice_rows), "symbol"))
 
 
 def alerts(
     numbered: DataFrame, vol_mode: str = "asof", rate: float = pricing.RISK_FREE_RATE, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """One alert per bar: direction, score, messages, call and put recommendation, levels."""
-    rated = with_volatility(rated_bars(numbered, slice_rows), numbered, vol_mode)
+    return _scored(with_volatility(rated_bars(numbered, slice_rows), numbered, vol_mode), rate)
+
 
+def _scored(rated: DataFrame, rate: float) -> DataFrame:
     def side(name: str) -> str:
         return f"transform(filter(outcomes, x -> x.side = '{name}'), x -> x.message)"
 
@@ -237,9 +258,11 @@ def alerts(
     )
 
 
-def latest_alerts(alerts_: DataFrame) -> DataFrame:
+def latest_alerts(
+    numbered: DataFrame, vol_mode: str = "asof", rate: float = pricing.RISK_FREE_RATE, slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
     """The alert on each symbol's last bar."""
-    return latest_bars(alerts_)
+    return _scored(with_volatility(rated_latest(numbered, slice_rows), numbered, vol_mode), rate)
 
 
 def nearest_levels(alerts_: DataFrame, count: int = 3) -> DataFrame:

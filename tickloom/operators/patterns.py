@@ -37,8 +37,8 @@ def key_text(signs: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(signs.cast("array<string>"), ", "), F.lit("]"))
 
 
-def patterns(closes: DataFrame, days: int = PATTERN_DAYS, order: list[str] = ("date", "seq")) -> DataFrame:
-    """(pattern, symbol, signs), one row per symbol and prefix of its signs.
+def sign_rows(closes: DataFrame, days: int = PATTERN_DAYS, order: list[str] = ("date", "seq")) -> DataFrame:
+    """(symbol, s1, s2, ...): the signs of each symbol's first changes, one row per symbol that has any.
 
     A missing close yields no sign and keeps the previous close; after a zero
     close there is no sign either.
@@ -46,11 +46,37 @@ def patterns(closes: DataFrame, days: int = PATTERN_DAYS, order: list[str] = ("d
     inside = Window.partitionBy("symbol").orderBy("k")
     first = first_closes(closes, days, order).filter(F.col("close").isNotNull())
     before = F.lag("close").over(inside)
-    sign = F.when((F.col("k") > 0) & (before != 0), change_sign(before, F.col("close")))
-    signed = first.withColumn("sign", sign).filter(F.col("sign").isNotNull())
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    grown = signed.withColumn("signs", F.collect_list("sign").over(upto))
-    return grown.select(key_text(F.col("signs")).alias("pattern"), "symbol", "signs").distinct()
+    signed = first.withColumn("sign", F.when((F.col("k") > 0) & (before != 0), change_sign(before, F.col("close"))))
+    place = F.count("sign").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    known = signed.withColumn("place", place).filter(F.col("sign").isNotNull())
+    return known.groupBy("symbol").agg(*[F.max(F.when(F.col("place") == n, F.col("sign"))).alias(f"s{n}") for n in range(1, days + 1)])
+
+
+def _prefix(days: int, length: Column) -> Column:
+    return F.slice(F.array(*[F.col(f"s{n}") for n in range(1, days + 1)]), F.lit(1), length)
+
+
+def patterns(closes: DataFrame, days: int = PATTERN_DAYS, order: list[str] = ("date", "seq")) -> DataFrame:
+    """(pattern, symbol, signs), one row per symbol and prefix of its signs."""
+    rows = sign_rows(closes, days, order)
+    known = sum((F.col(f"s{n}").isNotNull().cast("int") for n in range(1, days + 1)), F.lit(0))
+    grown = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), known))).withColumn("signs", _prefix(days, F.col("_n")))
+    return grown.select(key_text(F.col("signs")).alias("pattern"), "symbol", "signs")
+
+
+def prefix_counts(rows: DataFrame, days: int = PATTERN_DAYS) -> DataFrame:
+    """(pattern, signs, pattern_freq) of all prefixes of the sign rows.
+
+    One rollup over the sign columns counts them: a symbol is one row up to the
+    partial aggregation, and only counts per pattern are exchanged.
+    """
+    names = [f"s{n}" for n in range(1, days + 1)]
+    # A rolled-up column sets its bit of the grouping id; the first bit left of them is the prefix's end.
+    length = F.lit(days) - F.bit_count(F.grouping_id(*names))
+    counted = rows.rollup(*names).agg(length.cast("int").alias("_n"), F.count("*").alias("pattern_freq"))
+    last = F.element_at(F.array(*[F.col(n) for n in names]), F.greatest("_n", F.lit(1)))
+    ends = counted.filter((F.col("_n") > 0) & last.isNotNull())
+    return ends.withColumn("signs", _prefix(days, F.col("_n"))).select(key_text(F.col("signs")).alias("pattern"), "signs", "pattern_freq")
 
 
 def incomplete_symbols(closes: DataFrame) -> DataFrame:
@@ -68,10 +94,19 @@ def offset_key(signs: Column) -> Column:
     return key_text(F.slice(signs, 2, F.size(signs)))
 
 
+def prefix_frequencies(closes: DataFrame, days: int = PATTERN_DAYS, order: list[str] = ("date", "seq")) -> DataFrame:
+    """``frequencies`` of the patterns of ``closes``, without a row per symbol and pattern."""
+    return _related(prefix_counts(sign_rows(closes, days, order), days))
+
+
 def frequencies(patterns_: DataFrame) -> DataFrame:
     """Distinct symbols per pattern, with the similar and offset pattern's numbers and the accuracy."""
+    return _related(patterns_.groupBy("pattern", "signs").agg(F.count_distinct("symbol").alias("pattern_freq")))
+
+
+def _related(counted: DataFrame) -> DataFrame:
     # Read by three branches: stored, so that the closes are read and ranked once.
-    counts = stage(patterns_.groupBy("pattern", "signs").agg(F.count_distinct("symbol").alias("pattern_freq")))
+    counts = stage(counted)
     keyed = counts.withColumns({"similar": similar_key(F.col("signs")), "offset": offset_key(F.col("signs"))})
     similar = counts.select(F.col("pattern").alias("similar"), F.col("pattern_freq").alias("similar_freq"))
     offset = counts.select(F.col("pattern").alias("offset"), F.col("pattern_freq").alias("offset_freq"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.operators.bars import series
+from tickloom.operators.bars import SLICE_ROWS, series, slice_bars
 from tickloom.session import stage
 
 # Start, step and limit of the acceleration factor.
@@ -125,3 +125,11 @@ def parabolic_sar(sliced: DataFrame) -> DataFrame:
     """symbol, slice, i, ``sar`` (four places) and the bar before's ``p_sar`` of every own bar."""
     slices = by_slice(sliced.select(*PLACE, "own", "i", "h", "l", "c"))
     return with_stops(slices, settled(slices)).filter("own").select(*PLACE, "i", "sar", "p_sar")
+
+
+def latest_stops(numbered: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """symbol, ``sar`` and ``p_sar`` of each symbol's last bar: all slices give their states, the last ones alone their stops."""
+    slices = by_slice(slice_bars(numbered, HALO, slice_rows).select(*PLACE, "own", "i", "h", "l", "c"))
+    last = slices.groupBy("symbol").agg(F.max("slice").alias("slice"))
+    stops = with_stops(slices.join(last, PLACE), settled(slices))
+    return stops.groupBy("symbol").agg(F.max_by(F.struct("sar", "p_sar"), "i").alias("_s")).select("symbol", "_s.*")

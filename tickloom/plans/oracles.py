@@ -789,18 +789,25 @@ SELECT symbol, date, type, action, strike, days, CASE WHEN action = 'HOLD' THEN
 _CLOSES = "cl AS (SELECT 'C' || o_custkey AS symbol, CAST(round(o_totalprice * 100) AS BIGINT) AS px, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS cnt, o_custkey FROM orders)"
 
 
-def _pat(where: str = "cnt >= 2", name: str = "p") -> str:
-    return f"""{name}s AS (SELECT symbol, rn, sign(px - lag(px) OVER (PARTITION BY symbol ORDER BY rn)) AS s FROM cl WHERE rn <= 8 AND {where}),
+def _pat(where: str = "cnt >= 2", name: str = "p", days: int = 7) -> str:
+    return f"""{name}s AS (SELECT symbol, rn, sign(px - lag(px) OVER (PARTITION BY symbol ORDER BY rn)) AS s FROM cl WHERE rn <= {days + 1} AND {where}),
 {name} AS (SELECT symbol, list(CAST(s AS INTEGER)) OVER (PARTITION BY symbol ORDER BY rn) AS signs FROM {name}s WHERE rn > 1)"""
 
 
 _KEY = "'[' || array_to_string({0}, ', ') || ']'"
-_FREQ = f"""{_CLOSES}, {_pat()},
+
+
+def _freq(days: int = 7) -> str:
+    return f"""{_CLOSES}, {_pat(days=days)},
 k AS (SELECT DISTINCT symbol, {_KEY.format('signs')} AS pattern, {_KEY.format('list_concat([-signs[1]], signs[2:])')} AS "similar", {_KEY.format('signs[2:]')} AS "offset" FROM p),
 f AS (SELECT pattern, "similar", "offset", count(DISTINCT symbol) AS pattern_freq FROM k GROUP BY ALL),
 fr AS (SELECT f.*, coalesce(s.pattern_freq, 0) AS similar_freq, coalesce(o.pattern_freq, 0) AS offset_freq,
   CAST({hu('f.pattern_freq * 100', 'f.pattern_freq + coalesce(s.pattern_freq, 0)', 2)} AS DOUBLE) / 100 AS accuracy
   FROM f LEFT JOIN f s ON f."similar" = s.pattern LEFT JOIN f o ON f."offset" = o.pattern)"""
+
+
+_FREQ = _freq()
+ORACLES["patterns_long"] = f"WITH {_freq(10)} SELECT * FROM fr"
 ORACLES["patterns"] = f"WITH {_FREQ} SELECT pattern, symbol FROM k"
 ORACLES["pattern_frequencies"] = f"WITH {_FREQ} SELECT * FROM fr"
 ORACLES["top_patterns"] = f"WITH {_FREQ} SELECT pattern, pattern_freq, accuracy FROM fr ORDER BY pattern_freq DESC, pattern LIMIT 10"
@@ -903,6 +910,10 @@ round((k + q + z) / (CASE WHEN k <> 0 THEN 1 ELSE 0 END + CASE WHEN q <> 0 THEN
 # --- sources: what was written must come back ----------------------------------------------
 
 ORACLES["csv_lines"] = f"WITH {bars()} SELECT symbol, date, {_OHLCV} FROM n WHERE v % 9 <> 0"
+ORACLES["csv_rejects"] = f"""WITH {bars()}, x AS (SELECT *, CAST(date AS VARCHAR) AS d, printf('%.4f', o) AS po, printf('%.4f', h) AS ph, printf('%.4f', l) AS pl, printf('%.4f', c) AS pc FROM n),
+y AS (SELECT symbol, CASE WHEN v % 11 = 0 THEN 'fewer than five fields' WHEN v % 9 = 0 THEN 'close is no number' WHEN v % 7 = 0 THEN 'volume is negative' END AS reason,
+CASE WHEN v % 11 = 0 THEN d || ',' || po || ',' || ph ELSE d || ',' || po || ',' || ph || ',' || pl || ',' || CASE WHEN v % 9 = 0 THEN 'null' ELSE pc END || ',' || pc || ',' || CASE WHEN v % 9 <> 0 AND v % 7 = 0 THEN -v ELSE v END END AS line FROM x)
+SELECT symbol, reason, count(*) AS lines, min(line) AS first_line FROM y WHERE reason IS NOT NULL GROUP BY ALL"""
 ORACLES["csv_short_lines"] = f"WITH {bars()} SELECT symbol, date, o AS open, h AS high, l AS low, c AS close, c AS adj_close, CAST(0 AS BIGINT) AS volume FROM n"
 ORACLES["delimited_fields"] = """WITH f AS (SELECT c_custkey, [c_name || '; "' || c_mktsegment || '"', CAST(c_nationkey AS VARCHAR), 'x;y', ''] AS f FROM customer)
 SELECT c_custkey, CAST(unnest(range(len(f))) AS INTEGER) AS position, unnest(f) AS field FROM f"""
@@ -927,3 +938,46 @@ ORACLES["token_set"] = r"SELECT DISTINCT unnest(string_split_regex(text, '\s*,\s
 
 # Slices and rounds change no result.
 ORACLES |= {f"{name}_sliced": ORACLES[name] for name in ("obv", "parabolic_sar", "snapshot", "performance", "option_performance", "alerts")}
+
+# --- report text --------------------------------------------------------------------------
+
+
+def fixed(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 'N/A' ELSE CAST(round(CAST({x} AS DECIMAL(28, 8)), 2) AS VARCHAR) END"
+
+
+def day(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), 'N/A')"
+
+
+def line(*parts: str) -> str:
+    """Text and columns in turn, joined."""
+    return " || ".join(f"'{p}'" if i % 2 == 0 else p for i, p in enumerate(parts) if p or i % 2)
+
+
+def _fixed_parts(*parts: str) -> str:
+    return line(*[fixed(p) if i % 2 and p.isidentifier() else p for i, p in enumerate(parts)])
+
+
+_SUMMARY = " || chr(10) || ".join([
+    line("", day("date"), "  Close: $", fixed("close"), "  Vol: ", "format('{:,}', volume)"),
+    _fixed_parts("SMA(20/50/200): ", "sma20", " / ", "sma50", " / ", "sma200"),
+    _fixed_parts("RSI(14): ", "rsi14", "  MACD: ", "macd_line", "  ADX: ", "adx14"),
+    _fixed_parts("BB: [", "bb_lower", " - ", "bb_middle", " - ", "bb_upper", "]  %B: ", "bb_percent_b"),
+    _fixed_parts("Stoch: %K=", "stoch_k", " %D=", "stoch_d", "  ATR: ", "atr14"),
+    _fixed_parts("OBV Rising: ", "(CASE WHEN obv_rising THEN 'Yes' ELSE 'No' END)", "  MFI: ", "mfi14", "  CCI: ", "cci20"),
+    _fixed_parts("VWAP: ", "vwap", "  SAR: ", "parabolic_sar", " (", "(CASE WHEN sar_bullish THEN 'Bullish' ELSE 'Bearish' END)", ")"),
+    _fixed_parts("Ichimoku: ", "(CASE WHEN above_cloud THEN 'Above' ELSE 'Below' END)", " cloud  Williams %R: ", "williams_r"),
+    _fixed_parts("Fib Levels: 23.6%=", "fib236", "  38.2%=", "fib382", "  50%=", "fib500", "  61.8%=", "fib618"),
+])
+ORACLES["snapshot_text"] = f"SELECT symbol, date, {_SUMMARY} AS summary FROM ({ORACLES['snapshot']})"
+ORACLES["bar_text"] = f"""WITH {bars()} SELECT symbol, {line("", day("date"), " O:", fixed("o"), " H:", fixed("h"), " L:", fixed("l"), " C:", fixed("c"), " V:", "v")} AS line FROM n"""
+_trade = line("", "direction", " ", "status", ": Entry ", day("entry_date"), " @ $", fixed("entry_price"), " -> Exit ", day("exit_date"), " @ $", fixed("exit_price"),
+              " | P/L: $", fixed("pl"), " (", fixed("return_pct"), "%)")
+ORACLES["trade_text"] = f"SELECT symbol, trade_no, {_trade} AS line FROM ({ORACLES['trade_log']})"
+_option = line("", "direction", " ", "kind", " ", "status", " $", fixed("strike"), " exp:bar ", "expiry_bar", " | Entry:", day("entry_date"), " @$", fixed("entry_premium"),
+               " -> Exit:", day("exit_date"), " @$", fixed("exit_premium"), " | P/L:$", fixed("pl"), " (", fixed("return_pct"), "%) vol:", "entry_volume")
+ORACLES["option_trade_text"] = f"SELECT symbol, strategy, trade_no, {_option} AS line FROM ({ORACLES['option_trades']})"
+_contract = line("", "contract", " ", "type", " $", fixed("strike"), " exp:", day("expiration"), " last:$", fixed("last"), " bid:$", fixed("bid"), " ask:$", fixed("ask"),
+                 " vol:", "volume", " OI:", "open_interest", " IV:", fixed("(iv * 100)"), "%")
+ORACLES["contract_text"] = f"SELECT contract, type, {_contract} AS line FROM ({ORACLES['option_chain']})"

@@ -132,6 +132,23 @@ def snapshot(spark, sf_dir, short=SLICE_ROWS):
     return rounded(whole_snapshot(inputs.numbered(spark, sf_dir, reused=True), short))
 
 
+def _columns(df: DataFrame) -> dict:
+    return {c: F.col(c) for c in df.columns}
+
+
+@query("snapshot_text")
+def snapshot_text(spark, sf_dir):
+    """Every bar's snapshot as report text."""
+    rows = rounded(whole_snapshot(inputs.numbered(spark, sf_dir, reused=True)))
+    return rows.select("symbol", "date", text.snapshot_text(_columns(rows)).alias("summary"))
+
+
+@query("bar_text")
+def bar_text(spark, sf_dir):
+    rows = order_bars(spark, sf_dir)
+    return rows.select("symbol", text.bar_text(_columns(rows)).alias("line"))
+
+
 @query("hourly_vwap_rsi")
 def hourly(spark, sf_dir):
     """The same indicators over hourly bars of another table."""
@@ -242,6 +259,13 @@ def trade_log(spark, sf_dir):
     return metrics.trade_log(ledger.trades).drop("strategy_no", "capital_u", "commission_u")
 
 
+@query("trade_text")
+def trade_text(spark, sf_dir):
+    _, ledger = _ledger(spark, sf_dir, CROSSOVER, [Account(1_000_000, 0.65)])
+    rows = metrics.trade_log(ledger.trades)
+    return rows.select("symbol", "trade_no", text.trade_text(_columns(rows)).alias("line"))
+
+
 @query("equity_curve")
 def equity_curve(spark, sf_dir):
     bars, ledger = _ledger(spark, sf_dir, CROSSOVER, [Account(1_000_000, 0.65)])
@@ -320,6 +344,12 @@ def option_chain(spark, sf_dir):
     return chain.select("symbol", "expiration", "type", "contract", "strike", "last", "bid", "ask", "volume", "open_interest", "iv")
 
 
+@query("contract_text")
+def contract_text(spark, sf_dir):
+    rows = inputs.chain(spark, sf_dir)
+    return rows.select("contract", "type", text.contract_text(_columns(rows)).alias("line"))
+
+
 @query("chain_quotes")
 def chain_quotes(spark, sf_dir):
     return ch.with_quotes(inputs.chain(spark, sf_dir)).select("contract", "type", "mid_price", "spread", "notional")
@@ -412,6 +442,13 @@ def option_trades(spark, sf_dir):
     return _option_trades(_options(spark, sf_dir)[1])
 
 
+@query("option_trade_text")
+def option_trade_text(spark, sf_dir):
+    """Option trades on a line each; they expire so many bars after their entry."""
+    rows = _option_trades(_options(spark, sf_dir)[1]).withColumn("expiration", F.format_string("bar %d", "expiry_bar"))
+    return rows.select("symbol", "strategy", "trade_no", text.option_trade_text(_columns(rows)).alias("line"))
+
+
 @query("option_trades_compat")
 def option_trades_compat(spark, sf_dir):
     """The same with the volatility of the series' final closes."""
@@ -474,7 +511,7 @@ def recommendations(spark, sf_dir):
 @query("latest_alerts")
 def latest_alerts(spark, sf_dir):
     """Last alert of every symbol with its three nearest levels on each side."""
-    rows = al.nearest_levels(al.latest_alerts(_alerts(spark, sf_dir)))
+    rows = al.nearest_levels(al.latest_alerts(inputs.numbered(spark, sf_dir, inputs.BY_TYPE, reused=True)))
 
     def joined(c: str):
         return F.array_join(F.transform(c, lambda x: text.money(x)), " ").alias(c)
@@ -495,6 +532,10 @@ def _patterns(spark, sf_dir):
     return pat.patterns(inputs.closes(spark, sf_dir))
 
 
+def _frequencies(spark, sf_dir, days=pat.PATTERN_DAYS):
+    return pat.prefix_frequencies(inputs.closes(spark, sf_dir), days)
+
+
 @query("patterns")
 def patterns(spark, sf_dir):
     return _patterns(spark, sf_dir).select("pattern", "symbol")
@@ -502,29 +543,34 @@ def patterns(spark, sf_dir):
 
 @query("pattern_frequencies")
 def pattern_frequencies(spark, sf_dir):
-    return pat.frequencies(_patterns(spark, sf_dir))
+    return _frequencies(spark, sf_dir)
 
 
 @query("top_patterns")
 def top_patterns(spark, sf_dir):
-    return pat.ranked(pat.frequencies(_patterns(spark, sf_dir))).select("pattern", "pattern_freq", "accuracy")
+    return pat.ranked(_frequencies(spark, sf_dir)).select("pattern", "pattern_freq", "accuracy")
 
 
 @query("top_offset_patterns")
 def top_offset(spark, sf_dir):
-    return pat.ranked(pat.frequencies(_patterns(spark, sf_dir))).select("pattern", "offset", "offset_freq", "accuracy")
+    return pat.ranked(_frequencies(spark, sf_dir)).select("pattern", "offset", "offset_freq", "accuracy")
 
 
 @query("top_patterns_compat")
 def top_compat(spark, sf_dir):
-    return pat.ranked(pat.frequencies(_patterns(spark, sf_dir)), compat=True).select("pattern", "pattern_freq", "accuracy")
+    return pat.ranked(_frequencies(spark, sf_dir), compat=True).select("pattern", "pattern_freq", "accuracy")
 
 
 @query("similar_members")
 def similar_members(spark, sf_dir):
     """Symbols behind each pattern's similar pattern."""
-    p = _patterns(spark, sf_dir)
-    return pat.members(p, pat.frequencies(p), "similar")
+    return pat.members(_patterns(spark, sf_dir), _frequencies(spark, sf_dir), "similar")
+
+
+@query("patterns_long")
+def patterns_long(spark, sf_dir):
+    """Frequencies of patterns of up to ten days."""
+    return _frequencies(spark, sf_dir, 10)
 
 
 @query("incomplete_symbols")
@@ -704,6 +750,18 @@ def csv_lines(spark, sf_dir):
     return _as_double(prices.parse_lines(bars.select("symbol", cells.alias("value")), F.col("symbol")).drop("adj_close"))
 
 
+@query("csv_rejects")
+def csv_rejects(spark, sf_dir):
+    """The rejected lines of a load in which closes, volumes and line ends are spoilt, by reason."""
+    bars = order_bars(spark, sf_dir)
+    close = F.expr("IF(volume % 9 = 0, 'null', cast(close AS string))")
+    volume = F.expr("CASE WHEN volume % 9 <> 0 AND volume % 7 = 0 THEN -volume ELSE volume END")
+    whole = F.concat_ws(",", "date", "open", "high", "low", close, "close", volume)
+    cells = F.when(F.col("volume") % 11 == 0, F.concat_ws(",", "date", "open", "high")).otherwise(whole)
+    parsed = prices.parsed_lines(bars.select("symbol", cells.alias("value")), F.col("symbol"))
+    return prices.rejected(parsed).groupBy("symbol", "reason").agg(F.count("*").alias("lines"), F.min("value").alias("first_line"))
+
+
 @query("csv_short_lines")
 def csv_short(spark, sf_dir):
     """Lines without adjusted close and volume."""

@@ -21,26 +21,38 @@ def _number(name: str) -> Column:
     return F.col(name).try_cast(PRICE)
 
 
-def parse_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed bars and the rows dropped on the way, from text columns.
+def checked(raw: DataFrame) -> DataFrame:
+    """Typed bars beside their text in one pass: the text's columns, ``bar`` and ``reason``, null for a good row.
 
-    A missing adjusted close takes the close, a missing volume zero; a field
-    that is there but no number, fewer than five fields, or a negative volume
-    drop the row.
+    A missing adjusted close takes the close, a missing volume zero.  The
+    reason names the first of these: a row of fewer than five fields, a field
+    that is no date or number, a negative volume.
     """
-    numbers = {n: _number(n) for n in ("open", "high", "low", "close")}
-    adjusted = F.when(F.col("adj_close").isNull(), _number("close")).otherwise(_number("adj_close"))
-    volume = F.when(F.col("volume").isNull(), F.lit(0)).otherwise(F.col("volume").try_cast("bigint"))
-    typed = raw.withColumns({
-        "_date": F.col("date").try_cast("date"), **{"_" + k: v for k, v in numbers.items()},
-        "_adj_close": adjusted, "_volume": volume,
-    })
-    good = F.lit(True)
+    parsed = {n: _number(n) for n in ("open", "high", "low", "close")}
+    parsed["date"] = F.col("date").try_cast("date")
+    parsed["adj_close"] = F.when(F.col("adj_close").isNull(), _number("close")).otherwise(_number("adj_close"))
+    parsed["volume"] = F.when(F.col("volume").isNull(), F.lit(0)).otherwise(F.col("volume").try_cast("bigint"))
+    typed = raw.withColumn("bar", F.struct(*[parsed[c].alias(c) for c in CSV_COLUMNS]))
+    reason = F.when(F.greatest(*[F.col(c).isNull() for c in CSV_COLUMNS[:5]]), F.lit("fewer than five fields"))
     for name in CSV_COLUMNS:
-        good = good & F.col("_" + name).isNotNull()
-    good = F.coalesce(good & (F.col("_volume") >= 0), F.lit(False))
-    bars = typed.filter(good).select("symbol", *[F.col("_" + c).alias(c) for c in CSV_COLUMNS])
-    return bars, typed.filter(~good).select(*raw.columns)
+        reason = reason.when(F.col(f"bar.{name}").isNull(), F.lit(f"{name} is no {'date' if name == 'date' else 'number'}"))
+    return typed.withColumn("reason", reason.when(F.col("bar.volume") < 0, F.lit("volume is negative")))
+
+
+def accepted(parsed: DataFrame) -> DataFrame:
+    """The bars of checked rows without a reason against them."""
+    return parsed.filter(F.col("reason").isNull()).select("symbol", "bar.*")
+
+
+def rejected(parsed: DataFrame) -> DataFrame:
+    """The other rows as they were read, with the reason."""
+    return parsed.filter(F.col("reason").isNotNull()).drop("bar")
+
+
+def parse_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed bars, and the rows dropped on the way with their reason, from text columns."""
+    parsed = checked(raw)
+    return accepted(parsed), rejected(parsed)
 
 
 def read_csv(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
@@ -71,12 +83,17 @@ def split_fields(lines: DataFrame, separator: str = ",", column: str = "value")
     return lines.withColumn("fields", F.transform(found, clean))
 
 
-def parse_lines(lines: DataFrame, symbol: Column) -> DataFrame:
-    """Bars from a table of CSV lines (``value``), without the header line."""
+def parsed_lines(lines: DataFrame, symbol: Column) -> DataFrame:
+    """Checked rows of a table of CSV lines (``value``), without the header line."""
     options = {k: str(v).lower() if v is True else v for k, v in CSV_OPTIONS.items() if k != "enforceSchema"}
     fields = F.from_csv(F.col("value"), F.lit(CSV_SCHEMA), options)
-    raw = lines.filter(~F.lower(F.col("value")).startswith("date,")).select(symbol.alias("symbol"), fields.alias("f"))
-    return parse_rows(raw.select("symbol", "f.*"))[0]
+    kept = lines.filter(~F.lower(F.col("value")).startswith("date,"))
+    return checked(kept.select(symbol.alias("symbol"), "value", fields.alias("f")).select("symbol", "value", "f.*"))
+
+
+def parse_lines(lines: DataFrame, symbol: Column) -> DataFrame:
+    """Bars from a table of CSV lines (``value``), without the header line."""
+    return accepted(parsed_lines(lines, symbol))
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str, columns: list[str], skip: str | None = None) -> DataFrame:
