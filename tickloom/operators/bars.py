@@ -73,7 +73,7 @@ def number_bars(bars: DataFrame, period: str = "month", staged: bool = True) ->
     )
 
 
-def _columns() -> list[Column]:
+def bar_columns() -> list[Column]:
     """Bar number, date, the prices o h l c as DOUBLE, u (close in units) and volume v."""
     prices = [F.col(name).cast("double").alias(name[0]) for name in ("open", "high", "low", "close")]
     return [F.col("i"), F.col("date"), *prices, to_units(F.col("close")).alias("u"), F.col("volume").alias("v")]
@@ -90,7 +90,7 @@ def slice_bars(numbered: DataFrame, halo: int, slice_rows: int = SLICE_ROWS, ahe
     last = F.call_function("div", F.col("i") + halo, rows)
     first = F.call_function("div", F.greatest(F.col("i") - ahead, F.lit(0)), rows)
     sliced = (
-        numbered.select("symbol", *_columns(), home.alias("_home"), F.explode(F.sequence(first, last)).alias("slice"))
+        numbered.select("symbol", *bar_columns(), home.alias("_home"), F.explode(F.sequence(first, last)).alias("slice"))
         .withColumn("own", F.col("slice") == F.col("_home"))
         .drop("_home")
     )
@@ -100,7 +100,7 @@ def slice_bars(numbered: DataFrame, halo: int, slice_rows: int = SLICE_ROWS, ahe
 def latest_slices(numbered: DataFrame, rows: int) -> DataFrame:
     """The last ``rows`` bars of each symbol as one slice, the last bar its only own one; others don't cross the exchange."""
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("i").desc()))
-    last = numbered.select("symbol", *_columns()).withColumn("_rank", rank).filter(F.col("_rank") <= rows)
+    last = numbered.select("symbol", *bar_columns()).withColumn("_rank", rank).filter(F.col("_rank") <= rows)
     return last.withColumns({"slice": F.lit(0).cast("bigint"), "own": F.col("_rank") == 1}).drop("_rank")
 
 

@@ -826,6 +826,9 @@ UNION ALL SELECT 'total after exclusion', count(DISTINCT c_custkey) FROM custome
 WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) < 2)"""
 ORACLES["symbol_files"] = """SELECT DISTINCT 'C' || c_custkey AS symbol,
 c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) < 2) AS incomplete FROM customer"""
+ORACLES["replaced_list"] = "SELECT c_mktsegment AS list, count(*) AS symbols FROM customer GROUP BY c_mktsegment"
+ORACLES["stored_range"] = f"""SELECT symbol, date, sma20, sma200, rsi14 FROM ({ORACLES['sma']}) JOIN ({ORACLES['rsi']}) USING (symbol, date)
+WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'"""
 ORACLES["list_fallback"] = """WITH p AS (SELECT c_mktsegment AS list, 'C' || c_custkey AS symbol FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal > 5000)
 SELECT * FROM p UNION ALL SELECT c_mktsegment, 'C' || c_custkey FROM customer WHERE c_nationkey < 10 AND c_mktsegment NOT IN (SELECT list FROM p)"""
 

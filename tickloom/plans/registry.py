@@ -18,7 +18,7 @@ from tickloom.operators.psar import HALO as SAR_HALO, parabolic_sar
 from tickloom.operators.snapshot import whole_snapshot
 from tickloom.plans import inputs
 from tickloom.session import shared_folder
-from tickloom.sources import lists, payloads, prices
+from tickloom.sources import lists, payloads, prices, store
 from tickloom.sources.derived import event_bars, order_bars, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -608,8 +608,8 @@ def symbol_files(spark, sf_dir):
     """Incomplete symbols appended to a table and all symbols written as lines, both read back and counted."""
     folder, listed = _stored(spark, "symbols"), _lists(spark, sf_dir)
     short = pat.incomplete_symbols(inputs.closes(spark, sf_dir)).select("symbol")
-    for half in (0, 1):
-        lists.append_rows(short.filter(F.pmod(F.crc32("symbol"), F.lit(2)) == half), f"{folder}/incomplete")
+    for half in (0, 1, 1):  # the second half is sent twice, as after a lost answer
+        lists.append_rows(short.filter(F.pmod(F.crc32("symbol"), F.lit(2)) == half), f"{folder}/incomplete", f"half {half}")
     lists.write_lines(listed.select(F.format_string("[%s]", "symbol").alias("value")), f"{folder}/lines")
     lines = lists.line_set(lists.read_lines(spark, f"{folder}/lines")).withColumnRenamed("value", "symbol")
     gone = spark.read.parquet(f"{folder}/incomplete").select("symbol", F.lit(True).alias("incomplete"))
@@ -622,8 +622,8 @@ def report_tables(spark, sf_dir):
     folder = _stored(spark, "report")
     bars, ledger = _ledger(spark, sf_dir, CROSSOVER, [Account(1_000_000, 0.65)])
     lists.write_report({"metrics": metrics.performance(bars, ledger), "trades": metrics.trade_log(ledger.trades)}, folder)
-    logged = spark.read.parquet(f"{folder}/trades").groupBy("symbol").agg(F.count("*").alias("logged"), F.max("trade_no").alias("last_no"))
-    stats = spark.read.parquet(f"{folder}/metrics").select("symbol", "total_trades")
+    logged = lists.current(spark, f"{folder}/trades").groupBy("symbol").agg(F.count("*").alias("logged"), F.max("trade_no").alias("last_no"))
+    stats = lists.current(spark, f"{folder}/metrics").select("symbol", "total_trades")
     return stats.join(logged, "symbol", "left").fillna(0)
 
 
@@ -637,6 +637,27 @@ def price_files(spark, sf_dir):
     return _as_double(prices.read_csv(spark, folder, F.col("of")).drop("adj_close"))
 
 
+@query("replaced_list")
+def replaced_list(spark, sf_dir):
+    """A list written three times over; the last whole version counts."""
+    folder, listed = _stored(spark, "replaced"), _lists(spark, sf_dir).select("list", "symbol")
+    for rows in (listed.limit(10), listed.filter("list <> 'BUILDING'"), listed):
+        lists.replace(rows, folder)
+    return lists.current(spark, folder).groupBy("list").agg(F.count("*").alias("symbols"))
+
+
+@query("stored_range")
+def stored_range(spark, sf_dir):
+    """Indicators of two years from a stored bar table, of which only those years are read."""
+    folder = _stored(spark, "bars")
+    name = "bars_" + folder.rsplit("-", 1)[-1].replace("/", "_")
+    store.store_bars(inputs.numbered(spark, sf_dir, reused=True), name, folder, halo=200)
+    start, end = F.lit("1996-01-01").cast("date"), F.lit("1997-12-31").cast("date")
+    wide = ind.add(store.stored_bars(spark, name, start, end), ind.sma(20), ind.sma(200), ind.rsi()).filter("own")
+    columns = {"sma_20": "sma20", "sma_200": "sma200", "rsi_14": "rsi14"}
+    return rounded(prices.between(wide, start, end).select("symbol", "date", *[F.col(k).alias(v) for k, v in columns.items()]))
+
+
 @query("list_fallback")
 def list_fallback(spark, sf_dir):
     """Lists of the primary source, and the fallback's for those it has nothing for."""

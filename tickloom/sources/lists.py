@@ -147,11 +147,51 @@ def write_lines(values: DataFrame, path: str, column: str = "value") -> None:
     ).text(path)
 
 
-def append_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_rows(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append rows; those of a named ``batch`` replace what a call for the same batch has written before, so a retry adds nothing.
+
+    A batch is a partition of the folder, which Spark swaps in when the job
+    commits; readers see its name as the column ``batch``.
+    """
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        keyed = rows.withColumn("batch", F.lit(batch))
+        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def _finished(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions under ``path`` whose writing job has committed, ascending."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    marks = hadoop.Path(f"{path}/version=*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
+    return sorted(int(x.getPath().getParent().getName().partition("=")[2]) for x in found)
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """Write ``rows`` beside what is there and make them current when the job has committed.
+
+    A write that fails half-way leaves the version before it current; the
+    next one takes its place.  Two versions are kept for readers under way.
+    """
+    spark = rows.sparkSession
+    done = _finished(spark, path)
+    rows.write.mode("overwrite").parquet(f"{path}/version={done[-1] + 1 if done else 0}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for old in done[:-1]:
+        folder = hadoop.Path(f"{path}/version={old}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last version that was written whole."""
+    done = _finished(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no version under {path} was written whole")
+    return spark.read.parquet(f"{path}/version={done[-1]}")
 
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """Report tables (metrics, trades, comparison, ...), one parquet folder each."""
+    """Report tables (metrics, trades, comparison, ...), each with versions of its own; ``current`` reads them."""
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        replace(table, f"{path}/{name}")
