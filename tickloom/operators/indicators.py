@@ -438,16 +438,27 @@ def thin_levels(levels: str, tolerance: str) -> str:
     )
 
 
+def recent_swings(kind: str, price: str, lookback: int, reach: int) -> Levels:
+    """``_<kind>s``: prices of the swings from ``lookback`` to ``reach`` bars ago.
+
+    Swings are few: those of a slice are one short list, and running counts
+    tell which part of it lies between the two bars, at the cost of one row
+    whatever the lookback.
+    """
+    count, whole = f"_{kind}_n", "OVER (PARTITION BY symbol, slice ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND {0})"
+    upto, before = (f"coalesce({prev(count, n)}, 0L)" for n in (reach, lookback + 1))
+    every = f"collect_list(CASE WHEN swing_{kind} THEN {price} END) {whole.format('UNBOUNDED FOLLOWING')}"
+    return [
+        {count: f"count(CASE WHEN swing_{kind} THEN 1 END) {whole.format('CURRENT ROW')}"},
+        {f"_{kind}s": f"slice({every}, cast({before} AS int) + 1, cast({upto} - {before} AS int))"},
+    ]
+
+
 def support_resistance(lookback: int = 100, reach: int = 5) -> Levels:
     """Support below and resistance above the close from recent swings, nearest first, thinned by 1 %."""
-    window = rows(lookback, -reach)
     return after(
-        swings(reach),
-        {
-            "_lows": f"collect_list(CASE WHEN swing_low THEN l END) {window}",
-            "_highs": f"collect_list(CASE WHEN swing_high THEN h END) {window}",
-            "_tolerance": snap("c * 0.01D"),
-        },
+        [*swings(reach), *combine(recent_swings("low", "l", lookback, reach), recent_swings("high", "h", lookback, reach))],
+        {"_tolerance": snap("c * 0.01D")},
         {
             "support": thin_levels("sort_array(filter(_lows, x -> x < c), false)", "_tolerance"),
             "resistance": thin_levels("sort_array(filter(_highs, x -> x > c))", "_tolerance"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def pipe_directory(lines: DataFrame) -> DataFrame:
@@ -47,8 +48,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "value string")
 
 
+class _Enough(Exception):
+    """The first table body has been read."""
+
+
 class _FirstBody(HTMLParser):
-    """The cells of the rows of the first table body of a page, as text.
+    """The cells of the rows of the first table body of a page, as text; parsing ends behind it.
 
     Rows outside any section make a body of their own.  Ends of cells and rows may be left out.  A table inside a
     cell is text of that cell.
@@ -67,13 +72,15 @@ class _FirstBody(HTMLParser):
 
     def _leave_section(self):
         self._end_cell()
-        self.section = "done" if self.section == "body" else None if self.section == "other" else self.section
+        if self.section == "body":
+            raise _Enough
+        self.section = None if self.section == "other" else self.section
 
     def handle_starttag(self, tag, attrs):
         self.hidden = tag in ("script", "style")
         if tag == "table":
             self.depth += 1
-        if self.depth != 1 or self.section == "done":
+        if self.depth != 1:
             if self.cell is not None:
                 self.handle_data(" ")
         elif tag in ("thead", "tbody", "tfoot"):
@@ -97,7 +104,7 @@ class _FirstBody(HTMLParser):
             self.depth -= 1
             if not self.depth:
                 self._end_cell()
-                self.section = "done"
+                raise _Enough
         elif self.depth == 1 and tag in ("td", "th", "tr"):
             self._end_cell()
         elif self.depth == 1 and tag in ("thead", "tbody", "tfoot"):
@@ -112,20 +119,28 @@ class _FirstBody(HTMLParser):
 
 def _body_rows(page: str | None) -> list[list[str]]:
     parser = _FirstBody()
-    parser.feed(page or "")
-    parser.close()
-    parser._end_cell()
+    try:
+        parser.feed(page or "")
+        parser.close()
+        parser._end_cell()
+    except _Enough:
+        pass
     return parser.rows
 
 
-def _pages_rows(pages: pd.Series) -> pd.Series:
-    return pages.map(_body_rows)
-
-
 def table_cells(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``cells``: one row per row of the first table body on each page, its cells as text."""
-    rows = F.pandas_udf(_pages_rows, "array<array<string>>")
-    return pages.select("*", F.explode(rows(F.col(html))).alias("cells")).drop(html)
+    kept = [c for c in pages.columns if c != html]
+    schema = T.StructType([*pages.select(*kept).schema.fields, T.StructField("cells", T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        for batch in batches:
+            found = [_body_rows(page.as_py()) for page in batch.column(len(kept))]
+            place = pa.array(np.repeat(np.arange(len(found)), [len(rows) for rows in found]))
+            cells = pa.array([row for rows in found for row in rows], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[c.take(place) for c in batch.columns[: len(kept)]], cells], names=[*kept, "cells"])
+
+    return pages.select(*kept, html).mapInArrow(run, schema)
 
 
 def earnings_rows(pages: DataFrame) -> DataFrame:
