@@ -53,8 +53,8 @@ def keyed_state(stream: DataFrame) -> DataFrame:
 def run_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Stream the arrivals stored under ``path`` through the keyed state; the state's last row per digest.
 
-    Progress, state and output lie in the shared folder, so a restarted run
-    goes on where the last one stopped.
+    Progress, state and output lie in the shared folder, so a lost executor
+    costs the micro-batch under way; each call is a stream of its own.
     """
     folder = shared_folder(spark, "exact-dedup")
     # The session's own values come back afterwards.

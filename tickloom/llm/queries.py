@@ -23,13 +23,15 @@ def op2_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's record in the archive, and what a decayed replica has done to it, found from the roots down."""
-    records = warc_fixity.archive(table(spark, sf_dir, "pages"))
-    whole = cut(records.select("page_id", "file", "offset", "length", F.sha2("record", 256).alias("digest")))
-    found = warc_fixity.audit(whole.drop("page_id"), warc_fixity.hashed(warc_fixity.damaged(records)))
-    return whole.join(found, ["file", "offset"], "left").select(
-        "page_id", "file", "offset", "length", "digest", F.coalesce("damage", F.lit("intact")).alias("state")
-    )
+    """Every record of two replicas of the pages' archive, and what decay has done to the second, found from the roots down."""
+    left = lambda made: F.sha2(warc_fixity.decayed(made), 256)
+    whole = cut(warc_fixity.listed(table(spark, sf_dir, "pages"), lost=warc_fixity.is_lost, repeated=warc_fixity.is_repeated, left=left))
+    other = cut(warc_fixity.damaged_list(whole))
+    found = warc_fixity.audit(whole.select("file", "offset", "length", "digest"), other)
+    here = whole.select("page_id", "file", "offset", "length", "digest").join(found, ["file", "offset"], "left")
+    extra = found.filter("damage = 'extra'").join(other, ["file", "offset"])
+    rows = here.unionByName(extra, allowMissingColumns=True)
+    return rows.select("page_id", "file", "offset", "length", "digest", F.coalesce("damage", F.lit("intact")).alias("state"))
 
 
 def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

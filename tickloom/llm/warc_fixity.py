@@ -10,6 +10,8 @@ at last tell what is damaged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.llm.common import cut
@@ -36,14 +38,32 @@ def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
 
     Pages go to files of some ``file_bytes`` by their hash, and follow one
     another there in order of page_id (null first), then of the record's hash.
-    Repeated rows are records like any other.
+    Repeated rows are records like any other; other columns are ignored.
+    """
+    return _placed(_measured(pages, record=lambda r: r), file_bytes).select("page_id", "file", "offset", "length", "record")
+
+
+def listed(pages: DataFrame, file_bytes: int = FILE_BYTES, **more: Callable[[Column], Column]) -> DataFrame:
+    """The archive without its bytes: page_id, file, offset, length, digest, and ``more`` columns made of the record.
+
+    Records are hashed where they are read; only hashes and numbers are shuffled.
     """
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("bigint")).withColumn("_key", F.sha2("record", 256))
+    rows = cut(_measured(pages, **more))
+    return _placed(rows, file_bytes).select("page_id", "file", "offset", "length", F.col("_key").alias("digest"), *more)
+
+
+def _measured(pages: DataFrame, **more: Callable[[Column], Column]) -> DataFrame:
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("_record"))
+    made = F.col("_record")
+    return rows.select("page_id", F.octet_length(made).cast("bigint").alias("length"), F.sha2(made, 256).alias("_key"), *[f(made).alias(name) for name, f in more.items()])
+
+
+def _placed(rows: DataFrame, file_bytes: int) -> DataFrame:
+    """``rows`` with their file and offset."""
     total = rows.agg(F.sum("length")).first()[0] or 0
     placed = rows.withColumn("file", F.pmod(F.xxhash64("_key"), F.lit(max(1, -(-total // file_bytes)))))
     before = Window.partitionBy("file").orderBy("page_id", "_key").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select("page_id", "file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "record")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
 def hashed(records: DataFrame) -> DataFrame:
@@ -118,9 +138,36 @@ def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     return a.join(b, ["file", "offset"], "full").filter("NOT (a <=> b)").select("file", "offset", damage.alias("damage"))
 
 
+def _draw(made: Column, of: int) -> Column:
+    return F.pmod(F.crc32(F.sha2(made, 256).cast("binary")), F.lit(of))
+
+
+def is_lost(made: Column) -> Column:
+    """Whether decay takes a record: about one in 500, by its hash."""
+    return _draw(made, 500) == 1
+
+
+def is_repeated(made: Column) -> Column:
+    """Whether a record is written to the replica's file a second time, behind all others: about one in 300."""
+    return _draw(made, 300) == 3
+
+
+def decayed(made: Column) -> Column:
+    """The bytes decay leaves of a record: about one in 200 has a byte changed."""
+    half = F.floor(F.octet_length(made) / 2).cast("int")
+    turned = F.concat(F.substring(made, F.lit(1), half), F.lit(b"#"), F.substring(made, half + 2, F.octet_length(made)))
+    return F.when(_draw(made, 200) == 2, turned).otherwise(made)
+
+
 def damaged(records: DataFrame) -> DataFrame:
-    """A replica with decay for trials: by their hash, about one record in 200 has a byte changed, one in 500 is gone."""
-    draw = F.crc32(F.sha2("record", 256).cast("binary"))
-    half = "cast(octet_length(record) div 2 as int)"
-    turned = F.expr(f"concat(substring(record, 1, {half}), X'23', substring(record, {half} + 2))")
-    return records.filter(F.pmod(draw, F.lit(500)) != 1).withColumn("record", F.when(F.pmod(draw, F.lit(200)) == 2, turned).otherwise(F.col("record")))
+    """A replica with decay for trials: some records changed, some gone, some written twice."""
+    end = records.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 0
+    again = records.filter(is_repeated(F.col("record"))).withColumn("offset", F.col("offset") + F.lit(end))
+    return records.filter(~is_lost(F.col("record"))).withColumn("record", decayed(F.col("record"))).unionByName(again)
+
+
+def damaged_list(found: DataFrame) -> DataFrame:
+    """What ``hashed`` gives of that replica, from ``listed`` with columns lost, repeated and left (the digest of the decayed record)."""
+    end = found.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 0
+    again = found.filter("repeated").select("file", (F.col("offset") + F.lit(end)).alias("offset"), "length", "digest")
+    return found.filter("NOT lost").select("file", "offset", "length", F.col("left").alias("digest")).unionByName(again)
