@@ -50,3 +50,33 @@ def test_an_anchor_that_is_never_closed_ends_with_its_block(anchor):
 def test_an_anchor_around_blocks_links_them_all():
     card = "<a href='/x'><h3>One</h3><p>two words</p></a>"
     assert [b[1] == b[2] for b in page_text.blocks(f"<div>{card}<p>not linked</p></div>")] == [True, True, False]
+
+
+@pytest.mark.parametrize("opening", [
+    '<section id="discussion">', '<section id="related-work">', '<section id="notices">', '<div class="social-science">', '<table class="ad-hoc">', '<div class="comments-off">',
+])
+def test_names_that_only_hold_a_word_of_furniture_mark_nothing(opening):
+    closing = "</" + opening[1:].split()[0] + ">"
+    assert text(f"<article><p>{LONG}</p>{opening}<p>{LONG}</p>{closing}</article>") == f"{ONE}\n\n{ONE}"
+
+
+@pytest.mark.parametrize("name", ["comments-list", "site-footer", "footer-links", "widget-area", "acme-sidebar", "newsletterSignup", "social share"])
+def test_names_of_furniture_with_words_around_still_mark_it(name):
+    assert text(f'<article><p>{LONG}</p><div class="{name}"><p>{LONG}</p></div></article>') == ONE
+
+
+def test_pages_without_any_sign_go_by_words_and_links():
+    """The table's pages with section elements and attributes taken out: the neighbours decide, no foreign block, few blocks lost."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = [p["html"] for p in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    foreign, kept, all_, equal = 0, 0, 0, 0
+    for page in pages:
+        bare = re.sub(r"<(/?)(?:nav|header|footer|aside|article|main|section|form)\b[^>]*>", r"<\1div>", page)
+        bare = re.sub(r"<div [^>]*>", "<div>", bare)
+        want, got = text(page).split("\n\n"), text(bare).split("\n\n")
+        foreign += any(b not in want for b in got)
+        kept, all_, equal = kept + sum(b in got for b in want), all_ + len(want), equal + (got == want)
+    assert foreign <= len(pages) / 10 and kept >= 0.95 * all_ and equal >= len(pages) / 2

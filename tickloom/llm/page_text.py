@@ -30,10 +30,11 @@ LABELLED = [
     (40, 0.0, 40, 0.0, 1, 1.0, 1, 1), (2, 0.0, 40, 0.0, 4, 1.0, 1, 1), (6, 0.0, 60, 0.0, 2, 1.0, 1, 1), (90, 0.0, 2, 1.0, 3, 1.0, 1, 1),
     (45, 0.0, 3, 0.0, 2, 0.6, 1, 1), (110, 0.0, 1, 0.0, 30, 0.9, 1, 1), (1, 0.0, 5, 1.0, 80, 0.0, 1, 1), (16, 0.0, 0, 0.0, 0, 0.0, 1, 1),
     (400, 0.0, 0, 0.0, 0, 0.0, 1, 1), (7, 0.0, 7, 0.9, 7, 0.9, 1, 1), (30, 0.4, 2, 0.0, 4, 1.0, 1, 1), (4, 0.25, 90, 0.0, 90, 0.0, 1, 1),
+    (1, 0.0, 12, 1.0, 3, 0.0, 1, 1), (2, 0.0, 3, 1.0, 4, 0.0, 1, 1), (8, 0.0, 90, 1.0, 3, 0.0, 1, 1), (25, 0.0, 6, 1.0, 3, 0.0, 1, 1), (60, 0.1, 3, 1.0, 3, 0.0, 1, 1),
     # Headings, paragraphs and short lines of an article that are wholly a link.
     (4, 1.0, 0, 0.0, 60, 0.0, 1, 1), (6, 1.0, 0, 0.0, 12, 0.0, 1, 1), (8, 1.0, 0, 0.0, 90, 0.02, 1, 1), (4, 1.0, 60, 0.0, 60, 0.0, 1, 1), (9, 1.0, 40, 0.0, 12, 0.0, 1, 1),
     (20, 1.0, 60, 0.0, 0, 0.0, 1, 1), (3, 1.0, 90, 0.0, 2, 0.0, 1, 1), (12, 0.95, 30, 0.1, 45, 0.3, 1, 1), (2, 1.0, 12, 0.0, 8, 0.0, 1, 1), (5, 1.0, 8, 0.5, 0, 0.0, 1, 1),
-    (7, 1.0, 0, 0.0, 3, 0.6, 1, 1), (10, 1.0, 0, 0.0, 0, 0.0, 1, 1), (1, 1.0, 5, 0.6, 200, 0.0, 1, 1), (60, 1.0, 90, 0.0, 90, 0.0, 1, 1),
+    (1, 1.0, 0, 0.0, 40, 0.0, 1, 1), (2, 1.0, 0, 0.0, 20, 0.0, 1, 1), (7, 1.0, 0, 0.0, 3, 0.6, 1, 1), (10, 1.0, 0, 0.0, 0, 0.0, 1, 1), (1, 1.0, 5, 0.6, 200, 0.0, 1, 1), (60, 1.0, 90, 0.0, 90, 0.0, 1, 1),
     # Lists of links inside an article.
     (6, 1.0, 0, 0.0, 5, 1.0, 1, 0), (3, 1.0, 5, 1.0, 0, 0.0, 1, 0), (4, 1.0, 4, 1.0, 60, 0.0, 1, 0), (7, 1.0, 3, 1.0, 30, 0.0, 1, 0), (5, 1.0, 90, 0.0, 4, 0.95, 1, 0), (5, 1.0, 4, 0.95, 90, 0.0, 1, 0),
     (4, 1.0, 60, 0.0, 5, 1.0, 1, 0), (5, 1.0, 4, 1.0, 3, 1.0, 1, 0), (9, 1.0, 5, 1.0, 12, 0.0, 1, 0), (2, 1.0, 40, 0.0, 3, 1.0, 1, 0), (12, 0.95, 10, 1.0, 8, 1.0, 1, 0),
@@ -44,6 +45,16 @@ LABELLED = [
     (26, 0.25, 90, 0.0, 40, 0.0, 0, 1), (7, 0.0, 30, 0.0, 25, 0.0, 0, 1), (40, 0.0, 2, 0.0, 3, 1.0, 0, 1), (40, 0.0, 60, 0.0, 2, 1.0, 0, 1),
     (25, 0.0, 60, 0.0, 3, 1.0, 0, 1), (120, 0.05, 3, 1.0, 3, 1.0, 0, 1), (30, 0.1, 1, 1.0, 1, 1.0, 0, 1), (45, 0.0, 1, 0.0, 2, 1.0, 0, 1),
     (70, 0.0, 5, 0.0, 1, 0.5, 0, 1), (55, 0.0, 0, 0.0, 4, 1.0, 0, 1), (250, 0.0, 1, 1.0, 0, 0.0, 0, 1), (24, 0.0, 24, 0.0, 24, 0.9, 0, 1),
+    # A notice between the menu and the heading, the heading behind it, and the line at the page's foot.
+    (8, 0.0, 1, 1.0, 12, 0.0, 0, 0), (10, 0.0, 1, 1.0, 14, 0.0, 0, 0), (14, 0.0, 1, 1.0, 11, 0.0, 0, 0), (6, 0.0, 1, 1.0, 13, 0.0, 0, 0), (11, 0.0, 2, 1.0, 9, 0.0, 0, 0),
+    (17, 0.0, 1, 1.0, 13, 0.0, 0, 0), (13, 0.0, 3, 1.0, 16, 0.0, 0, 0), (12, 0.0, 10, 0.0, 90, 0.0, 0, 1), (14, 0.0, 8, 0.0, 40, 0.0, 0, 1), (13, 0.0, 9, 0.0, 20, 0.0, 0, 1),
+    (11, 0.0, 15, 0.0, 30, 0.0, 0, 1), (16, 0.0, 6, 0.0, 18, 0.0, 0, 1), (12, 0.0, 90, 0.0, 0, 0.0, 0, 0), (10, 0.0, 60, 0.0, 0, 0.0, 0, 0), (16, 0.0, 200, 0.0, 0, 0.0, 0, 0),
+    (14, 0.0, 30, 0.0, 0, 0.0, 0, 0), (11, 0.0, 18, 0.0, 0, 0.0, 0, 0), (18, 0.0, 120, 0.0, 0, 0.0, 0, 0), (19, 0.0, 60, 0.0, 12, 0.0, 0, 1), (16, 0.0, 20, 0.0, 14, 0.0, 0, 1),
+    (12, 0.0, 0, 0.0, 60, 0.0, 0, 1), (13, 0.0, 1, 1.0, 80, 0.0, 0, 1), (11, 0.0, 1, 1.0, 45, 0.0, 0, 1),
+    # Short paragraphs and headings among other text.
+    (6, 0.0, 8, 0.0, 13, 0.0, 0, 1), (13, 0.0, 6, 0.0, 68, 0.0, 0, 1), (8, 0.0, 26, 0.0, 11, 0.0, 0, 1), (11, 0.0, 8, 0.0, 49, 0.0, 0, 1), (1, 0.0, 61, 0.0, 3, 0.0, 0, 1),
+    (3, 0.0, 5, 0.0, 48, 0.0, 0, 1), (2, 0.0, 12, 0.0, 19, 0.0, 0, 1), (4, 0.0, 35, 0.0, 15, 0.0, 0, 1), (9, 0.0, 10, 0.0, 8, 0.0, 0, 1), (2, 0.0, 9, 0.0, 32, 0.0, 0, 1),
+    (14, 0.0, 24, 0.0, 43, 0.0, 0, 1), (6, 0.0, 13, 0.0, 9, 0.0, 0, 1), (12, 0.0, 54, 0.0, 4, 0.0, 0, 1), (5, 0.0, 74, 0.0, 4, 0.0, 0, 1), (4, 0.0, 5, 0.0, 12, 0.0, 0, 1),
     # And their menus, captions, notes and feet.
     (1, 1.0, 0, 0.0, 2, 1.0, 0, 0), (3, 1.0, 1, 1.0, 1, 1.0, 0, 0), (30, 0.9, 2, 1.0, 5, 0.8, 0, 0), (60, 0.7, 4, 1.0, 20, 0.9, 0, 0),
     (4, 0.0, 1, 1.0, 3, 1.0, 0, 0), (6, 0.0, 70, 0.0, 0, 0.0, 0, 0), (10, 0.1, 60, 0.0, 3, 1.0, 0, 0), (12, 0.5, 3, 1.0, 10, 0.6, 0, 0),
@@ -62,6 +73,11 @@ FURNITURE = set(
 # Of these, words of texts that are never the page's own, and words of the page's frame, which may be put on what holds the article.
 OTHERS = set("ad ads adv advert adverts advertisement advertising advertorial sponsored related recommended recommendations comment comments reply replies respond discussion disqus".split())
 FRAME = set("sidebar nav navbar navigation menu footer foot header masthead topbar toolbar banner breadcrumb breadcrumbs pagination pager search login widget widgets".split())
+# Words behind which a name says what it is: comments-list is comments, comments-off is not, nor is social-science.
+PLACE = set(
+    "area bar block blocks body bottom box button buttons cell col column content count desktop fixed form global group header heading holder icon icons inner item items "
+    "label left line link links list main mobile module outer page panel primary right row secondary section sections site sticky tag text title top unit wrap wrapper".split()
+)
 # Parts of class names that tell of a layout, and ends of names of what holds content and furniture.
 LAYOUT, WRAP = set("has have with without no layout".split()), set("wrap wrapper container grid row".split())
 CONTENT = set("article content entry post story main maintext bodytext articlebody".split())
@@ -79,6 +95,7 @@ _MARK = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ID = re.compile(r"""\bid\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HREF = re.compile(r"\bhref\s*=", re.I)
@@ -88,6 +105,14 @@ _HREF = re.compile(r"\bhref\s*=", re.I)
 NEVER, UNLESS_ARTICLE, UNLESS_CONTENT, NOTHING, CONTENT_CLASS, ARTICLE = -3, -2, -1, 0, 1, 2
 
 
+def _head(parts: list[str]) -> set[str]:
+    """The words of a class name if it names furniture, else none: what stands before words of place must be furniture."""
+    end = len(parts)
+    while end > 1 and parts[end - 1] in PLACE and not parts[end - 1] in FURNITURE - {"header"}:
+        end -= 1
+    return set(parts) if parts and parts[end - 1] in FURNITURE else set(parts) - FURNITURE
+
+
 def _wrapper(parts: set[str]) -> bool:
     """Whether the parts of one class name are a layout's, such as has-sidebar or content-sidebar-wrap."""
     return bool(parts & LAYOUT or parts & WRAP and parts & CONTENT)
@@ -105,9 +130,11 @@ def _zone(tag: str, attrs: str, inside: bool) -> int:
         return ARTICLE
     if not attrs or tag in ("html", "body"):
         return ARTICLE if tag == "article" else NOTHING
-    whole = [{n.lower() for n in _PART.findall(name)} for found in _NAMES.findall(attrs) for name in "".join(found).split()]
+    # A section's id is its heading's, not a kind of section.
+    said = attrs if tag != "section" or not inside else _ID.sub(" ", attrs)
+    whole = [_head([n.lower() for n in _PART.findall(name)]) for found in _NAMES.findall(said) for name in "".join(found).split()]
     if tag == "article":
-        return NEVER if any(name and name <= OTHERS for name in whole) else ARTICLE
+        return NEVER if any(name and name & FURNITURE and name <= OTHERS for name in whole) else ARTICLE
     names = set().union(*(name for name in whole if not _wrapper(name)))
     if names & FURNITURE and not (inside and names & FURNITURE <= {"header", "main", "content"}):
         return NEVER if names & OTHERS else UNLESS_CONTENT if names & FURNITURE <= FRAME else UNLESS_ARTICLE
