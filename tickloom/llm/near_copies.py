@@ -1,43 +1,51 @@
-"""Near copies by their sets of word shingles: SimHash picks the pairs, whole sets decide.
-
-Two sets are near copies if they share NEAR = 4/5 of their union.  Put in one
-order, the first n - ceil(4n/5) + 1 shingles of both then hold a common one, so
-only these are exchanged: texts meet by a shingle.  The order is by frequency
-in a sample, then by hash: any order lets all near copies meet, this one lets
-few strangers meet.
-
-What meets is not yet a pair.  Sizes and places in the order rule strangers
-out, then the SimHash of the sets, 128 bits: near copies of 0.8 differ in 19 of
-them with a deviation of 4, strangers in 64 with one of 6, and beyond FAR = 40
-bits nothing is paired (a near copy in ten million).  Pairs are compared by
-their whole sets.
-
-Texts that meet are first paired with one of them, their first: a crowd of
-copies makes as many pairs as it has members.  Only texts that are then in
-different components are compared with one another, within their task, and only
-pairs that pass leave it.
+"""Near copies by their sets of word shingles: SimHash balls pick the pairs, whole sets decide.
+
+Two sets are near copies if they share NEAR = 4/5 of their union.  A set has a
+SimHash of 2,048 bits, cut into BANDS of 32.  Around each band lies the ball of
+values within HALF = 1 bit of it; bands whose balls share a value differ in at
+most 2 bits, and what they belong to meets (``simhash.meetings``).  Near copies
+of 0.8 differ in 15 bits of 100, so one band in eight meets and all 64 fail to
+once in some thousands; strangers meet in a band once in 8 million.  Another
+word of the fingerprint rules nearly all of those out.  Sets of four and five
+differ in more bits, so these meet by the four they share as well.
+
+Texts that meet, directly or through others, are a crowd.  Each is compared
+with the likeliest one it meets; then, in crowds that are not yet one
+component, all members of different components that sizes and fingerprints
+don't rule out.  That goes by blocks of a crowd, and a task gives no pair that
+its whole sets don't confirm, and none that others imply.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import chain
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
 
+from tickloom.llm import simhash
 from tickloom.llm.common import components, cut, in_rows, located, shared_folder, text_of
 
 WORDS = 5
 NEAR, OF = 4, 5
 SEED = 42
-# Bits of the fingerprint in which a pair may differ.
+# Bits of the fingerprint's first two words in which near copies may differ, and of any one word.
 FAR = 40
-# Members of one shingle that a task compares with as many others at a time.
-BLOCK = 4096
-# Bounds of the sample that shingles are ordered by; they cost time, not pairs.
-SAMPLED_TEXTS, COMMON_AT_LEAST, COMMON_SHINGLES = 10_000, 4, 100_000
+FAR_IN_WORD = 22
+# Words of 64 bits, bands of 32, and the radius of a band's ball.
+PRINT_WORDS = 32
+BANDS, BAND_BITS = 64, 32
+HALF = 1
+# Values of the balls that a task compares, and so many at once.
+VALUES_PER_TASK, AT_ONCE = 8_000_000, 1_000_000
+# So many that share a value are compared with one another; more are no strangers, and all go with the first.
+FEW = 32
+# Members of a crowd that a task compares with as many others.
+BLOCK = 512
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -58,96 +66,156 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return (OF + NEAR) * len(np.intersect1d(a, b, True)) >= NEAR * (len(a) + len(b))
 
 
-def prints_of(found: np.ndarray) -> tuple[int, int]:
-    """SimHash of a set of hashes in two signed 64-bit halves: a bit is set if it is in more than half of them."""
-    halves = []
-    for h in (found, (found ^ (found >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(h), 8192):
-            counts += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        halves.append(int(np.packbits(counts * 2 > len(h)).view("<i8")[0]))
-    return halves[0], halves[1]
+def simhash_words(found: np.ndarray, count: int = PRINT_WORDS) -> np.ndarray:
+    """SimHash of a set of hashes in words of 64 bits, each by hashes of its own: a bit is set if it is in more than half of them."""
+    seeds = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * count, np.int64)
+    # A byte holds the count of a bit in up to 255 hashes; eight are added at a time.
+    for at in range(0, len(found), 255):
+        h = found[at : at + 255, None] + seeds
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1)
+        counts += np.add.reduce(bits.view(np.uint64), axis=0).view(np.uint8)
+    return np.packbits(counts * 2 > len(found)).view("<u8")
 
 
-def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the shingles that are frequent in a sample of the texts; hashes ascending."""
-    step = max(1, rows.count() // SAMPLED_TEXTS)
-    sample = rows.select("text").filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(step)) == 0)
+def prints_of(found: np.ndarray) -> tuple[int, int]:
+    """The first two words of the fingerprint, signed."""
+    return tuple(simhash_words(found, 2).view(np.int64).tolist())
 
-    def run(batches):
-        for batch in in_rows(batches, 500):
-            sets = [shingles(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["shingle"])
 
-    counts = sample.mapInArrow(run, "shingle bigint").groupBy("shingle").count().filter(F.col("count") >= COMMON_AT_LEAST)
-    found = counts.orderBy(F.col("count").desc(), "shingle").limit(COMMON_SHINGLES).collect()
-    hashes = np.array([r[0] for r in found], np.int64).view(np.uint64)
-    by = np.argsort(hashes)
-    return hashes[by], np.array([r[1] for r in found], np.int64)[by]
+def digest(found: np.ndarray) -> bytes:
+    return blake2b(found.tobytes(), digest_size=16).digest()
+
 
+def fours(found: np.ndarray) -> list[bytes]:
+    """Digests of the sets of four in a set of four or five, none for others."""
+    if len(found) == NEAR:
+        return [digest(found)]
+    return [digest(np.delete(found, k)) for k in range(OF)] if len(found) == OF else []
 
-def prints(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, locator and text with the number of shingles, both halves of the fingerprint and the shingles to meet by, in the common order."""
-    hashes, counts = common
 
-    def first(found: np.ndarray) -> np.ndarray:
-        if len(hashes):
-            spot = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-            found = found[np.lexsort((found, np.where(hashes[spot] == found, counts[spot], 0)))]
-        return found[: len(found) - -(-NEAR * len(found) // OF) + 1].view(np.int64)
+def prints(rows: DataFrame) -> DataFrame:
+    """doc_id, locator and text with the number of shingles, a digest of their set, its sets of four and the words of its fingerprint."""
 
     def run(batches):
         for batch in in_rows(batches, 500):
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
-            halves = [prints_of(s) for s in sets]
-            columns = [pa.array([len(s) for s in sets], pa.int32()), *[pa.array([h[k] for h in halves], pa.int64()) for k in (0, 1)], pa.array([first(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["doc_id", "locator", "text", "n", "f", "g", "meet"])
-
-    return rows.mapInArrow(run, "doc_id bigint, locator string, text string, n int, f bigint, g bigint, meet array<bigint>")
-
-
-def met(found: DataFrame) -> DataFrame:
-    """(shingle, node, n, place, first): the texts that meet others by a shingle, and the least of them."""
-    records = found.select("node", "n", F.posexplode("meet").alias("place", "shingle"))
-    # Counted before the shuffle as far as a task goes; shingles of one text only, nearly all, go no further.
-    several = records.groupBy("shingle").agg(F.count("*").alias("members"), F.min("node").alias("first")).filter("members > 1")
-    return records.join(several.drop("members"), "shingle")
-
+            words = np.concatenate([np.empty(0, np.uint64), *map(simhash_words, sets)]).view(np.int64)
+            places = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PRINT_WORDS)
+            columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array(map(digest, sets), pa.binary()), pa.array(map(fours, sets), pa.list_(pa.binary())), pa.ListArray.from_arrays(places, pa.array(words))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["doc_id", "locator", "text", "n", "digest", "fours", "words"])
 
-def likely(a: str, b: str) -> Column:
-    """Whether two texts may be near copies by their sizes and fingerprints; SQL names of their columns' prefixes."""
-    sizes = (OF * F.least(f"{a}n", f"{b}n").cast("bigint") >= NEAR * F.greatest(f"{a}n", f"{b}n").cast("bigint"))
-    bits = F.bit_count(F.col(f"{a}f").bitwiseXOR(F.col(f"{b}f"))) + F.bit_count(F.col(f"{a}g").bitwiseXOR(F.col(f"{b}g")))
-    return sizes & (bits <= FAR)
+    return rows.mapInArrow(run, "doc_id bigint, locator string, text string, n int, digest binary, fours array<binary>, words array<bigint>")
 
 
-def first_pairs(meeting: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each text and the first text it meets, one per shingle at most."""
-    pairs = meeting.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    for side in "ab":
-        pairs = pairs.join(found.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}{c}") for c in "nfg"]), side)
-    return pairs.filter(likely("a", "b")).select("a", "b")
+def meetings(found: DataFrame, count: int) -> DataFrame:
+    """Links (a, b, bits) between ``count`` sets, as many as join all that meet; ``bits`` tell how far they differ in one word.
 
+    A band is sent to each prefix its ball reaches, as in ``simhash.links``;
+    the number of prefix bits follows from ``count``.
+    """
+    prefix_bits = min(20, max(0, ceil(log2(max(1, count) * (BAND_BITS + 1) / VALUES_PER_TASK))))
+    low_bits = BAND_BITS - prefix_bits
+    turned = np.concatenate(simhash.flips(prefix_bits, HALF)).astype(np.int64)
+    per_text = BANDS * len(turned)
+    beside = (np.arange(BANDS) // 2 + 1) % PRINT_WORDS
+
+    def send(batches):
+        for batch in in_rows(batches):
+            words = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, PRINT_WORDS)
+            bands = words.view(np.uint32)
+            to = (bands.astype(np.int64) >> low_bits)[:, :, None] ^ turned
+            keys = (np.arange(BANDS)[:, None] << prefix_bits | to).ravel()
+            columns = [np.repeat(batch.column(0).to_numpy(), per_text), np.repeat(bands.view(np.int32).ravel(), len(turned)), np.repeat(words[:, beside].view(np.int64).ravel(), len(turned))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *map(pa.array, columns)], names=["key", "node", "band", "word"])
+
+    def meet(key, table):
+        node, band, word = (table.column(c).to_numpy() for c in ("node", "band", "word"))
+        by = np.argsort(node)
+        node, band, word = node[by], band[by].view(np.uint32).astype(np.uint64), word[by].view(np.uint64)
+        head = np.uint64(key[0].as_py() & ((1 << prefix_bits) - 1))
+        moved = np.bitwise_count((band >> np.uint64(low_bits)) ^ head).astype(np.int64)
+        rest = band & np.uint64((1 << low_bits) - 1)
+        found = [np.empty(0, np.int64)]
+        for group, owner in simhash.meetings(np.arange(len(node)), moved, rest, low_bits, HALF, AT_ONCE):
+            found += _pairs_of(group, owner, word, len(node))
+        a, b = np.divmod(np.unique(np.concatenate(found)), max(1, len(node)))
+        bits = np.bitwise_count(word[a] ^ word[b])
+        nearest = np.argsort(bits, kind="stable")
+        kept = simhash.forest(np.stack([a, b], axis=1)[nearest]).astype(np.int64)
+        bits = np.bitwise_count(word[kept[:, 0]] ^ word[kept[:, 1]]).astype(np.int32)
+        return pa.table({"a": pa.array(node[kept[:, 0]]), "b": pa.array(node[kept[:, 1]]), "bits": pa.array(bits)})
+
+    sent = found.select("node", "words").mapInArrow(send, "key int, node bigint, band int, word bigint")
+    links = sent.groupBy("key").applyInArrow(meet, "a bigint, b bigint, bits int")
+    records = found.select("node", F.explode("fours").alias("four"))
+    firsts = records.groupBy("four").agg(F.min("node").alias("a"), F.count("*").alias("members")).filter("members > 1")
+    small = records.join(firsts, "four").filter("node <> a").select("a", F.col("node").alias("b"), F.lit(FAR_IN_WORD).alias("bits"))
+    return links.union(small).groupBy("a", "b").agg(F.min("bits").alias("bits"))
+
+
+def _pairs_of(group: np.ndarray, owner: np.ndarray, word: np.ndarray, size: int) -> list[np.ndarray]:
+    """Codes a * size + b, a < b, of owners of one group that may be near copies by ``word``; all of a large group with its first."""
+    by = np.lexsort((owner, group))
+    group, owner = group[by], owner[by]
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    members = np.diff(np.append(starts, len(group)))
+    first, members = np.repeat(owner[starts], members), np.repeat(members, members)
+    large = (members > FEW) & (owner != first)
+    found = [first[large] * size + owner[large]]
+    few = members <= FEW
+    group, owner = group[few], owner[few]
+    at = np.arange(len(group))
+    for step in range(1, FEW):
+        at = at[at + step < len(group)]
+        at = at[group[at + step] == group[at]]
+        a, b = owner[at], owner[at + step]
+        near = np.bitwise_count(word[a] ^ word[b]) <= FAR_IN_WORD
+        found.append(a[near] * size + b[near])
+    return found
+
+
+def likeliest(links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text and the one it differs from in the fewest bits."""
+    both = links.select(F.col("a").alias("node"), "bits", F.col("b").alias("other")).union(links.select("b", "bits", "a"))
+    best = both.groupBy("node").agg(F.min(F.struct("bits", "other"))["other"].alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def other_pairs(crowds: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Near copies (a, b) in one crowd (node, crowd) but different components, as many as join these.
+
+    A crowd's members are cut in blocks, and a task compares two blocks: its
+    memory is bounded, and what it gives are links its sets confirm.
+    """
+    rows = crowds.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
+    apart = rows.groupBy("crowd").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    rows = rows.join(apart.select("crowd", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks")), "crowd")
+    rows = rows.join(found.select("node", "n", F.col("words")[0].alias("f"), F.col("words")[1].alias("g"), "text"), "node")
 
-def other_pairs(meeting: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) that meet in different components and may be near copies by size, place and fingerprint.
+    def with_sets(batches):
+        for batch in in_rows(batches, 500):
+            sets = [shingles(t).view(np.int64) for t in batch.column(7).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(sets, pa.list_(pa.int64()))], names=["crowd", "blocks", "node", "n", "root", "f", "g", "set"])
 
-    A shingle's members are cut in blocks, and a task compares two blocks: its
-    memory is bounded, and what it gives are the pairs that pass.
-    """
-    rows = meeting.select("shingle", "node", "n", "place").join(roots, "node", "left").select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-    apart = rows.groupBy("shingle").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    rows = rows.join(apart.select("shingle", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks")), "shingle")
-    rows = rows.join(found.select("node", "f", "g"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("crowd", "blocks", "node", "n", "root", "f", "g", "text").mapInArrow(
+        with_sets, "crowd bigint, blocks int, node bigint, n int, root bigint, f bigint, g bigint, set array<bigint>"
+    ).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     with_others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
-    rows = rows.withColumn("task", F.explode(with_others)).select("shingle", "task.low", "task.high", "block", "node", "n", "place", "root", "f", "g")
+    # Any shingle of two sets may be the first they share: their places are 0.
+    rows = rows.withColumn("task", F.explode(with_others)).select(
+        F.col("crowd").alias("shingle"), "task.low", "task.high", "block", "node", "n", F.lit(0).alias("place"), "root", "f", "g", "set"
+    )
 
     def run(batches):
         for a, b in _compared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     tasks = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
-    return tasks.mapInArrow(run, "a bigint, b bigint").distinct()
+    return tasks.mapInArrow(run, "a bigint, b bigint")
 
 
 def _compared(batches):
@@ -172,23 +240,36 @@ def _compared(batches):
 
 
 def _run_pairs(m: dict[str, np.ndarray]):
-    """Pairs of one run: members of its two blocks, or of its only one, in different components."""
+    """Pairs of one run: members of its two blocks, or of its only one, in different components.
+
+    Where the run holds their sets, only pairs that are near copies, none that others of the run imply.
+    """
     same = m["low"][0] == m["high"][0]
     f, g = m["f"].view(np.uint64), m["g"].view(np.uint64)
-    n, place = m["n"].astype(np.int64), m["place"].astype(np.int64)
+    n, place, root = m["n"].astype(np.int64), m["place"].astype(np.int64), m["root"].copy()
     left = np.arange(len(n)) if same else np.flatnonzero(m["block"] == m["low"][0])
     right = left if same else np.flatnonzero(m["block"] == m["high"][0])
     for k, i in enumerate(left.tolist()):
         j = right[k + 1 :] if same else right
-        j = j[m["root"][j] != m["root"][i]]
+        j = j[root[j] != root[i]]
         # The shingle they meet by may be the first they share: so many at most, then.
         most = np.minimum(n[i] - place[i], n[j] - place[j])
         j = j[(OF + NEAR) * most >= NEAR * (n[i] + n[j])]
         j = j[np.bitwise_count(f[i] ^ f[j]).astype(np.int64) + np.bitwise_count(g[i] ^ g[j]) <= FAR]
+        if "set" in m:
+            j = np.array([x for x in j.tolist() if _joins(m["set"], root, i, x)], np.int64)
         if len(j):
             yield np.full(len(j), m["node"][i]), m["node"][j]
 
 
+def _joins(sets: np.ndarray, root: np.ndarray, i: int, j: int) -> bool:
+    """Whether the near copies i and j are in different components; ``root`` has one then."""
+    if root[i] == root[j] or not alike(sets[i], sets[j]):
+        return False
+    root[root == root[j]] = root[i]
+    return True
+
+
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) that are near copies by their whole sets of shingles."""
 
@@ -214,15 +295,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     rows = located(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "locator", text_of().alias("text"))
     folder = shared_folder(spark, "near-copies")
-    prints(rows, common_shingles(rows)).withColumn("node", F.monotonically_increasing_id()).write.parquet(f"{folder}/prints")
+    prints(rows).withColumn("node", F.monotonically_increasing_id()).write.parquet(f"{folder}/prints")
     found = spark.read.parquet(f"{folder}/prints")
-    met(found).write.parquet(f"{folder}/met")
-    meeting = spark.read.parquet(f"{folder}/met")
-    links = cut(verified(cut(first_pairs(meeting, found)), found))
-    roots = components(links)
-    more = cut(verified(cut(other_pairs(meeting, found, roots)), found))
-    if more.limit(1).count():
-        roots = components(links.union(more))
-    linked = cut(found.select("node", "doc_id", "locator").join(roots, "node"))
+    # Equal sets are one; its first text stands for it.
+    firsts = cut(found.groupBy("digest").agg(F.min("node").alias("first"), F.count("*").alias("copies")))
+    sets = found.join(firsts.select(F.col("first").alias("node")), "node")
+    meetings(sets, firsts.count()).write.parquet(f"{folder}/meetings")
+    met = spark.read.parquet(f"{folder}/meetings")
+    links = cut(verified(cut(likeliest(met)), found))
+    crowds = components(met).withColumnRenamed("root", "crowd")
+    more = cut(other_pairs(crowds, found, components(links)))
+    roots = components(links.union(more)).withColumnRenamed("node", "first")
+    named = found.select("node", "doc_id", "locator", "digest").join(firsts, "digest").join(roots, "first", "left").filter("copies > 1 OR root IS NOT NULL")
+    linked = cut(named.select("doc_id", "locator", F.coalesce("root", "first").alias("root")))
     smallest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return linked.join(smallest, "root").select("doc_id", "locator", "component_id")

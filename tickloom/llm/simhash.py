@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, locator string, fp bigint")
 
 
-def _flips(bits: int, at_most: int) -> list[np.ndarray]:
+def flips(bits: int, at_most: int) -> list[np.ndarray]:
     """By number of flipped bits, all masks over the lowest ``bits`` bits."""
     out = []
     for k in range(at_most + 1):
@@ -81,7 +81,7 @@ def _flips(bits: int, at_most: int) -> list[np.ndarray]:
     return out
 
 
-def _forest(pairs: np.ndarray) -> np.ndarray:
+def forest(pairs: np.ndarray) -> np.ndarray:
     """The pairs without those that earlier ones imply."""
     parent: dict[int, int] = {}
 
@@ -100,7 +100,7 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return np.array(kept, np.uint64).reshape(-1, 2)
 
 
-def _meetings(fps, moved, rest, bits, half, limit):
+def meetings(fps, moved, rest, bits, half, limit):
     """Yield (value, fingerprint) arrays of values that several fingerprints share, for values that begin alike.
 
     ``moved`` counts the bits a fingerprint differs from that beginning, ``rest`` holds its other ``bits`` bits.
@@ -114,9 +114,9 @@ def _meetings(fps, moved, rest, bits, half, limit):
             now = moved + np.bitwise_count((rest >> np.uint64(down)) ^ np.uint64(head))
             near = now <= half
             if near.sum() > 1:
-                yield from _meetings(fps[near], now[near], rest[near] & np.uint64((1 << down) - 1), down, half, limit)
+                yield from meetings(fps[near], now[near], rest[near] & np.uint64((1 << down) - 1), down, half, limit)
         return
-    low = _flips(bits, half)
+    low = flips(bits, half)
     values, owners = [], []
     for k in range(half + 1):
         mine = np.flatnonzero(moved == k)
@@ -144,7 +144,7 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, values_per_task
     ball = sum(comb(64, k) for k in range(half + 1))
     prefix_bits = min(30, max(8, ceil(log2(max(1, count) * ball / values_per_task))))
     low_bits = 64 - prefix_bits
-    turned = np.concatenate(_flips(prefix_bits, half)).astype(np.int64)
+    turned = np.concatenate(flips(prefix_bits, half)).astype(np.int64)
 
     def send(batches):
         for batch in batches:
@@ -159,14 +159,14 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, values_per_task
         fps = np.unique(table.column("fp").to_numpy()).view(np.uint64)
         moved = np.bitwise_count((fps >> np.uint64(low_bits)) ^ np.uint64(key[0].as_py())).astype(np.int64)
         found = [np.empty((0, 2), np.uint64)]
-        for group, owner in _meetings(fps, moved, fps & np.uint64((1 << low_bits) - 1), low_bits, half, 2 * values_per_task):
+        for group, owner in meetings(fps, moved, fps & np.uint64((1 << low_bits) - 1), low_bits, half, 2 * values_per_task):
             by = np.lexsort((owner, group))
             group, owner = group[by], owner[by]
             first = np.concatenate(([True], group[1:] != group[:-1]))
             head = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
             pairs = np.unique(np.stack([head, owner], axis=1)[~first], axis=0)
             found.append(pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius])
-        pairs = _forest(np.unique(np.concatenate(found), axis=0))
+        pairs = forest(np.unique(np.concatenate(found), axis=0))
         a, b = (np.ascontiguousarray(pairs[:, i]).view(np.int64) for i in (0, 1))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
