@@ -138,7 +138,7 @@ def test_a_crowd_gives_no_more_links_than_it_has_members(spark, monkeypatch, blo
     rows = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "doc_id bigint, locator string, text string")
     found = near_copies.prints(rows).withColumn("node", F.col("doc_id"))
     crowds = found.select("node", F.lit(0).cast("bigint").alias("crowd"))
-    pairs = near_copies.other_pairs(crowds, found, spark.createDataFrame([], "node bigint, root bigint")).collect()
+    pairs = near_copies.linked_in(crowds, found).collect()
     blocks = -(-len(texts) // block)
     assert len(pairs) < blocks * len(texts)
     assert all(likeness(texts[r.a], texts[r.b]) >= 0.8 for r in pairs)

@@ -9,11 +9,10 @@ once in some thousands; strangers meet in a band once in 8 million.  Another
 word of the fingerprint rules nearly all of those out.  Sets of four and five
 differ in more bits, so these meet by the four they share as well.
 
-Texts that meet, directly or through others, are a crowd.  Each is compared
-with the likeliest one it meets; then, in crowds that are not yet one
-component, all members of different components that sizes and fingerprints
-don't rule out.  That goes by blocks of a crowd, and a task gives no pair that
-its whole sets don't confirm, and none that others imply.
+Texts that meet, directly or through others, are a crowd.  Its members are
+compared where sizes and fingerprints don't rule it out and they are not yet
+linked.  That goes by blocks of a crowd, and a task gives no pair that its
+whole sets don't confirm, and none that others imply.
 """
 
 from __future__ import annotations
@@ -112,7 +111,7 @@ def prints(rows: DataFrame) -> DataFrame:
 
 
 def meetings(found: DataFrame, count: int) -> DataFrame:
-    """Links (a, b, bits) between ``count`` sets, as many as join all that meet; ``bits`` tell how far they differ in one word.
+    """Links (a, b) between ``count`` sets, as many as join all that meet.
 
     A band is sent to each prefix its ball reaches, as in ``simhash.links``;
     the number of prefix bits follows from ``count``.
@@ -143,18 +142,15 @@ def meetings(found: DataFrame, count: int) -> DataFrame:
         for group, owner in simhash.meetings(np.arange(len(node)), moved, rest, low_bits, HALF, AT_ONCE):
             found += _pairs_of(group, owner, word, len(node))
         a, b = np.divmod(np.unique(np.concatenate(found)), max(1, len(node)))
-        bits = np.bitwise_count(word[a] ^ word[b])
-        nearest = np.argsort(bits, kind="stable")
-        kept = simhash.forest(np.stack([a, b], axis=1)[nearest]).astype(np.int64)
-        bits = np.bitwise_count(word[kept[:, 0]] ^ word[kept[:, 1]]).astype(np.int32)
-        return pa.table({"a": pa.array(node[kept[:, 0]]), "b": pa.array(node[kept[:, 1]]), "bits": pa.array(bits)})
+        kept = simhash.forest(np.stack([a, b], axis=1)).astype(np.int64)
+        return pa.table({"a": pa.array(node[kept[:, 0]]), "b": pa.array(node[kept[:, 1]])})
 
     sent = found.select("node", "words").mapInArrow(send, "key int, node bigint, band int, word bigint")
-    links = sent.groupBy("key").applyInArrow(meet, "a bigint, b bigint, bits int")
+    links = sent.groupBy("key").applyInArrow(meet, "a bigint, b bigint")
     records = found.select("node", F.explode("fours").alias("four"))
     firsts = records.groupBy("four").agg(F.min("node").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    small = records.join(firsts, "four").filter("node <> a").select("a", F.col("node").alias("b"), F.lit(FAR_IN_WORD).alias("bits"))
-    return links.union(small).groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    small = records.join(firsts, "four").filter("node <> a").select("a", F.col("node").alias("b"))
+    return links.union(small).distinct()
 
 
 def _pairs_of(group: np.ndarray, owner: np.ndarray, word: np.ndarray, size: int) -> list[np.ndarray]:
@@ -178,22 +174,15 @@ def _pairs_of(group: np.ndarray, owner: np.ndarray, word: np.ndarray, size: int)
     return found
 
 
-def likeliest(links: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each text and the one it differs from in the fewest bits."""
-    both = links.select(F.col("a").alias("node"), "bits", F.col("b").alias("other")).union(links.select("b", "bits", "a"))
-    best = both.groupBy("node").agg(F.min(F.struct("bits", "other"))["other"].alias("other"))
-    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
-def other_pairs(crowds: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Near copies (a, b) in one crowd (node, crowd) but different components, as many as join these.
+def linked_in(crowds: DataFrame, found: DataFrame) -> DataFrame:
+    """Near copies (a, b) in one crowd (node, crowd), as many as join all of them.
 
     A crowd's members are cut in blocks, and a task compares two blocks: its
     memory is bounded, and what it gives are links its sets confirm.
     """
-    rows = crowds.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
-    apart = rows.groupBy("crowd").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    rows = rows.join(apart.select("crowd", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks")), "crowd")
+    rows = crowds.select("crowd", "node", F.col("node").alias("root"))
+    sizes = rows.groupBy("crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "crowd")
     rows = rows.join(found.select("node", "n", F.col("words")[0].alias("f"), F.col("words")[1].alias("g"), "text"), "node")
 
     def with_sets(batches):
@@ -270,19 +259,6 @@ def _joins(sets: np.ndarray, root: np.ndarray, i: int, j: int) -> bool:
     return True
 
 
-def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are near copies by their whole sets of shingles."""
-
-    def run(batches):
-        for batch in in_rows(batches, 500):
-            keep = [alike(shingles(s), shingles(t)) for s, t in zip(*[c.to_pylist() for c in batch.columns[2:]])]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    for side in "ab":
-        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, locator and component_id (the smallest doc_id reachable) of the documents that have near copies.
 
@@ -302,10 +278,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sets = found.join(firsts.select(F.col("first").alias("node")), "node")
     meetings(sets, firsts.count()).write.parquet(f"{folder}/meetings")
     met = spark.read.parquet(f"{folder}/meetings")
-    links = cut(verified(cut(likeliest(met)), found))
-    crowds = components(met).withColumnRenamed("root", "crowd")
-    more = cut(other_pairs(crowds, found, components(links)))
-    roots = components(links.union(more)).withColumnRenamed("node", "first")
+    crowds = cut(components(met).withColumnRenamed("root", "crowd"))
+    roots = components(cut(linked_in(crowds, found))).withColumnRenamed("node", "first")
     named = found.select("node", "doc_id", "locator", "digest").join(firsts, "digest").join(roots, "first", "left").filter("copies > 1 OR root IS NOT NULL")
     linked = cut(named.select("doc_id", "locator", F.coalesce("root", "first").alias("root")))
     smallest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
