@@ -150,6 +150,31 @@ def test_a_crowd_gives_no_more_links_than_it_has_members(spark, monkeypatch, blo
     assert all((root[i] == root[j]) == (want[i] == want[j]) for i in want for j in want)
 
 
+def test_a_crowd_meets_by_few_links(spark):
+    """Near copies of one text that bands join in many ways: about a link for each, and all of them joined."""
+    rng = random.Random(9)
+    base = " ".join(f"b{i}" for i in range(80))
+    texts = sorted({planted(rng, base, 0.75, 0.95) for _ in range(300)})
+    rows = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "doc_id bigint, locator string, text string")
+    links = near_copies.meetings(near_copies.prints(rows).withColumn("node", F.col("doc_id")), len(texts)).localCheckpoint()
+    assert links.count() < 3 * len(texts)
+    assert {r.root for r in near_copies.components(links).collect()} == {0}
+
+
+def test_links_of_a_task_lead_to_the_first_of_each_component():
+    rng = np.random.default_rng(10)
+    for n in (2, 30, 300):
+        pairs = np.sort(rng.integers(0, n, (n * 2 // 3, 2)), axis=1)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        root = np.arange(n)
+        for _ in range(n):
+            for a, b in pairs:
+                root[[a, b]] = root[[a, b]].min()
+        first, later = near_copies._to_first(pairs)
+        assert dict(zip(later.tolist(), first.tolist())) == {i: r for i, r in enumerate(root.tolist()) if i != r}
+        assert len(later) == len(set(later.tolist()))
+
+
 def test_odd_rows(spark, odd, tmp_path):
     """Equal, empty and null texts, repeated ids and rows, one changed long word at the end, clashing names."""
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in near_copies.near_copies(odd).collect())

@@ -90,6 +90,48 @@ def test_large_cluster_is_linked_without_all_pairs(spark):
     links.unpersist()
 
 
+def test_components_of_paths_stars_and_crowds_read_few_rows(spark, monkeypatch):
+    """Nodes in any order, links twice and to themselves; what all rounds store is in proportion to the links."""
+    from tickloom.llm import common
+
+    rng, stored, cut = random.Random(11), [], common.cut
+
+    def counted(df):
+        out = cut(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    path = [(i, i + 1) for i in range(200)]
+    star = [(700, 700 + i) for i in range(1, 200)]
+    crowd = [(1000 + i, 1000 + rng.randrange(60)) for i in range(60) for _ in range(20)]
+    names = rng.sample(range(-(10**12), 10**12), 1100)
+    for pairs in (path + star + crowd, [(names[a], names[b]) for a, b in path + star + crowd]):
+        nodes = sorted({x for a, b in pairs if a != b for x in (a, b)})
+        parent = {x: x for x in nodes}
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            if a != b:
+                x, y = top(a), top(b)
+                parent[max(x, y)] = min(x, y)
+        stored.clear()
+        edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[:50]], "a bigint, b bigint")
+        got = [tuple(r) for r in common.components(edges).select("node", "root").collect()]
+        assert sorted(got) == [(x, top(x)) for x in nodes]
+        assert sum(stored) < 3 * len(pairs), stored
+
+
+def test_components_of_no_links(spark):
+    from tickloom.llm.common import components
+
+    assert components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).collect() == []
+
+
 def test_odd_rows(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 11

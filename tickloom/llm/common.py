@@ -107,20 +107,33 @@ def located(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) per node, root the smallest node reachable.
 
-    Each round sends every node the smallest root among its neighbours and
-    then lets it take its root's root, so path lengths halve.  Only tables of
-    links and labels are shuffled; rounds end when no label changes.
+    In a round each node takes the first of itself and its neighbours, by
+    number in the first round and in a random order of its own in each other;
+    the links between what was taken are the next round's.  Links inside what
+    became one node are gone, so each round has fewer nodes and a crowd's
+    links are read once or twice.  Then the choices are followed from the
+    first round to the last.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        near = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = label.join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
-        up = step.select(F.col("node").alias("parent"), F.col("next").alias("up"))
-        moved = cut(
-            step.join(up, step.next == up.parent, "left").select("node", "root", F.least("next", F.coalesce("up", "next")).alias("next"))
-        )
-        changed = moved.filter("next <> root").limit(1).count()
-        label = moved.select("node", F.col("next").alias("root"))
-        if not changed:
-            return label
+    links, taken = _links(edges), []
+    while not taken or not links.isEmpty():
+        place = lambda node, turn=len(taken): F.xxhash64(node, F.lit(turn)) if turn else F.col(node)
+        both = links.union(links.select("b", "a"))
+        nearest = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", place("b")).alias("near"))
+        up = F.when(place("node") < place("near"), F.col("node")).otherwise(F.col("near")).alias("up")
+        # Not stored: it follows from the links, as no two nodes have the same place.
+        taken.append(nearest.select("node", up))
+        met = links.join(taken[-1].select(F.col("node").alias("a"), F.col("up").alias("a_up")), "a")
+        met = met.join(taken[-1].select(F.col("node").alias("b"), F.col("up").alias("b_up")), "b")
+        links = _links(met.select(F.col("a_up").alias("a"), F.col("b_up").alias("b")))
+    found = taken.pop()
+    while taken:
+        later = found.select(F.col("node").alias("_node"), F.col("up").alias("_up"))
+        found = taken.pop().join(later, F.col("up") == F.col("_node"), "left").select("node", F.coalesce("_up", "up").alias("up"))
+    found = cut(found)
+    roots = found.groupBy("up").agg(F.min("node").alias("root"))
+    return found.join(roots, "up").select("node", "root")
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    """The different links of two nodes, stored, the smaller node first."""
+    return cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

@@ -142,8 +142,9 @@ def meetings(found: DataFrame, count: int) -> DataFrame:
         for group, owner in simhash.meetings(np.arange(len(node)), moved, rest, low_bits, HALF, AT_ONCE):
             found += _pairs_of(group, owner, word, len(node))
         a, b = np.divmod(np.unique(np.concatenate(found)), max(1, len(node)))
-        kept = simhash.forest(np.stack([a, b], axis=1)).astype(np.int64)
-        return pa.table({"a": pa.array(node[kept[:, 0]]), "b": pa.array(node[kept[:, 1]])})
+        # Bands mostly agree on the first of a crowd, so the links of a crowd stay few however many bands join it.
+        first, later = _to_first(np.stack([a, b], axis=1))
+        return pa.table({"a": pa.array(node[first]), "b": pa.array(node[later])})
 
     sent = found.select("node", "words").mapInArrow(send, "key int, node bigint, band int, word bigint")
     links = sent.groupBy("key").applyInArrow(meet, "a bigint, b bigint")
@@ -153,6 +154,21 @@ def meetings(found: DataFrame, count: int) -> DataFrame:
     return links.union(small).distinct()
 
 
+def _to_first(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For what the pairs join, however far: the first of each component, and each of its others."""
+    others: dict[int, list[int]] = {}
+    first: dict[int, int] = {}
+    for a, b in simhash.forest(pairs).astype(np.int64).tolist():
+        x, y = first.setdefault(a, a), first.setdefault(b, b)
+        kept, gone = (x, y) if len(others.get(x, ())) >= len(others.get(y, ())) else (y, x)
+        moved = [gone, *others.pop(gone, ())]
+        others.setdefault(kept, []).extend(moved)
+        first.update(dict.fromkeys(moved, kept))
+    smallest = {k: min(k, *them) for k, them in others.items()}
+    later = [(smallest[k], x) for k, them in others.items() for x in (k, *them) if x != smallest[k]]
+    return tuple(np.array(later, np.int64).reshape(-1, 2).T)
+
+
 def _pairs_of(group: np.ndarray, owner: np.ndarray, word: np.ndarray, size: int) -> list[np.ndarray]:
     """Codes a * size + b, a < b, of owners of one group that may be near copies by ``word``; all of a large group with its first."""
     by = np.lexsort((owner, group))
