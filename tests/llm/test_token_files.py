@@ -48,6 +48,21 @@ def test_pieces_encode_as_the_library(tokenizer, documents):
         assert flat[a:b].tolist() == ids, repr(text)
 
 
+def test_words_behind_line_ends_and_before_signs_go_side_by_side(tokenizer):
+    """Words of letters that differ in the signs behind them or in what stands before a line end: the library encodes none of them alone."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", ",", "$$$", "?!", "%%%", "))"])
+    texts = [" ".join(word() + (f"\n{word()}" if rng.random() < 0.3 else "") for _ in range(60)) for _ in range(100)]
+    texts += ["a\nb\nc\nd", "a\x01\nb", "\x01\nx y", "x \x01\ny", "a\x00\nb", "x \ny", "a\n\nb c", "a\n\x85b", "a\u00a0\nb", "don't\n's 't", "a'\n'b", "x\r\ny", "a.\n.b c-\n-d"]
+    model, alone = token_files.Pieces(tokenizer), []
+    encoded = model.encoded
+    model.encoded = model.heads.make = lambda text: alone.append(text) or encoded(text)
+    flat, bounds = model.many(pa.array(texts, pa.string()))
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert flat[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(alone) < 200, alone[:20]  # first words and the odd texts
+
+
 def test_query_equals_brute_force(spark, small, documents, tokenizer):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op5_token_codes(spark, small).collect()}
     at, want = 0, {}

@@ -7,6 +7,7 @@ import numpy as np
 # Words of up to this many symbols go side by side, by widths of the rows and so many at a time.
 WIDTHS = (1, 6, 9, 14, 24, 48)
 SIDE_BY_SIDE = 20_000
+LOW = 512
 
 
 class Agenda:
@@ -20,9 +21,17 @@ class Agenda:
         self.keys = keys[by]
         self.cost = np.fromiter((c for c, _ in pairs.values()), np.float64, len(pairs))[by]
         self.piece = np.fromiter((p for _, p in pairs.values()), np.int32, len(pairs))[by]
+        # Most pairs looked up are of the lowest symbols, which a word begins as: theirs lie in a table, beside a row and column for -1.
+        low = min(size, LOW)
+        self.low_cost, self.low_piece = np.full((low + 1, low + 1), np.inf), np.zeros((low + 1, low + 1), np.int32)
+        a, b = np.divmod(self.keys, size)
+        both = (a < low) & (b < low)
+        self.low_cost[a[both], b[both]], self.low_piece[a[both], b[both]] = self.cost[both], self.piece[both]
 
     def _costs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cost and symbol of pairs, no cost where they can't be joined."""
+        if max(a.max(initial=-1), b.max(initial=-1)) < min(self.size, LOW):
+            return self.low_cost[a, b], self.low_piece[a, b]
         key = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         known = (self.keys[at] == key) & (a >= 0) & (b >= 0)

@@ -39,6 +39,11 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 _SPACE = re.compile(r"\s")
 # The same for Arrow, whose \s is that of ASCII: every character that may count as white space.
 _JOINED_ANY = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
+# A line end between characters that aren't white space, and what is put before it where texts are cut: a blank and a mark.
+_LINE_END = r"([^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}])\n([^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}])"
+MARK = "\x01"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+BATCH_BYTES = 8 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -74,8 +79,9 @@ class Pieces:
         names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.stops = {c: self.encoded(c) for c in ".,"}
+        self.tails = Recent(self.encoded, STORED_PIECES // 4)  # signs behind letters, which are a word of their own
         self.heads = Recent(self.encoded, STORED_PIECES // 4)  # pieces at the start of a line, which have no blank
-        self.after_blank = Recent(self.piece, STORED_PIECES, make_many=self.new_pieces)
+        self.after_blank = Recent(self.marked, STORED_PIECES, make_many=self.new_pieces)  # pieces behind a blank, or behind a mark
         self.agenda, self.symbol = merges(tokenizer)
 
     def encoded(self, text: str) -> bytes:
@@ -99,20 +105,32 @@ class Pieces:
             return self.after_blank[first] + b"".join([self.line_end + self.heads[line] for line in lines])
         return self.encoded(" " + piece)
 
+    def marked(self, piece: str) -> bytes:
+        """The ids of a blank and a piece, or of a line end and what follows it up to the next blank."""
+        if piece[:1] != MARK:
+            return self.piece(piece)
+        first, *lines = piece[2:].split("\n")
+        if not all(lines) or _SPACE.search("".join(lines)):
+            return self.encoded(piece[1:])
+        return b"".join([self.line_end + self.heads[line] for line in (first, *lines)])
+
     def new_pieces(self, found: list[str]) -> list[bytes]:
-        """The ids of a blank and each piece; those of letters go side by side."""
-        stops = [self.stops.get(p[-1:], b"") for p in found]
-        bodies = [p[:-1] if s else p for p, s in zip(found, stops)]
+        """The ids of marked pieces; those of letters, with signs behind them or not, go side by side."""
+        bodies = [(p[2:] if p[:1] == MARK else p).rstrip(SIGNS) for p in found]
         chosen = [k for k, p in enumerate(bodies) if p.isalpha() and (p.isascii() or max(p) < _LATIN)]
-        data = [b" " + bodies[k].encode() for k in chosen]
+        data = [(bodies[k] if found[k][0] == MARK else " " + bodies[k]).encode() for k in chosen]
         ids = self.agenda.words(self.symbol[np.frombuffer(b"".join(data), np.uint8)], np.fromiter(map(len, data), np.int64, len(data)))
         out: list[bytes | None] = [None] * len(found)
         for k, x in zip(chosen, ids):
-            out[k] = x if x is None else x + stops[k]
-        return [self.piece(p) if x is None else x for p, x in zip(found, out)]
+            if x is not None:
+                p, n = found[k], len(bodies[k])
+                if p[0] == MARK:
+                    x, n = self.line_end + x, n + 2
+                out[k] = x if n == len(p) else x + self.tails[p[n:]]
+        return [self.marked(p) if x is None else x for p, x in zip(found, out)]
 
     def ids(self, text: str) -> bytes:
-        if self.added and self.added.search(text):
+        if self.added and self.added.search(text) or MARK in text:
             return self.encoded(text)  # an added token's name is one token, with its own rules for the text around it
         if _JOINED.search(text):
             first, *rest = _CUT.split(text)
@@ -122,13 +140,13 @@ class Pieces:
         head = self.heads[first] if first else b""
         return head + b"".join(map(self.after_blank.__getitem__, rest))
 
-
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other, and where those of each text begin and end."""
-        odd = pc.match_substring_regex(texts, _JOINED_ANY)
+        odd = pc.or_(pc.match_substring_regex(texts, _JOINED_ANY), pc.match_substring(texts, MARK))
         if self.added:
             odd = pc.or_(odd, pc.match_substring_regex(texts, self.added.pattern))
-        words, bounds = split(pc.if_else(odd, "", texts))
+        # A line's first word is a piece of its own, or most pieces with line ends would be met once.
+        words, bounds = split(pc.replace_substring_regex(pc.if_else(odd, "", texts), _LINE_END, f"\\1 {MARK}\n\\2"))
         first = words.take(pa.array(bounds[:-1])).to_pylist()
         # Only a text's first piece has no blank before it; an odd text is encoded alone in that place.
         apart = {at: self.heads[w] if w else b"" for at, w in zip(bounds[:-1].tolist(), first)}
@@ -180,7 +198,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END) -> None
             values = (bucket, block, start, held, doc_ids, starts, codes)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, KINDS)], names=NAMES)
 
-        for batch in in_bytes(batches, 2):
+        for batch in in_bytes(batches, 2, BATCH_BYTES):
             flat, bounds = coder.many(batch.column(2))
             for its, doc_id, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 if bucket is not None and (its != bucket or held >= BLOCK_TOKENS):
