@@ -34,6 +34,16 @@ def test_random_access():
     assert codes.get(np.array(places)).tolist() == [ids[p] for p in places]
 
 
+def test_slices_are_read_by_the_ranks_of_their_ends(monkeypatch):
+    rng = random.Random(4)
+    for n in (1, 63, 64, 65, 128, 1000):
+        ids = [rng.randrange(1 << rng.choice([4, 8, 9, 16, 20, 32])) for _ in range(n)]
+        codes = Codes(pack(np.array(ids, np.uint32)))
+        monkeypatch.setattr(codes, "get", lambda places: pytest.fail("a slice is no list of places"))
+        for a, b in [(0, 0), (0, n), (n, n), (n - 1, n), *(sorted((rng.randrange(n + 1), rng.randrange(n + 1))) for _ in range(60))]:
+            assert codes.slice(a, b).tolist() == ids[a:b]
+
+
 def test_pieces_encode_as_the_library(tokenizer, documents):
     rng, model = random.Random(2), token_files.pieces(VOCABULARY)
     texts = [d["text"] for d in documents]
@@ -63,6 +73,26 @@ def test_words_behind_line_ends_and_before_signs_go_side_by_side(tokenizer):
     assert len(alone) < 200, alone[:20]  # first words and the odd texts
 
 
+def test_new_pieces_of_letters_digits_and_signs_are_not_made_one_by_one(tokenizer):
+    """Words met once, with digits and signs inside and around: none of them is encoded alone; those the vocabulary's rule treats otherwise are."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["ab", "Qé", "ɏß", "7", "42", "-", "...", "_", "$%", "'\"", "'9", "x"]) for _ in range(rng.randrange(1, 9)))
+    texts = [" ".join(["The", *(word() for _ in range(60))]) + f"\n{word()} {word()}\n{word()}" for _ in range(100)]
+    model, alone = token_files.Pieces(tokenizer), []
+    make = model.after_blank.make
+    model.after_blank.make_many = lambda found: alone.extend(found) or list(map(make, found))
+    flat, bounds = model.many(pa.array(texts, pa.string()))
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert flat[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert not alone, alone[:20]
+    odd = ["a don't we'll 'tis x'9's", "a 3×4 ×b a÷c ɐb cɐ ª1 µm ½x 漢a \u0301e", "a x\ty z\x00q \x7f \xa0b", f"a {'longer' * 30} {'=' * 100} {'8' * 60}. {'x1' * 3000} {'y2' * 2048}", "a  b", "a x\n's y\n÷"]
+    flat, bounds = model.many(pa.array(odd, pa.string()))
+    for text, a, b in zip(odd, bounds, bounds[1:]):
+        assert flat[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    flat, bounds = model.many(pa.array([], pa.string()))
+    assert not len(flat) and bounds.tolist() == [0]
+
+
 def test_query_equals_brute_force(spark, small, documents, tokenizer):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op5_token_codes(spark, small).collect()}
     at, want = 0, {}

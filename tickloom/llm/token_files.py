@@ -6,8 +6,9 @@ of one block each: the block's place, its documents with their first token,
 and the packed ids.  Any token is read from its block without decoding it.
 
 Encoding goes by the pieces between blanks, which the vocabulary's own rule for
-cutting words never joins, so each worker encodes a piece once for all texts
-it meets it in.
+cutting words never joins, so a piece is encoded once for all texts of a batch.
+Pieces of Latin letters, digits and signs go side by side as arrays of bytes;
+a worker encodes other pieces one by one and keeps those met lately.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from tickloom.llm.agenda import Agenda
 from tickloom.llm.common import Recent, text_of
 from tickloom.llm.dac import Codes, pack
 from tickloom.llm.ordered import bucket_of, edges, in_buckets, order_key
-from tickloom.llm.wordlists import ids_of, in_bytes, split
+from tickloom.llm.wordlists import gathered, in_bytes, raw, split
 
 END = 2
 BLOCK_TOKENS = 1 << 20
@@ -42,8 +43,9 @@ _JOINED_ANY = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{
 # A line end between characters that aren't white space, and what is put before it where texts are cut: a blank and a mark.
 _LINE_END = r"([^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}])\n([^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}])"
 MARK = "\x01"
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BATCH_BYTES = 8 << 20
+# Longer pieces go to the library whole, so that places of single bytes are kept for short ones only.
+LONGEST = 1 << 12
 
 
 def _byte_letters() -> dict[int, str]:
@@ -58,6 +60,16 @@ _LETTER = _byte_letters()
 _LATIN = "\u0250"
 
 
+# What the vocabulary's rule for cutting words takes a byte for: ASCII's letters, digits and signs, and the bytes of letters from U+00C0 to U+024F.
+LETTER, DIGIT, SIGN = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = SIGN
+_KIND[ord("0") : ord("9") + 1] = DIGIT
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = LETTER
+# First byte and range of the second of what is no such letter.
+_NO_LETTERS = ((0xC3, 0x97, 0x97), (0xC3, 0xB7, 0xB7), (0xC9, 0x90, 0xBF))
+
+
 def merges(tokenizer) -> tuple[Agenda, np.ndarray]:
     """The agenda of a byte-level vocabulary's merges, and the symbol of each byte."""
     model = json.loads(tokenizer.to_str())["model"]
@@ -70,7 +82,7 @@ def merges(tokenizer) -> tuple[Agenda, np.ndarray]:
 
 
 class Pieces:
-    """The ids of a text as bytes of unsigned 32-bit integers; pieces met lately are not encoded anew."""
+    """The ids of texts, of one as bytes of unsigned 32-bit integers; pieces that went one by one lately are not encoded anew."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -79,9 +91,8 @@ class Pieces:
         names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.stops = {c: self.encoded(c) for c in ".,"}
-        self.tails = Recent(self.encoded, STORED_PIECES // 4)  # signs behind letters, which are a word of their own
         self.heads = Recent(self.encoded, STORED_PIECES // 4)  # pieces at the start of a line, which have no blank
-        self.after_blank = Recent(self.marked, STORED_PIECES, make_many=self.new_pieces)  # pieces behind a blank, or behind a mark
+        self.after_blank = Recent(self.marked, STORED_PIECES)  # pieces behind a blank, or behind a mark
         self.agenda, self.symbol = merges(tokenizer)
 
     def encoded(self, text: str) -> bytes:
@@ -114,20 +125,61 @@ class Pieces:
             return self.encoded(piece[1:])
         return b"".join([self.line_end + self.heads[line] for line in (first, *lines)])
 
-    def new_pieces(self, found: list[str]) -> list[bytes]:
-        """The ids of marked pieces; those of letters, with signs behind them or not, go side by side."""
-        bodies = [(p[2:] if p[:1] == MARK else p).rstrip(SIGNS) for p in found]
-        chosen = [k for k, p in enumerate(bodies) if p.isalpha() and (p.isascii() or max(p) < _LATIN)]
-        data = [(bodies[k] if found[k][0] == MARK else " " + bodies[k]).encode() for k in chosen]
-        ids = self.agenda.words(self.symbol[np.frombuffer(b"".join(data), np.uint8)], np.fromiter(map(len, data), np.int64, len(data)))
-        out: list[bytes | None] = [None] * len(found)
-        for k, x in zip(chosen, ids):
-            if x is not None:
-                p, n = found[k], len(bodies[k])
-                if p[0] == MARK:
-                    x, n = self.line_end + x, n + 2
-                out[k] = x if n == len(p) else x + self.tails[p[n:]]
-        return [self.marked(p) if x is None else x for p, x in zip(found, out)]
+    def distinct(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of marked pieces, where those of each begin and how many it has.
+
+        Pieces of Latin letters, digits and signs are cut into the vocabulary's
+        words: runs of one kind, the first with its blank, a line end alone.
+        Different words go side by side; other pieces go one by one.
+        """
+        data, bounds = raw(found)
+        kinds = np.append(_KIND[data], np.uint8(0))
+        for lead, low, high in _NO_LETTERS:
+            at = np.flatnonzero(data[:-1] == lead)
+            kinds[at[(data[at + 1] >= low) & (data[at + 1] <= high)]] = 0
+        sizes, begins = np.diff(bounds), bounds[:-1]
+        marked = np.append(data, np.uint8(0))[begins] == ord(MARK)
+        marked &= sizes > 2
+        begins, sizes = begins + 2 * marked, sizes - 2 * marked
+        # The number of unusual bytes up to each place; an apostrophe before a letter may begin a word of its own.
+        unusual = kinds[:-1] == 0
+        quotes = np.flatnonzero(data == ord("'"))
+        unusual[quotes[kinds[quotes + 1] == LETTER]] = True
+        before = np.concatenate((np.zeros(1, np.int32), np.cumsum(unusual, dtype=np.int32)))
+        plain = (sizes > 0) & (sizes <= LONGEST) & (before[begins + sizes] == before[begins])
+        at, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, first, counts = self.runs(data, kinds, begins[at], sizes[at], marked[at])
+        others = self.after_blank.many(found.take(pa.array(alone)).to_pylist())
+        starts, numbers = np.empty(len(found), np.int64), np.empty(len(found), np.int64)
+        starts[at], numbers[at] = first, counts
+        numbers[alone] = n = np.fromiter(map(len, others), np.int64, len(others)) // 4
+        starts[alone] = len(ids) + np.cumsum(n) - n
+        return np.concatenate((ids, np.frombuffer(b"".join(others), "<i4"))), starts, numbers
+
+    def runs(self, data: np.ndarray, kinds: np.ndarray, begins: np.ndarray, sizes: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces of known kinds of bytes, where those of each begin and how many it has; marked ones have a line end before them, others a blank."""
+        heads = np.cumsum(sizes + 1) - sizes - 1
+        inside = np.ones(int(sizes.sum()) + len(sizes), bool)
+        inside[heads] = False
+        letters, kind = np.empty(len(inside), np.uint8), np.empty(len(inside), np.uint8)
+        letters[inside], kind[inside] = gathered(data, begins, sizes), gathered(kinds, begins, sizes)
+        letters[heads] = np.where(marked, ord("\n"), ord(" "))
+        kind[heads] = np.where(marked, 0, kind[heads + 1])
+        starts = np.concatenate(([True], kind[1:] != kind[:-1])) if len(kind) else np.empty(0, bool)
+        starts[heads] = True
+        cuts = np.append(np.flatnonzero(starts), len(letters)).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(letters)]).dictionary_encode()
+        place = words.indices.to_numpy()
+        each, bounds = raw(words.dictionary)
+        ids, first, counts = self.agenda.found(self.symbol[each], np.diff(bounds))
+        long = np.flatnonzero(counts == 0)
+        more = [np.array([t.id for t in self.merge(w.decode("latin-1").translate(_LETTER))], np.int32) for w in words.dictionary.take(pa.array(long)).to_pylist()]
+        counts[long] = n = np.fromiter(map(len, more), np.int64, len(more))
+        first[long] = len(ids) + np.cumsum(n) - n
+        flat = gathered(np.concatenate((ids, *more)), first[place], counts[place])
+        total = np.concatenate(([0], np.cumsum(counts[place])))
+        piece = np.searchsorted(cuts, np.append(heads, len(letters)))
+        return flat, total[piece[:-1]], np.diff(total[piece])
 
     def ids(self, text: str) -> bytes:
         if self.added and self.added.search(text) or MARK in text:
@@ -152,8 +204,14 @@ class Pieces:
         apart = {at: self.heads[w] if w else b"" for at, w in zip(bounds[:-1].tolist(), first)}
         for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
             apart[int(bounds[k])] = self.ids(texts[k].as_py())
-        flat, ends = ids_of(words, self.after_blank.many, apart)
-        return flat, ends[bounds]
+        coded = words.dictionary_encode()
+        flat, begins, counts = self.distinct(coded.dictionary)
+        place = coded.indices.to_numpy().copy()
+        place[list(apart)] = np.arange(len(counts), len(counts) + len(apart))
+        n = np.fromiter(map(len, apart.values()), np.int64, len(apart)) // 4
+        begins, counts = np.concatenate((begins, len(flat) + np.cumsum(n) - n)), np.concatenate((counts, n))[place]
+        flat = gathered(np.concatenate((flat, np.frombuffer(b"".join(apart.values()), "<i4"))), begins[place], counts)
+        return flat, np.concatenate(([0], np.cumsum(counts)))[bounds]
 
 
 _loaded: dict[str, Pieces] = {}
@@ -228,7 +286,7 @@ def starts(blocks: DataFrame) -> DataFrame:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens and ids_crc32.
 
-    Each document's ids are looked up by their places in the block's codes.
+    All documents of a block are asked for, so its codes are read in one stretch.
     """
     stored = spark.read.parquet(folder)
 
@@ -237,7 +295,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for bucket, start, doc_ids, firsts, codes in zip(*[c.to_pylist() for c in batch.columns]):
                 found = Codes(codes)
                 stops = firsts[1:] + [len(found)]
-                sums = [zlib.crc32(found.slice(a, b).astype("<u4").tobytes()) for a, b in zip(firsts, stops)]
+                ids = found.slice(0, len(found)).astype("<u4", copy=False)
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(firsts, stops)]
                 n = len(doc_ids)
                 columns = [pa.array([bucket] * n, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array([start + a for a in firsts], pa.int64()),
                            pa.array([b - a for a, b in zip(firsts, stops)], pa.int64()), pa.array(sums, pa.int64())]

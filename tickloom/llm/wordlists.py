@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
+STRETCHES = 1 << 16
 
 
 def in_bytes(batches: Iterable[pa.RecordBatch], column: int, most: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
@@ -50,6 +51,24 @@ def ids_of(words: pa.Array, known: Callable[[list[str]], list[bytes]], apart: di
     return taken.values.to_numpy(), taken.offsets.to_numpy()
 
 
+def raw(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings one after the other, and where those of each begin and end."""
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), bounds.astype(np.int64)
+
+
+def gathered(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, so many values from each beginning on, one after the other."""
+    out, held = np.empty(int(counts.sum()), flat.dtype), 0
+    for k in range(0, len(counts), STRETCHES):
+        n = counts[k : k + STRETCHES]
+        ends = np.cumsum(n)
+        out[held : held + ends[-1]] = flat[np.repeat(begins[k : k + STRETCHES] - ends + n, n) + np.arange(ends[-1])]
+        held += ends[-1]
+    return out
+
+
 def ended(flat: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts with an end id behind each."""
     return np.insert(flat, bounds[1:], np.int32(end)), bounds + np.arange(len(bounds))
