@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -87,6 +89,35 @@ class Recent(dict):
         return found
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """What ``make`` gives for a key, kept in this Python worker until a task needs another key's.
+
+    Workers go on from stage to stage; the tables and caches of one stage would take memory in all later ones.
+    """
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Free what ``held`` keeps, for tasks that need none of it."""
+    if _held:
+        _held.clear()
+        # Caches refer to what makes their values, so they go with a collection only.
+        gc.collect()
+        release()
+
+
+def release() -> None:
+    """Give memory that nothing uses back to the system: Arrow's, and with the system's pool that of Python's large objects."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with the content locator of each row.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
 
 from tickloom.llm import simhash
-from tickloom.llm.common import components, cut, in_rows, located, shared_folder, text_of
+from tickloom.llm.common import components, cut, in_rows, let_go, located, shared_folder, text_of
 
 WORDS = 5
 NEAR, OF = 4, 5
@@ -100,6 +100,7 @@ def prints(rows: DataFrame) -> DataFrame:
     """doc_id, locator and text with the number of shingles, a digest of their set, its sets of four and the words of its fingerprint."""
 
     def run(batches):
+        let_go()
         for batch in in_rows(batches, 500):
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             words = np.concatenate([np.empty(0, np.uint64), *map(simhash_words, sets)]).view(np.int64)
@@ -123,6 +124,7 @@ def meetings(found: DataFrame, count: int) -> DataFrame:
     beside = (np.arange(BANDS) // 2 + 1) % PRINT_WORDS
 
     def send(batches):
+        let_go()
         for batch in in_rows(batches):
             words = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, PRINT_WORDS)
             bands = words.view(np.uint32)
@@ -132,6 +134,7 @@ def meetings(found: DataFrame, count: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *map(pa.array, columns)], names=["key", "node", "band", "word"])
 
     def meet(key, table):
+        let_go()
         node, band, word = (table.column(c).to_numpy() for c in ("node", "band", "word"))
         by = np.argsort(node)
         node, band, word = node[by], band[by].view(np.uint32).astype(np.uint64), word[by].view(np.uint64)
@@ -202,6 +205,7 @@ def linked_in(crowds: DataFrame, found: DataFrame) -> DataFrame:
     rows = rows.join(found.select("node", "n", F.col("words")[0].alias("f"), F.col("words")[1].alias("g"), "text"), "node")
 
     def with_sets(batches):
+        let_go()
         for batch in in_rows(batches, 500):
             sets = [shingles(t).view(np.int64) for t in batch.column(7).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(sets, pa.list_(pa.int64()))], names=["crowd", "blocks", "node", "n", "root", "f", "g", "set"])
@@ -216,6 +220,7 @@ def linked_in(crowds: DataFrame, found: DataFrame) -> DataFrame:
     )
 
     def run(batches):
+        let_go()
         for a, b in _compared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 

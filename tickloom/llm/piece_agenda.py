@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.agenda import Agenda
-from tickloom.llm.common import Recent, text_of
+from tickloom.llm.common import Recent, held, release, text_of
 from tickloom.llm.wordlists import ended, ids_of, in_bytes, lists, runs, split
 
 BLANK = "▁"
@@ -186,14 +186,9 @@ class Pieces:
                 raise RuntimeError(f"the library encodes otherwise one of the words from {group[0][0]!r} on")
 
 
-_loaded: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    """The vocabulary at ``path``, loaded once per worker."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    """The vocabulary at ``path``, loaded once per worker and stage."""
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def _batch(model: Pieces, keys: pa.Array, texts: pa.Array, with_text: bool):
@@ -224,6 +219,7 @@ def encode(docs: DataFrame, vocabulary: str, with_text: bool = False) -> DataFra
         model = pieces(vocabulary)
         for batch in in_bytes(batches, 1):
             yield from _batch(model, *batch.columns, with_text)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>" + ", text string" * with_text)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.llm.common import Recent, cut, in_rows, text_of
+from tickloom.llm.common import Recent, cut, held, in_rows, release, text_of
 from tickloom.llm.wordlists import in_bytes, split
 
 # Bound of what is learned from: labelled rows, which bounds the terms of evidence too.  More terms than
@@ -327,17 +327,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> dict:
     return nothing | {"weights": {t: w[:1] for t, w in weights.items()}, "curve": curve}
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scores(fitted: dict, texts: list[str] | pa.Array) -> np.ndarray:
     """The scores of whole texts, none of them null."""
     if not len(texts):
         return np.empty(0)
-    if fitted["id"] not in _scorers:
-        _scorers.clear()
-        _scorers[fitted["id"]] = Scorer(fitted["model"], fitted["weights"], 1)
-    scorer, (start, slope) = _scorers[fitted["id"]], fitted["curve"]
+    scorer = held(("toxicity", fitted["id"]), lambda: Scorer(fitted["model"], fitted["weights"], 1))
+    start, slope = fitted["curve"]
     found = scorer.all_evidence(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     return 1.0 / (1.0 + np.exp(-np.clip(start + slope * found, -700, 700)))
 
@@ -350,6 +345,7 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
             scores = _scores(fitted, batch.column(1))
             columns = [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
+        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, score double, predicted int")
@@ -362,5 +358,6 @@ def reject(docs: DataFrame, fitted: dict) -> DataFrame:
     def run(batches):
         for batch in in_bytes(batches, at):
             yield batch.filter(pa.array(_scores(fitted, pc.fill_null(batch.column(at), "")) < 0.5))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
